@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("checks_text",)
+GROUPS = ("checks_text", "checks_query", "checks_runs", "checks_state")
 
 
 def load() -> None:

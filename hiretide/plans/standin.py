@@ -121,7 +121,7 @@ def commands_sql(d: Duck) -> str:
     return f"""
     SELECT o_orderkey AS command_id, CAST(o_custkey AS STRING) AS user_id,
       CAST(o_orderkey % 1999 AS STRING) AS ats_job_id, {status} AS status,
-      {d.ts("o_orderdate")} AS at
+      {d.ts("o_orderdate")} AS issued_at
     FROM orders
     """
 
