@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -103,3 +104,11 @@ def link(e: Element) -> bool:
 @F.pandas_udf(T.StringType())
 def text_of_fragment(values: pd.Series) -> pd.Series:
     return values.map(lambda markup: parse(markup).text(), na_action="ignore")
+
+
+def outer_html(element: Element) -> str:
+    """Markup of an element, for texts that are kept as HTML."""
+    attrs = "".join(f' {k}="{escape(v)}"' for k, v in element.attrs.items())
+    inner = "".join(escape(c, quote=False) if isinstance(c, str) else outer_html(c) for c in element.children)
+    closing = "" if element.tag in VOID_TAGS else f"</{element.tag}>"
+    return f"<{element.tag}{attrs}>{inner}{closing}"

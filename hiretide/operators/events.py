@@ -148,6 +148,21 @@ def with_precedence(provider: DataFrame, generic: list[DataFrame], page: str) ->
     return feed.unionByName(rest.join(served, page, "left_anti"))
 
 
+def feed_provider(provider: Column, page_host: Column) -> Column:
+    """The provider feed that serves a source, NULL for a generic page."""
+    # --- fixed values: (feed, provider name, host fragment), in order ---
+    table = (
+        ("morgan_stanley", "morgan_stanley_events", "morganstanley.com"),
+        ("nvidia", "nvidia_university_events", "nvidia.com"),
+        ("eightfold", "eightfold_events", "eightfold.ai"),
+        ("amazon", "amazon_hiring_events", "hiring.amazon.com"),
+        ("jpmorgan", "jpmorgan_events", "jpmorganchase.com"),
+    )
+    rules_of = {feed: (provider == name) | page_host.contains(part) for feed, name, part in table}
+    rules_of["eightfold"] = rules_of["eightfold"] | page_host.startswith("jobs.")
+    return first_label(rules_of)
+
+
 def event_run_summary(sources: DataFrame, events: DataFrame, failures: DataFrame) -> DataFrame:
     """Per source its status and event count.
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("checks_text", "checks_query", "checks_runs", "checks_state")
+GROUPS = ("checks_text", "checks_query", "checks_runs", "checks_state", "checks_events")
 
 
 def load() -> None:

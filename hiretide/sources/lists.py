@@ -22,9 +22,9 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter((F.col("source_url") != "") & ~F.col("source_url").startswith("#"))
 
 
-def read_event_sources(spark: SparkSession, path: str) -> DataFrame:
+def read_event_sources(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """SRC6: event-source configuration, a JSON array (or lines) of objects."""
-    raw = spark.read.schema(EVENT_SOURCE_CONFIG).option("multiLine", True).json(path)
+    raw = spark.read.schema(EVENT_SOURCE_CONFIG).option("multiLine", multi_line).json(path)
     # array elements of one file arrive in file order
     return raw.withColumn("pos", F.monotonically_increasing_id()).fillna(
         {"firm_kind": "other", "source_provider": "company_events", "source_scope": "company_page"}
