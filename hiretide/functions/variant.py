@@ -48,8 +48,12 @@ def scalar_text(value: Column) -> Column:
 
 
 def truthy_text(value: Column) -> Column:
-    """Scalar text, where zero and false count as missing."""
-    return bound(scalar_text(value), lambda t: F.when(~t.isin("0", "False", "0.0"), t))
+    """Scalar text, where the number zero and false count as missing."""
+    def shape(v: Column) -> Column:
+        empty = ~is_string(v) & _raw(v).isin("0", "0.0", "false")
+        return F.when(~empty, scalar_text(v))
+
+    return bound(value, shape)
 
 
 def elements(value: Column) -> Column:

@@ -114,7 +114,7 @@ def _place_list(item: Column) -> Column:
         whole = F.array_compact(F.array(
             first_string(v, "name", "displayName"), bound(first_value(v, "address"), address)
         ))
-        return F.when(kind(v).startswith("OBJECT"), whole).otherwise(string_list(v))
+        return F.when(kind(v).startswith("OBJECT"), whole).otherwise(F.transform(string_list(v), squeeze))
 
     return F.coalesce(bound(first_value(item, *rules.EVENT_LOCATION_KEYS), shape), no_strings())
 
@@ -179,9 +179,9 @@ def calendar_events(pages: DataFrame, as_of: Column) -> DataFrame:
     occurrence of a property counts."""
     body = F.regexp_replace(F.regexp_replace("body", "\r\n", "\n"), "\n{2,}", "\n")
     unfolded = F.regexp_replace(body, "\n[ \t]", "")
-    blocks = F.regexp_extract_all(
-        unfolded, F.lit(r"(?s)(?<![^\n])BEGIN:VEVENT\n((?:(?!(?<![^\n])BEGIN:VEVENT\n).)*?)(?<![^\n])END:VEVENT(?![^\n])"), 1
-    )
+    opened = F.slice(F.split(unfolded, r"(?<![^\n])BEGIN:VEVENT\n"), 2, 1 << 30)
+    closed = F.filter(opened, lambda b: b.rlike(r"(?m)^END:VEVENT$"))
+    blocks = F.transform(closed, lambda b: F.regexp_extract(b, r"(?sm)\A(.*?)^END:VEVENT$", 1))
     rows = pages.select(*_carry(), F.posexplode(blocks).alias("pos", "_block"))
     lines = F.filter(F.split("_block", "\n"), lambda x: x.contains(":"))
     name = lambda x: F.upper(F.regexp_extract(x, r"^([^;:]*)", 1))

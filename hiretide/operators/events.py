@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide import rules
-from hiretide.functions.expr import alternation, bound, contains_any, first_label, labels, no_strings, strings
+from hiretide.functions.expr import alternation, bound, computed_once, contains_any, first_label, labels, no_strings, strings
 from hiretide.functions.text import slug
 from hiretide.operators.skew import best_per_key
 
@@ -96,7 +96,7 @@ def build_events(found: DataFrame, as_of: Column, carry: list[str]) -> DataFrame
     ends_at, timezone, description, raw_payload.  ``carry`` columns pass through.
     """
     c = F.col
-    return found.filter(c("title").isNotNull() & (c("title") != "") & c("starts_at").isNotNull()).select(
+    return computed_once(found).filter(c("title").isNotNull() & (c("title") != "") & c("starts_at").isNotNull()).select(
         *carry,
         F.coalesce(c("firm.firm_name"), c("firm_name")).alias("firm_name"),
         F.coalesce(c("firm.firm_kind"), c("firm_kind")).alias("firm_kind"),

@@ -576,8 +576,9 @@ def _search_results(values: pd.Series) -> pd.Series:
 
 def apple_pages(boards: DataFrame) -> DataFrame:
     """PAY8: replaces a page by the search results of its hydration string, which
-    is JSON inside a JSON string."""
-    literals = F.regexp_extract_all("payload", F.lit(r'(?s)JSON\.parse\("((?:\\.|[^"\\])*)"\)'), 1)
+    is JSON inside a JSON string.  The possessive repetition keeps the matcher from
+    recursing once per character of a long page."""
+    literals = F.regexp_extract_all("payload", F.lit(r'(?s)JSON\.parse\("((?:\\.|[^"\\])*+)"\)'), 1)
     decoded = F.transform(literals, lambda s: F.get_json_object(F.concat(F.lit('{"v":"'), s, F.lit('"}')), "$.v"))
     usable = F.filter(decoded, lambda s: F.try_parse_json(s).isNotNull())
     return boards.withColumn("_state", F.get(usable, F.lit(0))).withColumn(
