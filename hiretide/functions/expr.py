@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
@@ -36,15 +37,22 @@ EMPTY_STRINGS = "array<string>"
 SPACE_CLASS = (
     r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    """Trim at the ends only; an anchored pattern would visit every blank run."""
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def squeeze(col: Column) -> Column:
-    """Collapse every whitespace run to one blank and strip."""
-    return strip(F.regexp_replace(col, f"{SPACE_CLASS}+", " "))
+    """Collapse every whitespace run to one blank and strip.  Single blanks are
+    already right, so only other runs are rewritten."""
+    return strip(F.regexp_replace(col, rf"(?! (?!{SPACE_CLASS})){SPACE_CLASS}+", " "))
 
 
 def present(col: Column) -> Column:
@@ -57,8 +65,15 @@ def no_strings() -> Column:
 
 
 def strings(values: Iterable[str]) -> Column:
+    """Literal string array (folded to a constant by the optimizer)."""
     values = list(values)
-    return F.array(*map(F.lit, values)) if values else no_strings()
+    return F.split(F.lit("\x1f".join(values)), "\x1f") if values else no_strings()
+
+
+def term_table(table: Mapping[str, Iterable[str]]) -> Column:
+    """A rule table as one constant: array of (label, terms)."""
+    rows = [{"label": label, "terms": list(terms)} for label, terms in table.items()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,terms:array<string>>>")
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -66,7 +81,25 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
-    return any_of(text.contains(term) for term in dict.fromkeys(terms))
+    """Whether the text holds any of the terms, as plain substrings."""
+    terms = list(dict.fromkeys(terms))
+    if len(terms) == 1:
+        return text.contains(terms[0])
+    return F.exists(strings(terms), lambda term: text.contains(term))
+
+
+def labels_where(table: Mapping[str, Iterable[str]], holds: Callable[[Column], Column]) -> Column:
+    """Ordered labels of the table rows whose terms satisfy ``holds``."""
+    return F.transform(F.filter(term_table(table), lambda row: holds(row.terms)), lambda row: row.label)
+
+
+def labels_in(text: Column, table: Mapping[str, Iterable[str]]) -> Column:
+    """Ordered labels with at least one term in the text."""
+    return labels_where(table, lambda terms: F.exists(terms, lambda term: text.contains(term)))
+
+
+def first_label_in(text: Column, table: Mapping[str, Iterable[str]], default: str | None = None) -> Column:
+    return F.coalesce(F.get(labels_in(text, table), F.lit(0)), F.lit(default))
 
 
 def labels(conditions: Mapping[str, Column]) -> Column:
@@ -97,7 +130,20 @@ def join_present(separator: str, *parts: Column) -> Column:
 
 
 def alternation(words: Iterable[str]) -> str:
-    return "|".join(re.escape(w) for w in words)
+    """Escaped alternatives grouped by first character, so that a failing match
+    tries one branch per letter rather than one per word."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(
+        re.escape(head) + f"(?:{'|'.join(map(re.escape, tails))})" for head, tails in groups.items()
+    )
+
+
+def mentions(text: Column, words: Iterable[str], pattern: str) -> Column:
+    """``text.rlike(pattern)`` behind a plain substring test: the pattern can only
+    match where one of ``words`` occurs, which is rare."""
+    return contains_any(text, words) & text.rlike(pattern)
 
 
 def mapped(col: Column, table: Mapping[str, str]) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hiretide import rules
-from hiretide.functions.expr import squeeze, strip
-from hiretide.rules import BLOCK_TAGS
+from hiretide.functions.expr import alternation, bound, contains_any, squeeze, strip
+from hiretide.rules import BLOCK_TAGS, BOILERPLATE_MARKERS
 
-HORIZONTAL = r"[ \t\r\f\x0B]+"
+# Runs that collapse to one blank or one line break; a lone blank or line break
+# is left out because it would be replaced by itself.
+BLANK_RUN = r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*"
+BREAK_RUN = r" +\n+ *|\n\n+ *|\n +"
 
 # Code points that NFKC leaves alone whatever surrounds them.  Text made only of
 # these needs no normalisation, so it never leaves the JVM.
@@ -78,8 +80,8 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 
 def _tidy_lines(text: Column) -> Column:
-    text = F.regexp_replace(text, HORIZONTAL, " ")
-    text = F.regexp_replace(text, r" *\n+ *", "\n")
+    text = F.regexp_replace(text, BLANK_RUN, " ")
+    text = F.regexp_replace(text, BREAK_RUN, "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
@@ -89,7 +91,7 @@ def html_to_text(markup: Column) -> Column:
     Values without markup or entities stay in the JVM: the Python worker is
     handed NULL for them.
     """
-    marked_up = F.when(markup.rlike("[<&]"), markup)
+    marked_up = F.when(markup.contains("<") | markup.contains("&"), markup)
     return _tidy_lines(F.coalesce(_decode_markup(marked_up), markup, F.lit("")))
 
 
@@ -102,25 +104,32 @@ def single_line_text(markup: Column) -> Column:
     """Text of an HTML fragment on one line, text nodes blank-separated (TX5)."""
     from hiretide.functions.dom import text_of_fragment
 
-    marked_up = F.when(markup.rlike("[<&]"), markup)
+    marked_up = F.when(markup.contains("<") | markup.contains("&"), markup)
     return squeeze(F.coalesce(text_of_fragment(marked_up), markup, F.lit("")))
 
 
 def strip_boilerplate(text: Column) -> Column:
     """Drop each marker sentence up to the next blank line or the end (TX3)."""
-    for marker in rules.BOILERPLATE_MARKERS:
-        text = F.regexp_replace(text, rf"(?isU)\b{re.escape(marker)}\b.*?(?=\n\n|\z)", "")
-    return text
+    def strip_all(t: Column) -> Column:
+        for marker in BOILERPLATE_MARKERS:
+            t = F.regexp_replace(t, rf"(?isU)\b{re.escape(marker)}\b.*?(?=\n\n|\z)", "")
+        return t
+
+    # most texts hold no marker and skip the case-insensitive patterns
+    return bound(text, lambda t: F.when(
+        bound(F.lower(t), lambda lowered: contains_any(lowered, [m.lower() for m in BOILERPLATE_MARKERS])), strip_all(t)
+    ).otherwise(t))
 
 
 def clean_description(raw: Column, markup: Column) -> Column:
     """Cleaned plain description (TX2); HTML wins over raw text when present."""
     source = F.coalesce(F.nullif(markup, F.lit("")), raw, F.lit(""))
-    needs_python = source.rlike(f"[<&]|[^{NFKC_STABLE}]")
+    # the class after the lookbehind is consulted for non-ASCII characters only
+    unstable = (F.octet_length(source) != F.length(source)) & source.rlike(rf"[^\x00-\x7F](?<![{NFKC_STABLE}])")
+    needs_python = source.contains("<") | source.contains("&") | unstable
     decoded = _decode_and_normalize(F.when(needs_python, source))
     text = F.coalesce(decoded, _tidy_lines(source))
-    text = F.replace(strip_boilerplate(text), F.lit("\u00a0"), F.lit(" "))
-    return _tidy_lines(text)
+    return _tidy_lines(F.replace(strip_boilerplate(text), F.lit("\u00a0"), F.lit(" ")))
 
 
 def searchable(title: Column, company: Column, location: Column,
@@ -159,7 +168,7 @@ def display_text(markup: Column) -> Column:
 
 def alias_pattern(aliases) -> str:
     """Alias match where letters, digits and hyphens are word characters (TX7)."""
-    return rf"(?<![a-z0-9-])(?:{'|'.join(map(re.escape, aliases))})(?![a-z0-9-])"
+    return rf"(?<![a-z0-9-])(?:{alternation(aliases)})(?![a-z0-9-])"
 
 
 def slug(text: Column, default: str = "recruiting") -> Column:

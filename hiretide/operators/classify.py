@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 from hiretide import rules
 from hiretide.functions import text as tx
-from hiretide.functions.expr import alternation, computed_once, contains_any, first_label, labels, strings, strip
+from hiretide.functions.expr import (
+    alternation, computed_once, contains_any, first_label, first_label_in, labels, labels_in, labels_where, mentions,
+    strings, strip,
+)
 from hiretide.operators.skew import best_per_key
 
 
 def program_type(text: Column) -> Column:
     """N1.  Precedence: intern words, new-grad phrases, experience, other."""
-    intern = text.rlike(rf"\b(?:{alternation(rules.INTERN_WORDS)})\b")
-    experience = text.rlike(r"\b[3-9]\+?\s+years?\b")
+    intern = mentions(text, ("intern", "co-op", "coop"), rf"\b(?:{alternation(rules.INTERN_WORDS)})\b")
+    new_grad = mentions(text, rules.NEW_GRAD_PHRASES, tx.alias_pattern(rules.NEW_GRAD_PHRASES))
+    experience = mentions(text, ("year",), r"\b[3-9]\+?\s+years?\b")
     return first_label(
         {
             "internship": intern | text.contains("summer analyst"),
-            "new_grad": text.rlike(tx.alias_pattern(rules.NEW_GRAD_PHRASES)),
+            "new_grad": new_grad,
             "experienced": experience | text.contains("senior") | text.contains("staff "),
         },
         "other",
@@ -29,12 +33,12 @@ def program_type(text: Column) -> Column:
 
 def academic_levels(text: Column) -> Column:
     """N2."""
-    return labels({level: contains_any(text, terms) for level, terms in rules.ACADEMIC_LEVEL_TERMS.items()})
+    return labels_in(text, rules.ACADEMIC_LEVEL_TERMS)
 
 
 def degree_requirements(text: Column) -> Column:
     """N3."""
-    return labels({degree: contains_any(text, terms) for degree, terms in rules.DEGREE_TERMS.items()})
+    return labels_in(text, rules.DEGREE_TERMS)
 
 
 YEAR = r"20(?:2[4-9]|3[0-5])"
@@ -79,12 +83,12 @@ def grad_years(text: Column) -> Column:
     )
     spans = F.flatten(F.transform(F.array_compact(bounds), lambda r: F.sequence(r.a, r.b)))
     years = F.array_sort(F.array_distinct(F.concat(F.array_compact(single), spans)))
-    return F.when(text.rlike(rf"\b{YEAR}\b"), years).otherwise(F.array().cast("array<int>"))
+    return F.when(mentions(text, ("202", "203"), rf"\b{YEAR}\b"), years).otherwise(F.array().cast("array<int>"))
 
 
 def visa_status(text: Column) -> Column:
     """N5.  First group with a matching phrase, in table order."""
-    return first_label({s: contains_any(text, t) for s, t in rules.VISA_TERMS.items()}, "not_mentioned")
+    return first_label_in(text, rules.VISA_TERMS, "not_mentioned")
 
 
 def visa_sponsorship(status: Column) -> Column:
@@ -103,7 +107,7 @@ def _mentioned_aliases(text: Column) -> Column:
 
 
 def skills_from_aliases(found: Column) -> Column:
-    return labels({s: F.arrays_overlap(found, strings(a)) for s, a in rules.SKILL_ALIASES.items()})
+    return labels_where(rules.SKILL_ALIASES, lambda aliases: F.arrays_overlap(found, aliases))
 
 
 def required_skills(text: Column) -> Column:
@@ -129,9 +133,8 @@ def min_gpa(text: Column) -> Column:
     """N9.  The first pattern that matches decides, even if out of range."""
     leading = r"\b(?:minimum\s+)?(?:gpa|grade point average)\s*(?:of|:)?\s*([0-4]\.\d{1,2})\b"
     trailing = r"\b([0-4]\.\d{1,2})\s*(?:minimum\s+)?gpa\b"
-    value = F.coalesce(
-        *[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") for p in (leading, trailing)]
-    )
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") for p in (leading, trailing)]
+    value = F.when(contains_any(text, ("gpa", "grade point average")), F.coalesce(*found))
     return F.when(value.between(0.0, 4.0), value)
 
 
@@ -142,7 +145,7 @@ def clearance_required(text: Column) -> Column:
 
 def remote_type(text: Column) -> Column:
     """N11.  The haystack already holds the locations."""
-    return first_label({k: contains_any(text, t) for k, t in rules.REMOTE_TERMS.items()}, "unknown")
+    return first_label_in(text, rules.REMOTE_TERMS, "unknown")
 
 
 def review_reasons(cleaned, program, levels, years, visa, remote) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide import rules
-from hiretide.functions.expr import alternation, bound, computed_once, contains_any, first_label, labels, no_strings, strings
+from hiretide.functions.expr import (
+    alternation, bound, computed_once, contains_any, first_label, first_label_in, labels_in, no_strings,
+)
 from hiretide.functions.text import slug
 from hiretide.operators.skew import best_per_key
 
@@ -24,24 +26,17 @@ def location_type(text: Column) -> Column:
 def event_type(title: Column, description: Column) -> Column:
     """E11."""
     text = F.lower(F.concat(title, F.lit(" "), F.coalesce(description, F.lit(""))))
-    return bound(text, lambda t: first_label(
-        {label: contains_any(t, terms) for label, terms in rules.EVENT_TYPE_TERMS.items()}, "recruiting"
-    ))
+    return bound(text, lambda t: first_label_in(t, rules.EVENT_TYPE_TERMS, "recruiting"))
 
 
 def audience_tags(text: Column) -> Column:
     """E12, sorted."""
-    return bound(F.lower(text), lambda t: F.array_sort(
-        labels({tag: contains_any(t, terms) for tag, terms in rules.AUDIENCE_TERMS.items()})
-    ))
+    return bound(F.lower(text), lambda t: F.array_sort(labels_in(t, rules.AUDIENCE_TERMS)))
 
 
 def location_from_text(text: Column) -> Column:
     """One generic place, or none."""
-    place = bound(F.lower(text), lambda t: first_label(
-        {place: contains_any(t, terms) for place, terms in rules.LOCATION_TEXT_TERMS.items()}
-    ))
-    return F.array_compact(F.array(place))
+    return bound(F.lower(text), lambda t: F.slice(labels_in(t, rules.LOCATION_TEXT_TERMS), 1, 1))
 
 
 def default_location(location: Column, kind: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide import rules
-from hiretide.functions.expr import any_of, strings, strip
+from hiretide.functions.expr import bound, contains_any, strings, strip
 
 
 def padded(text: Column) -> Column:
@@ -16,28 +16,31 @@ def padded(text: Column) -> Column:
 
 def has_term(padded_text: Column, terms) -> Column:
     """A term must be delimited by blanks on both sides."""
-    spaced = (" " + t.translate(str.maketrans("/-_", "   ")) + " " for t in terms)
-    return any_of(padded_text.contains(t) for t in spaced)
+    spaced = [" " + t.translate(str.maketrans("/-_", "   ")) + " " for t in terms]
+    return contains_any(padded_text, spaced)
 
 
 def is_relevant(title: Column, departments: Column, required: Column, nice: Column,
                 description: Column) -> Column:
     """R2.  The description is searched only when a weak title needs it."""
-    heading = padded(F.coalesce(title, F.lit("")))
     teams = padded(F.coalesce(F.array_join(departments, " "), F.lit("")))
     skills = F.transform(F.concat(required, nice), lambda s: F.lower(strip(s)))
-
-    negative = has_term(heading, rules.NEGATIVE_TITLE_TERMS)
-    technical = has_term(heading, rules.TECHNICAL_NOUNS)
-    team = has_term(teams, rules.RELEVANT_DEPARTMENT_TERMS)
-    skilled = F.arrays_overlap(skills, strings(rules.RELEVANT_SKILLS))
-    described = has_term(padded(F.coalesce(description, F.lit(""))), rules.RELEVANT_DESCRIPTION_TERMS)
-    return (
-        F.when(negative & ~technical, False)
-        .when(has_term(heading, rules.STRONG_TITLE_TERMS), True)
-        .when(has_term(heading, rules.WEAK_TITLE_TERMS) & (team | skilled | described), True)
-        .otherwise(team & skilled & ~negative)
-    )
+    body = padded(F.coalesce(description, F.lit("")))
+
+    def judge(heading: Column) -> Column:
+        negative = has_term(heading, rules.NEGATIVE_TITLE_TERMS)
+        technical = has_term(heading, rules.TECHNICAL_NOUNS)
+        team = bound(teams, lambda t: has_term(t, rules.RELEVANT_DEPARTMENT_TERMS))
+        skilled = F.arrays_overlap(skills, strings(rules.RELEVANT_SKILLS))
+        described = bound(body, lambda t: has_term(t, rules.RELEVANT_DESCRIPTION_TERMS))
+        return (
+            F.when(negative & ~technical, False)
+            .when(has_term(heading, rules.STRONG_TITLE_TERMS), True)
+            .when(has_term(heading, rules.WEAK_TITLE_TERMS) & (team | skilled | described), True)
+            .otherwise(team & skilled & ~negative)
+        )
+
+    return bound(padded(F.coalesce(title, F.lit(""))), judge)
 
 
 def relevance_text(cleaned: Column, raw: Column) -> Column:

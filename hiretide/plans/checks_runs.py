@@ -615,7 +615,7 @@ def src4(spark, sf_dir):
 )
 def src5(spark, sf_dir):
     bare = F.regexp_replace("url", "[?#].*$", "")
-    marked = given(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(" ﻿"), bare).alias("source_url"))
+    marked = given(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(" \ufeff"), bare).alias("source_url"))
     return routing.dedupe_urls(marked, ["page_id"])
 
 

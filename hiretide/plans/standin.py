@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hiretide.plans.dialect import DUCK, SPARK, Duck, choose
+from hiretide.session import spread_small
 
 AS_OF = "2026-06-01 00:00:00"
 
@@ -187,8 +188,13 @@ VIEWS = {
 }
 
 
+# tables whose rows carry whole texts
+TEXT_TABLES = ("documents", "pages")
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(scan) if name in TEXT_TABLES else scan
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
