@@ -10,6 +10,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def facts(fields: str) -> T.StructType:
+    """Schema of extracted facts, 'name kind, ...' (no session needed)."""
+    pairs = (part.split(" ") for part in fields.split(", "))
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
+
+
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
 )

@@ -20,6 +20,7 @@ from hiretide import rules
 from hiretide.functions import dates
 from hiretide.functions import text as tx
 from hiretide.functions.dom import by_class, by_tag, link, parse
+from hiretide.functions.dom import facts as fact_schema
 from hiretide.functions.expr import bound, join_present, no_strings, present, squeeze, strings
 from hiretide.functions.variant import at, event_date, first_string, first_value, kind, objects, string_list
 from hiretide.operators.events import (
@@ -70,7 +71,7 @@ def _named_object(text: str, name: str):
         return None
 
 
-_ITEMS = T.ArrayType(T.StructType.fromDDL("linked boolean, item string"))
+_ITEMS = T.ArrayType(fact_schema("linked boolean, item string"))
 
 
 @F.pandas_udf(_ITEMS)
@@ -232,7 +233,7 @@ def _described(facts: DataFrame, firm: Column | None = None) -> DataFrame:
 
 # --- cards -------------------------------------------------------------------------------
 
-_CARDS = T.ArrayType(T.StructType.fromDDL(
+_CARDS = T.ArrayType(fact_schema(
     "selector int, text string, heading string, strong string, stamp string, href string, cells array<string>"
 ))
 
@@ -319,7 +320,7 @@ def recruiting_card_events(pages: DataFrame, as_of: Column) -> DataFrame:
     return unique.withColumn("_n", place).filter(F.col("_n") <= rules.RECRUITING_CARDS_PER_PAGE).drop("_n")
 
 
-_SITE_CARDS = T.ArrayType(T.StructType.fromDDL(
+_SITE_CARDS = T.ArrayType(fact_schema(
     "site string, title string, href string, text string, kind string, place string, topic string, "
     "event_id string, starts string, ends string, shown string"
 ))

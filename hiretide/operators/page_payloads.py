@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 from hiretide import names
 from hiretide.functions import dates
 from hiretide.functions.dom import by_class, by_tag, link, outer_html, parse
+from hiretide.functions.dom import facts as fact_schema
 from hiretide.functions.expr import bound, clean_list, no_strings, present
 from hiretide.operators.payloads import _listing, company_of, join_url, token_name
 from hiretide.operators.routing import host
 from hiretide.operators.skew import best_per_key
 
-_ANCHOR = T.ArrayType(T.StructType.fromDDL(
+_ANCHOR = T.ArrayType(fact_schema(
     "href string, job_id string, title string, locations array<string>, teams array<string>"
 ))
 
@@ -143,7 +144,7 @@ def map_talentbrew(boards: DataFrame, as_of: Column, details: DataFrame | None =
     return _listing(flat, "talentbrew", as_of, carry)
 
 
-_ROW = T.ArrayType(T.StructType.fromDDL("href string, title string, place string"))
+_ROW = T.ArrayType(fact_schema("href string, title string, place string"))
 
 
 @F.pandas_udf(_ROW)
@@ -163,7 +164,7 @@ def _table_rows(pages: pd.Series) -> pd.Series:
     return pages.map(rows, na_action="ignore")
 
 
-_DETAIL = T.StructType.fromDDL("description string, posted string, department string")
+_DETAIL = fact_schema("description string, posted string, department string")
 
 
 @F.pandas_udf(_DETAIL)

@@ -17,11 +17,15 @@ from hiretide.plans.standin import duck_views
 from hiretide.plans.tables import as_of, joined, listings, stamp
 
 PER_PAGE = 20
-_n, _c = F.col("doc_id"), F.col
+_c = F.col
+
+
+def _n():
+    return F.col("doc_id")
 
 
 def _page_id():
-    return F.floor(_n / PER_PAGE)
+    return F.floor(_n() / PER_PAGE)
 
 
 def _url(template: str):
@@ -92,8 +96,16 @@ def _by_token(*values: str) -> str:
     return choose(DUCK, _BLOCK, values)
 
 
-_html = F.concat(F.lit("<p>"), "raw_description", F.lit("</p>"))
-_iso = F.date_format("date_posted", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _html():
+    return F.concat(F.lit("<p>"), "raw_description", F.lit("</p>"))
+
+
+def _iso():
+    return F.date_format("date_posted", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 
 
 def _register(name: str, provider: str, boards, check: str) -> None:
@@ -113,9 +125,9 @@ def _register(name: str, provider: str, boards, check: str) -> None:
 )
 def pay0(spark, sf_dir):
     flat = listings(spark, sf_dir).select(
-        F.lit("x").alias("source_url"), F.lit("x").alias("board_token"), _n.alias("page_ord"), F.lit(0).alias("pos"),
+        F.lit("x").alias("source_url"), F.lit("x").alias("board_token"), _n().alias("page_ord"), F.lit(0).alias("pos"),
         _c("company_name").alias("_company"), _c("job_title").alias("_title"), _c("job_url").alias("_url"),
-        _c("ats_job_id").alias("_number"), F.array_compact(F.array(F.when(_n % 3 != 0, _c("company_name")))).alias("_location"),
+        _c("ats_job_id").alias("_number"), F.array_compact(F.array(F.when(_n() % 3 != 0, _c("company_name")))).alias("_location"),
         _c("raw_description").alias("_markup"),
     )
     built = payloads._listing(flat, "lever", as_of(), ["source_url", "board_token", "page_ord"])
@@ -129,8 +141,8 @@ _register(
     lambda spark, d: _boards(
         spark, d,
         _obj(
-            id="doc_id", title="job_title", absolute_url=F.when(_n % 2 == 0, F.concat(F.lit(" "), "job_url")), content=_html, updated_at=_iso,
-            location=F.when(_n % 3 != 0, _named(F.get("location", F.lit(0)), "name")),
+            id="doc_id", title="job_title", absolute_url=F.when(_n() % 2 == 0, F.concat(F.lit(" "), "job_url")), content=_html(), updated_at=_iso(),
+            location=F.when(_n() % 3 != 0, _named(F.get("location", F.lit(0)), "name")),
             offices=F.transform("location", lambda x: F.struct(x.alias("name"))),
             departments=F.transform("departments", lambda x: F.struct(x.alias("name"))),
         ),
@@ -170,8 +182,8 @@ _register(
     lambda spark, d: _boards(
         spark, d,
         _obj(
-            id="ats_job_id", title="job_title", isListed=F.when(_n % 4 == 0, F.lit(None)).otherwise(_n % 5 != 0), descriptionHtml=_html,
-            jobUrl=F.when(_n % 2 == 0, _c("job_url")), publishedAt=_iso, location=F.lit(" "), locations="location",
+            id="ats_job_id", title="job_title", isListed=F.when(_n() % 4 == 0, F.lit(None)).otherwise(_n() % 5 != 0), descriptionHtml=_html(),
+            jobUrl=F.when(_n() % 2 == 0, _c("job_url")), publishedAt=_iso(), location=F.lit(" "), locations="location",
             employmentType="employment_type", department=_named(F.lit("Platform"), "name"), team=F.get("departments", F.lit(0)),
         ),
         ('{"organizationName":"Org","jobs":[', ",", "]}"), "https://jobs.ashbyhq.com/page#", _token("1password", "acme-labs"),
@@ -187,8 +199,8 @@ _register(
 def _workday_boards(spark, sf_dir):
     path = F.concat(F.lit("/job/Some-Role_"), F.col("ats_job_id"), F.lit("_R"), F.col("ats_job_id"))
     job = _obj(
-        title=F.when(_n % 2 == 0, _c("job_title")), externalPath=path, bulletFields=F.when(_n % 3 == 0, F.array(F.concat(F.lit("REQ"), "ats_job_id"))),
-        postedOn=F.when(_n % 4 == 0, "Posted Yesterday").otherwise("Posted 3 Days Ago"), locationsText=F.get("location", F.lit(0)),
+        title=F.when(_n() % 2 == 0, _c("job_title")), externalPath=path, bulletFields=F.when(_n() % 3 == 0, F.array(F.concat(F.lit("REQ"), "ats_job_id"))),
+        postedOn=F.when(_n() % 4 == 0, "Posted Yesterday").otherwise("Posted 3 Days Ago"), locationsText=F.get("location", F.lit(0)),
     )
     return _boards(
         spark, sf_dir, job, ('{"total":9,"jobPostings":[', ",", "]}"), "https://jll.wd1.myworkdayjobs.com/en-US/Site#", _token("jll", "some-firm"),
@@ -230,10 +242,10 @@ def pay5(spark, sf_dir):
 
     boards = slices("Family A", 0).unionByName(slices("Family B", 1 << 40))
     info = F.struct(_c("raw_description").alias("jobDescription"), F.lit("Detail").alias("jobFamily"), F.lit("2026-05-18").alias("startDate"))
-    details = listings(spark, sf_dir).filter((_n % 2 == 0) & (_c("raw_description") != "")).select(
+    details = listings(spark, sf_dir).filter((_n() % 2 == 0) & (_c("raw_description") != "")).select(
         F.lit("https://x.wd1.myworkdayjobs.com/Site").alias("source_url"), path.alias("detail_key"), F.to_json(info).alias("payload")
     )
-    blank = listings(spark, sf_dir).filter((_n % 2 == 0) & (_c("raw_description") == "")).select(
+    blank = listings(spark, sf_dir).filter((_n() % 2 == 0) & (_c("raw_description") == "")).select(
         F.lit("https://x.wd1.myworkdayjobs.com/Site").alias("source_url"), path.alias("detail_key"),
         F.lit('{"jobDescription":"<br>","jobFamily":"Detail","startDate":"2026-05-18"}').alias("payload"),
     )
@@ -246,7 +258,7 @@ _register(
     lambda spark, d: _boards(
         spark, d,
         _obj(
-            id_icims=F.when(_n % 2 == 0, _c("ats_job_id")), job_path=F.concat(F.lit("/en/jobs/"), "ats_job_id"), title="job_title",
+            id_icims=F.when(_n() % 2 == 0, _c("ats_job_id")), job_path=F.concat(F.lit("/en/jobs/"), "ats_job_id"), title="job_title",
             description="raw_description", basic_qualifications=F.lit("<b>Basic</b>"), preferred_qualifications=F.lit(""),
             normalized_location=F.get("location", F.lit(0)), job_type="employment_type", team=F.get("departments", F.lit(0)),
             business_category=F.lit("retail"), posted_date=F.date_format("date_posted", "MMMM d, yyyy"),
@@ -268,7 +280,7 @@ def _google_boards(spark, sf_dir):
     record = F.concat(
         F.lit("["), inner(_c("ats_job_id")), F.lit(","), inner(_c("job_title")), F.lit(',"https://www.google.com/about/careers/signin?jobId='),
         "ats_job_id", F.lit('",[null,"<p>Resp</p>"],[null,"<p>Qual</p>"],"c",null,'), inner(F.coalesce(F.get("departments", F.lit(0)), F.lit(""))),
-        F.lit(',"en",[['), inner(F.get("location", F.lit(0))), F.lit(',["x"]],[" "]],[null,'), inner(_html), F.lit("],[2],["),
+        F.lit(',"en",[['), inner(F.get("location", F.lit(0))), F.lit(',["x"]],[" "]],[null,'), inner(_html()), F.lit("],[2],["),
         F.coalesce(F.unix_seconds("date_posted").cast("string"), F.lit("null")), F.lit(",24000000],[1],[1]]"),
     )
     links = F.concat(
@@ -295,9 +307,9 @@ _register(
 
 def _apple_boards(spark, sf_dir):
     job = _obj(
-        id=F.when(_n % 2 == 0, F.concat(F.lit("PIPE-"), "ats_job_id")).otherwise(_c("ats_job_id")), positionId=F.concat(F.lit("9"), "ats_job_id"),
+        id=F.when(_n() % 2 == 0, F.concat(F.lit("PIPE-"), "ats_job_id")).otherwise(_c("ats_job_id")), positionId=F.concat(F.lit("9"), "ats_job_id"),
         postingTitle="job_title", jobSummary="raw_description", transformedPostingTitle=F.lit("a-role"), type="employment_type",
-        postExternal=F.when(_n % 6 == 0, F.lit(False)), postDateInGMT=_iso, team=F.struct(F.lit("Soft ware").alias("teamName"), F.lit("SF&T").alias("teamCode")),
+        postExternal=F.when(_n() % 6 == 0, F.lit(False)), postDateInGMT=_iso(), team=F.struct(F.lit("Soft ware").alias("teamName"), F.lit("SF&T").alias("teamCode")),
         locations=F.array(F.struct(F.get("location", F.lit(0)).alias("name"), F.lit("X").alias("countryName")), F.struct(F.lit("").alias("name"), F.lit("Y").alias("countryName"))),
     )
     pages = _boards(spark, sf_dir, job, ('{"loaderData":{"a":1,"search":{"searchResults":[', ",", '],"totalRecords":3}}}'),
@@ -320,8 +332,8 @@ def _meta_boards(spark, sf_dir):
     url = "https://www.metacareers.com/jobs#"
     job = _obj(id="ats_job_id", title="job_title", locations="location", teams="departments", sub_teams=F.array(F.lit("Sub")))
     pages = _boards(spark, sf_dir, job, ('{"data":{"job_search_with_featured_jobs_v2":{"all_jobs":[', ",", "]}}}"), url, _token("meta"))
-    schema = F.struct(_c("raw_description").alias("description"), _iso.alias("datePosted"), _c("employment_type").alias("employmentType"))
-    details = listings(spark, sf_dir).filter(_n % 2 == 0).select(
+    schema = F.struct(_c("raw_description").alias("description"), _iso().alias("datePosted"), _c("employment_type").alias("employmentType"))
+    details = listings(spark, sf_dir).filter(_n() % 2 == 0).select(
         _url(url).alias("source_url"), _c("ats_job_id").alias("detail_key"), F.to_json(schema).alias("payload")
     )
     return pages, details
@@ -342,7 +354,7 @@ _register(
 def _eightfold_boards(spark, sf_dir):
     """Even pages embed escaped data, odd pages are search responses."""
     job = _obj(
-        id="doc_id", displayJobId="ats_job_id", name="job_title", job_description=F.when(_n % 3 == 0, _html), positionUrl=F.concat(F.lit("/careers/job/"), "ats_job_id"),
+        id="doc_id", displayJobId="ats_job_id", name="job_title", job_description=F.when(_n() % 3 == 0, _html()), positionUrl=F.concat(F.lit("/careers/job/"), "ats_job_id"),
         locations="location", department=F.get("departments", F.lit(0)), business_unit=F.get("departments", F.lit(0)),
         workLocationOption="employment_type", t_create=F.unix_seconds("date_posted"),
     )
@@ -365,14 +377,14 @@ _register(
 def _oracle_boards(spark, sf_dir):
     url = "https://jpmc.fa.oraclecloud.com/en/sites/CX#/jobs"
     job = _obj(
-        Id="doc_id", Title="job_title", PostingEndDate=F.when(_n % 5 == 0, "2026-01-01").when(_n % 5 == 1, "2027-01-01"),
+        Id="doc_id", Title="job_title", PostingEndDate=F.when(_n() % 5 == 0, "2026-01-01").when(_n() % 5 == 1, "2027-01-01"),
         ShortDescriptionStr=F.lit("Short"), PrimaryLocation=F.get("location", F.lit(0)),
         workLocation=F.transform("location", lambda x: F.struct(x.alias("LocationName"))), otherWorkLocations=F.array(F.lit("Extra")),
         JobSchedule="employment_type", PostedDate=F.date_format("date_posted", "yyyy-MM-dd"), Organization=F.lit("Org"), Category=F.lit("Org"),
     )
     pages = _boards(spark, sf_dir, job, ('{"items":[{"TotalJobsCount":6,"requisitionList":[', ",", "]}]}"), url, _token("cx"))
     detail = F.struct(_c("raw_description").alias("ExternalDescriptionStr"), F.lit("Fn").alias("JobFunction"))
-    details = listings(spark, sf_dir).filter(_n % 2 == 0).select(
+    details = listings(spark, sf_dir).filter(_n() % 2 == 0).select(
         _url(url).alias("source_url"), _c("ats_job_id").alias("detail_key"), F.to_json(detail).alias("payload")
     )
     return pages, details
@@ -392,9 +404,9 @@ _register(
     lambda spark, d: _boards(
         spark, d,
         _obj(
-            id="ats_job_id", name="job_title", company=_named(_c("company_name"), "name"), location=F.when(_n % 3 != 0, _named(F.get("location", F.lit(0)), "fullLocation")),
+            id="ats_job_id", name="job_title", company=_named(_c("company_name"), "name"), location=F.when(_n() % 3 != 0, _named(F.get("location", F.lit(0)), "fullLocation")),
             department=_named(F.get("departments", F.lit(0)), "label"), function=_named(F.lit("Fn"), "label"),
-            typeOfEmployment=_named(_c("employment_type"), "label"), releasedDate=_iso,
+            typeOfEmployment=_named(_c("employment_type"), "label"), releasedDate=_iso(),
         ),
         ('{"totalFound":7,"content":[', ",", "]}"), "https://api.smartrecruiters.com/v1/companies/page#/postings", _token("SmartCo"),
     ),
@@ -430,9 +442,9 @@ _register(
         spark, d,
         _obj(
             Id="ats_job_id", Title="job_title", Teams="departments",
-            Urls=F.array(F.struct(F.lit("/first").alias("Url"), F.lit(False).alias("IsDefault")), F.struct(F.concat(F.lit("/jobs/"), "ats_job_id").alias("Url"), (_n % 2 == 0).alias("IsDefault"))),
+            Urls=F.array(F.struct(F.lit("/first").alias("Url"), F.lit(False).alias("IsDefault")), F.struct(F.concat(F.lit("/jobs/"), "ats_job_id").alias("Url"), (_n() % 2 == 0).alias("IsDefault"))),
             Locations=F.array(
-                F.struct(F.when(_n % 2 == 0, "Spot").alias("Identifier"), F.lit("Paris").alias("City"), F.lit("Paris").alias("Region"), F.lit("France").alias("Country")),
+                F.struct(F.when(_n() % 2 == 0, "Spot").alias("Identifier"), F.lit("Paris").alias("City"), F.lit("Paris").alias("Region"), F.lit("France").alias("Country")),
                 F.struct(F.lit("").alias("Identifier"), F.lit(None).cast("string").alias("City"), F.lit("R").alias("Region"), F.lit("Chile").alias("Country")),
             ),
         ),
@@ -468,8 +480,8 @@ _register(
     lambda spark, d: _boards(
         spark, d,
         _obj(job=F.struct(
-            F.when(_n % 2 == 0, _n).alias("id"), F.concat(F.lit("ref"), "ats_job_id").alias("ref"), _c("job_title").alias("title"), _c("job_url").alias("url"),
-            F.when(_n % 3 == 0, _html).alias("description"), F.get("location", F.lit(0)).alias("primary_city"), F.lit("ZZ").alias("primary_country"),
+            F.when(_n() % 2 == 0, _n()).alias("id"), F.concat(F.lit("ref"), "ats_job_id").alias("ref"), _c("job_title").alias("title"), _c("job_url").alias("url"),
+            F.when(_n() % 3 == 0, _html()).alias("description"), F.get("location", F.lit(0)).alias("primary_city"), F.lit("ZZ").alias("primary_country"),
             _c("employment_type").alias("employment_type"), _c("departments").alias("department"), F.date_format("date_posted", "yyyy-MM-dd").alias("open_date"),
         )),
         ('{"totalHits":4,"searchResults":[', ",", "]}"), "https://careers.homedepot.com/job-search-results/#", _token("homedepot"),
@@ -491,7 +503,7 @@ _register(
         spark, d,
         F.concat(
             F.lit("<item><title> "), _xml(_c("job_title")), F.lit("</title><link>https://careers.twosigma.com/careers/JobDetail/x/"), "ats_job_id",
-            F.lit("/</link><description>"), _xml(F.when(_n % 3 == 0, "").otherwise(F.get("location", F.lit(0)))), F.lit("</description><pubDate>"),
+            F.lit("/</link><description>"), _xml(F.when(_n() % 3 == 0, "").otherwise(F.get("location", F.lit(0)))), F.lit("</description><pubDate>"),
             F.coalesce(F.concat(F.date_format("date_posted", "E, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")), F.lit("")), F.lit("</pubDate></item>"),
         ),
         ('<rss version="2.0"><channel><title>t</title>', "", "</channel></rss>"), "https://careers.twosigma.com/careers/feed#", _token("careers"),
@@ -517,9 +529,9 @@ def _talentbrew_boards(spark, sf_dir):
         F.lit('<li><a class="sr-job-item__link" data-job-id="'), "ats_job_id", F.lit('" href="/job/x/'), "ats_job_id", F.lit('"><h3>'), "job_title",
         F.lit('</h3></a><span class="sr-job-location">Here</span><span class="category">Team B</span></li>'),
     )
-    pages = _boards(spark, sf_dir, F.when(_n % 2 == 0, anchor).otherwise(card), ("<ul id='search-results'>", "", "</ul>"), url, _token("careers"))
-    schema = F.struct(F.lit("JobPosting").alias("@type"), _html.alias("description"), F.date_format("date_posted", "yyyy-M-d").alias("datePosted"))
-    details = listings(spark, sf_dir).filter(_n % 4 == 0).select(
+    pages = _boards(spark, sf_dir, F.when(_n() % 2 == 0, anchor).otherwise(card), ("<ul id='search-results'>", "", "</ul>"), url, _token("careers"))
+    schema = F.struct(F.lit("JobPosting").alias("@type"), _html().alias("description"), F.date_format("date_posted", "yyyy-M-d").alias("datePosted"))
+    details = listings(spark, sf_dir).filter(_n() % 4 == 0).select(
         _url(url).alias("source_url"), F.concat(F.lit("https://careers.arm.com/job/x/"), "ats_job_id").alias("detail_key"),
         F.concat(F.lit('<script type="application/ld+json">'), F.to_json(schema), F.lit("</script>")).alias("payload"),
     )
@@ -542,14 +554,14 @@ def _successfactors_boards(spark, sf_dir):
     url = "https://jobs.sap.com/search/?startrow=#"
     row = F.concat(
         F.lit('<tr class="data-row"><td><a class="jobTitle-link" href="/job/x/'), "ats_job_id", F.lit('/">'), "job_title", F.lit("</a></td>"),
-        F.when(_n % 3 != 0, F.concat(F.lit('<td><span class="jobLocation"> '), F.get("location", F.lit(0)), F.lit("</span></td>"))).otherwise(F.lit("")), F.lit("</tr>"),
+        F.when(_n() % 3 != 0, F.concat(F.lit('<td><span class="jobLocation"> '), F.get("location", F.lit(0)), F.lit("</span></td>"))).otherwise(F.lit("")), F.lit("</tr>"),
     )
     pages = _boards(spark, sf_dir, row, ("<table>", "", "</table>"), url, _token("sap"))
     detail = F.concat(
-        F.lit('<meta itemprop="datePosted" content="'), F.coalesce(_iso, F.lit("")), F.lit('"><div class="jobdescription"><p>'), F.replace("raw_description", F.lit("&"), F.lit("&amp;")),
+        F.lit('<meta itemprop="datePosted" content="'), F.coalesce(_iso(), F.lit("")), F.lit('"><div class="jobdescription"><p>'), F.replace("raw_description", F.lit("&"), F.lit("&amp;")),
         F.lit('</p></div><span data-careersite-propertyid="department">'), "company_name", F.lit("</span>"),
     )
-    details = listings(spark, sf_dir).filter(_n % 2 == 0).select(
+    details = listings(spark, sf_dir).filter(_n() % 2 == 0).select(
         _url(url).alias("source_url"), F.concat(F.lit("https://jobs.sap.com/job/x/"), "ats_job_id", F.lit("/")).alias("detail_key"), detail.alias("payload"),
     )
     return pages, details
@@ -574,13 +586,13 @@ _register(
     " WHEN 2 THEN 'Src' || substr(company_name, 4) || ' 2K' ELSE 'Big O''Neil' END AS company FROM listings",
 )
 def pay20(spark, sf_dir):
-    token = F.when(_n % 4 == 0, "zoox").when(_n % 4 == 1, "veeva").when(_n % 4 == 2, F.concat("company_name", F.lit("-2k"))).otherwise("big-o'neil")
+    token = F.when(_n() % 4 == 0, "zoox").when(_n() % 4 == 1, "veeva").when(_n() % 4 == 2, F.concat("company_name", F.lit("-2k"))).otherwise("big-o'neil")
     name = payloads.company_of(names.LEVER_COMPANIES, token, payloads.token_name(token))
     return listings(spark, sf_dir).select("doc_id", name.alias("company"))
 
 
 def _counted_boards(spark, sf_dir):
-    job = _obj(id="ats_job_id", isListed=_n % 5 != 0)
+    job = _obj(id="ats_job_id", isListed=_n() % 5 != 0)
     pages = _boards(spark, sf_dir, job, ("[", ",", "]"), "https://example.com/#", _token("t"))
     n = _c("page_ord") % 6
     provider = F.when(n == 0, "greenhouse").when(n == 1, "lever").when(n == 2, "ashby").when(n == 3, "smartrecruiters").when(n == 4, "amazon")
