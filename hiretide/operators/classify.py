@@ -58,8 +58,10 @@ def _marker_after(reach: int) -> str:
 def _years_in_context(text: Column, span: str, groups: int, reach: int) -> tuple[list[Column], Column]:
     """Aligned arrays, one entry per non-overlapping match of ``span``: its
     capture groups, and whether a student term is near."""
-    # the cheap lookahead keeps the lookbehind off all other positions
-    pattern = rf"(?s)(?=\b20[23])(?:{_marker_before(reach)})?{span}(?:{_marker_after(reach)})?"
+    # Looking ahead for the span first keeps the lookbehind off all positions that
+    # will not match: its capture would survive there into the next match.
+    ahead = span.replace(f"({YEAR})", YEAR)
+    pattern = rf"(?s)(?={ahead})(?:{_marker_before(reach)})?{span}(?:{_marker_after(reach)})?"
 
     def group(i: int) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), i)

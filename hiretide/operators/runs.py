@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.operators.skew import best_per_key, same_keys
+from hiretide.operators.skew import best_per_key, join_null_safe
 
 JOB_KEY = ["_hash", "_provider", "_number", "_url"]
 INPUT_ORDER = ["run_ord", "pos"]
@@ -115,7 +115,7 @@ def merge_jobs(primary: DataFrame, fallback: DataFrame, tokens: Iterable[str],
     matched = with_job_key(fallback).withColumn("added_token", replacement_token(tokens, company_by_token))
     first = best_per_key(matched.filter(F.col("added_token").isNotNull()), JOB_KEY, _in_order())
     seen = with_job_key(primary).select(*JOB_KEY).distinct()
-    unseen = first.join(seen, same_keys(first, seen, JOB_KEY), "left_anti").drop(*JOB_KEY)
+    unseen = join_null_safe(first, seen, JOB_KEY, "left_anti").drop(*JOB_KEY)
     return primary.withColumn("added_token", F.lit(None).cast("string")).unionByName(unseen)
 
 

@@ -24,8 +24,11 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return ranked.filter("_rank = 1").drop("_rank")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(and_, (left[k].eqNullSafe(right[k]) for k in keys))
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join in which NULL keys match each other; right keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -64,6 +67,6 @@ def ordinal_by_range(df: DataFrame, keys: list[str], order: list[str], name: str
     # one row per key and range: bounded by the number of partitions
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    joined = spread.join(blocks, same_keys(spread, blocks, [*keys, "_range"]))
-    number = spread["_seq"] - blocks["_start"] + blocks["_before"] + 1
-    return joined.select(*[spread[c] for c in df.columns], number.cast("int").alias(name))
+    joined = join_null_safe(spread, blocks, [*keys, "_range"], "inner")
+    number = F.col("_seq") - F.col("_start") + F.col("_before") + 1
+    return joined.select(*df.columns, number.cast("int").alias(name))
