@@ -105,24 +105,31 @@ def event_date(value: Column) -> Column:
 def first_value(doc: Column, *keys: str) -> Column:
     """First value that is neither absent, null nor the empty string."""
     def filled(v: Column) -> Column:
-        return F.when(~(is_string(v) & (_raw(v) == "")), v)
+        return v.isNotNull() & ~F.is_variant_null(v) & ~(is_string(v) & (_raw(v) == ""))
 
-    return F.coalesce(*[bound(at(doc, k), filled) for k in keys])
+    return F.get(F.filter(F.array(*[F.try_variant_get(doc, path(k), "variant") for k in keys]), filled), F.lit(0))
 
 
-def first_string(doc: Column, *keys: str) -> Column:
-    """The first filled value as one line of text.  An object gives its name,
-    text or url; a list gives the first such text in it."""
+def _line(value: Column) -> Column:
+    """One line of text: an object gives its name, text or url; a list gives the
+    first such text in it."""
     def flat(v: Column) -> Column:
         inner = F.coalesce(*[F.nullif(squeeze(_raw(at(v, k))), F.lit("")) for k in ("name", "text", "url")])
         scalar = F.nullif(squeeze(scalar_text(v)), F.lit(""))
         return F.when(kind(v).startswith("OBJECT"), inner).otherwise(scalar)
 
-    def shape(v: Column) -> Column:
-        listed = F.get(F.array_compact(F.transform(elements(v), flat)), F.lit(0))
-        return F.when(kind(v).startswith("ARRAY"), listed).otherwise(flat(v))
+    # scalars and objects are wrapped, so that the reading is spelled out once
+    many = F.coalesce(elements(value), F.array(value))
+    return F.get(F.array_compact(F.transform(many, flat)), F.lit(0))
+
 
-    return bound(first_value(doc, *keys), shape)
+def first_strings(doc: Column, *groups: tuple[str, ...]) -> Column:
+    """One text per key group, as an array: the first filled value of the group."""
+    return F.transform(F.array(*[first_value(doc, *g) for g in groups]), _line)
+
+
+def first_string(doc: Column, *keys: str) -> Column:
+    return F.get(first_strings(doc, keys), F.lit(0))
 
 
 class Doc:

@@ -22,7 +22,7 @@ from hiretide.functions import text as tx
 from hiretide.functions.dom import by_class, by_tag, link, parse
 from hiretide.functions.dom import facts as fact_schema
 from hiretide.functions.expr import bound, join_present, no_strings, present, squeeze, strings
-from hiretide.functions.variant import at, event_date, first_string, first_value, kind, objects, string_list
+from hiretide.functions.variant import at, event_date, first_string, first_strings, first_value, kind, objects, string_list
 from hiretide.operators.events import (
     build_events, event_type, firm_match, has_event_language, location_from_text, location_type,
 )
@@ -104,6 +104,19 @@ def script_items(pages: DataFrame) -> DataFrame:
     )
 
 
+def _read(items: DataFrame, **groups: tuple[str, ...]) -> DataFrame:
+    """Adds a text column _name per key group of the item, read in one expression."""
+    lines = items.withColumn("_lines", first_strings(F.col("_item"), *groups.values()))
+    return lines.withColumns({f"_{name}": F.get("_lines", F.lit(i)) for i, name in enumerate(groups)}).drop("_lines")
+
+
+def _read_dates(items: DataFrame, start: tuple[str, ...], end: tuple[str, ...]) -> DataFrame:
+    """Adds _starts and _ends."""
+    values = F.array(first_value(F.col("_item"), *start), first_value(F.col("_item"), *end))
+    dated = items.withColumn("_dates", F.transform(values, event_date))
+    return dated.withColumns({"_starts": F.get("_dates", F.lit(0)), "_ends": F.get("_dates", F.lit(1))}).drop("_dates")
+
+
 def _place_list(item: Column) -> Column:
     """Location as text, list, or an object with name and address."""
     def address(v: Column) -> Column:
@@ -123,20 +136,17 @@ def _place_list(item: Column) -> Column:
 def map_items(items: DataFrame, as_of: Column) -> DataFrame:
     """Loosely typed objects to events; the firm found in the text counts only
     for sources that list several firms."""
-    item = F.col("_item")
     carry = [c for c in items.columns if c != "_item"]
-    facts = items.select(
-        *carry,
-        first_string(item, *rules.EVENT_TITLE_KEYS).alias("title"),
-        event_date(first_value(item, *rules.EVENT_START_KEYS)).alias("starts_at"),
-        event_date(first_value(item, *rules.EVENT_END_KEYS)).alias("ends_at"),
-        first_string(item, *rules.EVENT_URL_KEYS).alias("_url"),
-        first_string(item, *rules.EVENT_REGISTRATION_KEYS).alias("_registration"),
-        first_string(item, *rules.EVENT_DESCRIPTION_KEYS).alias("description"),
-        first_string(item, *rules.EVENT_TYPE_KEYS).alias("_type"),
-        first_string(item, *rules.EVENT_ID_KEYS).alias("source_event_id"),
-        first_string(item, *rules.EVENT_TIMEZONE_KEYS).alias("timezone"),
-        _place_list(item).alias("places"),
+    read = _read(
+        items, title=rules.EVENT_TITLE_KEYS, url=rules.EVENT_URL_KEYS, registration=rules.EVENT_REGISTRATION_KEYS,
+        description=rules.EVENT_DESCRIPTION_KEYS, type=rules.EVENT_TYPE_KEYS, id=rules.EVENT_ID_KEYS,
+        timezone=rules.EVENT_TIMEZONE_KEYS,
+    )
+    read = _read_dates(read, rules.EVENT_START_KEYS, rules.EVENT_END_KEYS)
+    facts = read.select(
+        *carry, F.col("_title").alias("title"), F.col("_starts").alias("starts_at"), F.col("_ends").alias("ends_at"), "_url",
+        "_registration", F.col("_description").alias("description"), "_type", F.col("_id").alias("source_event_id"),
+        F.col("_timezone").alias("timezone"), _place_list(F.col("_item")).alias("places"),
     )
     c = F.col
     text = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
@@ -431,85 +441,84 @@ def _feed_events(items: DataFrame, as_of: Column, **facts: Column) -> DataFrame:
 
 def jpmorgan_events(feeds: DataFrame, as_of: Column) -> DataFrame:
     """Date and time in separate fields, city, state and country."""
-    i = F.col("_item")
-    items = _feed_items(feeds, objects(at(F.col("_doc"), "events")))
-    s = lambda *k: first_string(i, *k)
-    places = F.array_compact(F.array(s("city"), s("state"), s("country")))
-    natural = join_present("|", s("event_name"), s("date_start"), s("start_time"), s("city"))
-    staged = items.withColumns({"_title": s("event_name"), "_text": tx.single_line_text(s("external_description"))})
+    c = F.col
+    items = _read(
+        _feed_items(feeds, objects(at(F.col("_doc"), "events"))),
+        title=("event_name",), body=("external_description",), day=("date_start",), clock=("start_time",),
+        end_day=("date_end",), end_clock=("end_time",), url=("event_url", "apply_url", "registration_url"), city=("city",),
+        state=("state",), country=("country",), id=("event_id", "id"), kind=("event_classification",),
+        zone=("time_zone", "timezone"),
+    )
+    natural = join_present("|", c("_title"), c("_day"), c("_clock"), c("_city"))
     return _feed_events(
-        staged, as_of, title=F.col("_title"), description=F.col("_text"),
-        starts_at=dates.date_and_time(s("date_start"), s("start_time")),
-        ends_at=dates.date_and_time(s("date_end"), s("end_time")),
-        url=F.coalesce(s("event_url", "apply_url", "registration_url"), F.col("page_url")),
-        places=places, source_event_id=F.coalesce(s("event_id", "id"), natural),
-        type_text=event_type(F.coalesce(s("event_classification"), F.lit("recruiting")), F.col("_title")),
-        timezone=s("time_zone", "timezone"),
+        items.withColumn("_text", tx.single_line_text(c("_body"))), as_of, title=c("_title"), description=c("_text"),
+        starts_at=dates.date_and_time(c("_day"), c("_clock")), ends_at=dates.date_and_time(c("_end_day"), c("_end_clock")),
+        url=F.coalesce("_url", "page_url"), places=F.array_compact(F.array("_city", "_state", "_country")),
+        source_event_id=F.coalesce(c("_id"), natural),
+        type_text=event_type(F.coalesce("_kind", F.lit("recruiting")), c("_title")), timezone=c("_zone"),
     )
 
 
 def morgan_stanley_events(feeds: DataFrame, as_of: Column) -> DataFrame:
     """E7."""
-    i, page = F.col("_item"), F.col("page_url")
-    items = _feed_items(feeds, objects(at(F.col("_doc"), "eventResults")))
-    s = lambda *k: first_string(i, *k)
-    body = s("eventHtmlDescription", "eventDescription", "description")
-    staged = items.withColumns({"_title": s("eventTitle", "title", "name"), "_text": tx.single_line_text(body)})
-    url = join_url(page, F.coalesce(s("eventDetailUrl", "eventUrl", "url"), page))
+    c = F.col
+    items = _read(
+        _feed_items(feeds, objects(at(F.col("_doc"), "eventResults"))),
+        title=("eventTitle", "title", "name"), body=("eventHtmlDescription", "eventDescription", "description"),
+        day=("eventStartDate",), end_day=("eventEndDate",), clock=("eventTime",), url=("eventDetailUrl", "eventUrl", "url"),
+        place=("eventCity", "eventLocation", "eventCountry"), id=("eventId", "id"), kind=("eventType", "eventCategory"),
+        zone=("eventTimezone", "timezone"),
+    )
     return _feed_events(
-        staged, as_of, title=F.col("_title"), description=F.col("_text"),
-        starts_at=dates.date_and_time(s("eventStartDate"), s("eventTime")),
-        ends_at=dates.date_and_time(s("eventEndDate"), s("eventTime")),
-        url=url, places=F.array_compact(F.array(s("eventCity", "eventLocation", "eventCountry"))),
-        source_event_id=s("eventId", "id"),
-        type_text=event_type(F.coalesce(s("eventType", "eventCategory"), F.col("_title")), F.col("_text")),
-        timezone=s("eventTimezone", "timezone"),
+        items.withColumn("_text", tx.single_line_text(c("_body"))), as_of, title=c("_title"), description=c("_text"),
+        starts_at=dates.date_and_time(c("_day"), c("_clock")), ends_at=dates.date_and_time(c("_end_day"), c("_clock")),
+        url=join_url(c("page_url"), F.coalesce("_url", "page_url")), places=F.array_compact(F.array("_place")),
+        source_event_id=c("_id"), type_text=event_type(F.coalesce("_kind", "_title"), c("_text")), timezone=c("_zone"),
     )
 
 
 def nvidia_events(feeds: DataFrame, as_of: Column) -> DataFrame:
     """E7."""
-    i, page = F.col("_item"), F.col("page_url")
-    items = _feed_items(feeds, objects(F.col("_doc")), objects(at(F.col("_doc"), "events")))
-    s = lambda *k: first_string(i, *k)
-    text = join_present(" ", s("description", "summary"), s("venue"), s("booth"))
-    starts = event_date(first_value(i, "startDate", "start_date", "date"))
-    staged = items.withColumns({"_title": s("title", "name"), "_text": squeeze(text), "_starts": starts})
+    c = F.col
+    items = _read(
+        _feed_items(feeds, objects(F.col("_doc")), objects(at(F.col("_doc"), "events"))),
+        title=("title", "name"), body=("description", "summary"), venue=("venue",), booth=("booth",), url=("url", "link"),
+        place=("location", "venue"), id=("id", "eventId"), zone=("timezone", "timeZone"),
+    )
+    items = _read_dates(items, ("startDate", "start_date", "date"), ("endDate", "end_date"))
+    items = items.withColumn("_text", squeeze(join_present(" ", c("_body"), c("_venue"), c("_booth"))))
     iso = F.date_format("_starts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     return _feed_events(
-        staged, as_of, title=F.col("_title"), description=F.nullif(F.col("_text"), F.lit("")),
-        starts_at=F.col("_starts"), ends_at=event_date(first_value(i, "endDate", "end_date")),
-        url=join_url(page, F.coalesce(s("url", "link"), page)),
-        places=F.array_compact(F.array(s("location", "venue"))),
-        source_event_id=F.coalesce(s("id", "eventId"), F.concat_ws("|", "_title", iso)),
-        type_text=event_type(F.col("_title"), F.col("_text")), timezone=s("timezone", "timeZone"),
+        items, as_of, title=c("_title"), description=F.nullif(c("_text"), F.lit("")), starts_at=c("_starts"),
+        ends_at=c("_ends"), url=join_url(c("page_url"), F.coalesce("_url", "page_url")),
+        places=F.array_compact(F.array("_place")), source_event_id=F.coalesce(c("_id"), F.concat_ws("|", "_title", iso)),
+        type_text=event_type(c("_title"), c("_text")), timezone=c("_zone"),
         audience_text=F.concat_ws(" ", "_title", "_text", F.lit("university student campus")),
     )
 
 
 def eightfold_events(pages: DataFrame, as_of: Column) -> DataFrame:
     """Event objects embedded in scripts."""
+    c = F.col
     outer = script_items(pages).drop("linked")
-    inner = at(F.col("_item"), "eventData")
-    items = outer.withColumn("_item", F.when(kind(inner).startswith("OBJECT"), inner).otherwise(F.col("_item")))
-    items = items.filter(first_string(F.col("_item"), "plannedEventEncId", "eventLandingURL", "name").isNotNull())
-    items = items.withColumn("raw_payload", F.to_json("_item"))
-    i, c = F.col("_item"), F.col
-    s = lambda *k: first_string(i, *k)
-    place = s("completeVenue", "venue", "address", "institution")
-    staged = items.withColumns(
-        {"_title": s("name", "title"), "_text": tx.single_line_text(s("description")), "_place": place}
+    inner = at(c("_item"), "eventData")
+    items = _read(
+        outer.withColumn("_item", F.when(kind(inner).startswith("OBJECT"), inner).otherwise(c("_item"))),
+        mark=("plannedEventEncId", "eventLandingURL", "name"), title=("name", "title"), body=("description",),
+        place=("completeVenue", "venue", "address", "institution"), url=("eventLandingURL", "registrationUrl", "url"),
+        id=("plannedEventEncId", "id"), kind=("eventCategory",), zone=("selectedTimezone", "timezone"),
+        place_kind=("eventLocationType",),
     )
-    url = F.coalesce(s("eventLandingURL", "registrationUrl", "url"), c("page_url"))
+    items = _read_dates(
+        items, ("startTimestamp", "start_timestamp", "startDate"), ("endTimestamp", "end_timestamp", "endDate")
+    ).filter(c("_mark").isNotNull())
+    items = items.withColumns({"raw_payload": F.to_json("_item"), "_text": tx.single_line_text(c("_body"))})
     hint = F.coalesce(c("_place"), F.nullif(c("_text"), F.lit("")), c("_title"))
     return _feed_events(
-        staged, as_of, title=c("_title"), description=c("_text"),
-        starts_at=event_date(first_value(i, "startTimestamp", "start_timestamp", "startDate")),
-        ends_at=event_date(first_value(i, "endTimestamp", "end_timestamp", "endDate")),
-        url=url, places=F.array_compact(F.array("_place")), source_event_id=s("plannedEventEncId", "id"),
-        type_text=event_type(F.coalesce(s("eventCategory"), c("_title")), c("_text")),
-        timezone=s("selectedTimezone", "timezone"),
-        place_kind=F.when(s("eventLocationType") == "virtual_event", "virtual").otherwise(location_type(hint)),
+        items, as_of, title=c("_title"), description=c("_text"), starts_at=c("_starts"), ends_at=c("_ends"),
+        url=F.coalesce("_url", "page_url"), places=F.array_compact(F.array("_place")), source_event_id=c("_id"),
+        type_text=event_type(F.coalesce("_kind", "_title"), c("_text")), timezone=c("_zone"),
+        place_kind=F.when(c("_place_kind") == "virtual_event", "virtual").otherwise(location_type(hint)),
     )
 
 
