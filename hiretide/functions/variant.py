@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ def path(*keys: str | int) -> str:
 
 
 def at(doc: Column, *keys: str | int) -> Column:
-    """The value under a path; absent values and JSON nulls are SQL NULL."""
-    value = F.try_variant_get(doc, path(*keys), "variant")
-    return F.when(~F.is_variant_null(value), value)
+    """The value under a path; NULL when absent.  A JSON null stays a (typeless)
+    value, so that an overlaid null hides what is below it."""
+    return F.try_variant_get(doc, path(*keys), "variant")
 
 
 def kind(value: Column) -> Column:
@@ -33,27 +35,39 @@ def _raw(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
+def _text(v: Column) -> Column:
+    return F.when(is_string(v), present(_raw(v)))
+
+
 def text(value: Column) -> Column:
     """A JSON string that is not blank, stripped; anything else is NULL."""
-    return bound(value, lambda v: F.when(is_string(v), present(_raw(v))))
+    return bound(value, _text)
+
+
+def first_of(shape: Callable[[Column], Column], values: list[Column]) -> Column:
+    """First non-NULL ``shape(value)``; the shape is spelled out once for all."""
+    if len(values) == 1:
+        return bound(values[0], shape)
+    return F.get(F.array_compact(F.transform(F.array(*values), shape)), F.lit(0))
+
+
+def _scalar(v: Column) -> Column:
+    flag = F.when(_raw(v) == "true", "True").otherwise("False")
+    return F.when(kind(v) == "BOOLEAN", flag).otherwise(present(_raw(v)))
 
 
 def scalar_text(value: Column) -> Column:
     """Any scalar as stripped text, NULL when blank."""
-    def shape(v: Column) -> Column:
-        flag = F.when(_raw(v) == "true", "True").otherwise("False")
-        return F.when(kind(v) == "BOOLEAN", flag).otherwise(present(_raw(v)))
+    return bound(value, _scalar)
 
-    return bound(value, shape)
+
+def _truthy(v: Column) -> Column:
+    return F.when(~(~is_string(v) & _raw(v).isin("0", "0.0", "false")), _scalar(v))
 
 
 def truthy_text(value: Column) -> Column:
     """Scalar text, where the number zero and false count as missing."""
-    def shape(v: Column) -> Column:
-        empty = ~is_string(v) & _raw(v).isin("0", "0.0", "false")
-        return F.when(~empty, scalar_text(v))
-
-    return bound(value, shape)
+    return bound(value, _truthy)
 
 
 def elements(value: Column) -> Column:
@@ -66,31 +80,32 @@ def objects(value: Column) -> Column:
     return F.filter(elements(value), lambda v: kind(v).startswith("OBJECT"))
 
 
+def _listed(v: Column) -> Column:
+    many = clean_list(F.transform(elements(v), _raw))
+    return F.when(kind(v).startswith("ARRAY"), many).otherwise(F.array_compact(F.array(_scalar(v))))
+
+
 def string_list(value: Column) -> Column:
     """A scalar or a list of scalars as stripped, non-blank strings."""
-    def shape(v: Column) -> Column:
-        many = clean_list(F.transform(elements(v), _raw))
-        one = F.array_compact(F.array(scalar_text(v)))
-        return F.when(kind(v).startswith("ARRAY"), many).otherwise(one)
-
-    return F.coalesce(bound(value, shape), no_strings())
+    return F.coalesce(bound(value, _listed), no_strings())
 
 
 def named(value: Column, *keys: str) -> Column:
     """Stripped, non-blank strings under the first usable key of each object."""
     def one(item: Column) -> Column:
-        return F.coalesce(*[truthy_text(at(item, k)) for k in keys])
+        return first_of(_truthy, [at(item, k) for k in keys])
 
     return F.coalesce(F.array_compact(F.transform(objects(value), one)), no_strings())
 
 
+def _date(v: Column) -> Column:
+    number = F.when(kind(v).rlike(NUMERIC), F.try_variant_get(v, "$", "double"))
+    return F.coalesce(dates.epoch_timestamp(number), dates.listing_timestamp(F.when(is_string(v), _raw(v))))
+
+
 def date(value: Column) -> Column:
     """T1 on a loosely typed value: number as epoch, string as written date."""
-    def parse(v: Column) -> Column:
-        number = F.when(kind(v).rlike(NUMERIC), F.try_variant_get(v, "$", "double"))
-        return F.coalesce(dates.epoch_timestamp(number), dates.listing_timestamp(F.when(is_string(v), _raw(v))))
-
-    return bound(value, parse)
+    return bound(value, _date)
 
 
 def event_date(value: Column) -> Column:
@@ -146,10 +161,10 @@ class Doc:
 
     def text(self, *keys: str) -> Column:
         """First key holding a non-blank JSON string."""
-        return F.coalesce(*[text(self[k]) for k in keys])
+        return first_of(_text, [self[k] for k in keys])
 
     def truthy(self, *keys: str) -> Column:
-        return F.coalesce(*[truthy_text(self[k]) for k in keys])
+        return first_of(_truthy, [self[k] for k in keys])
 
     def body(self, *keys: str) -> Column:
         """First non-empty value, unstripped."""
@@ -157,15 +172,17 @@ class Doc:
 
     def strings(self, *keys: str) -> Column:
         """String list of the first key that gives a non-empty one."""
-        lists = [string_list(self[k]) for k in keys]
-        return F.coalesce(*[bound(v, lambda x: F.when(F.size(x) > 0, x)) for v in lists], no_strings())
+        lists = F.transform(F.array(*[self[k] for k in keys]), _listed)
+        return F.coalesce(F.get(F.filter(lists, lambda x: F.size(x) > 0), F.lit(0)), no_strings())
 
     def all_strings(self, *keys: str) -> Column:
-        return F.concat(*[string_list(self[k]) for k in keys])
+        lists = F.transform(F.array(*[self[k] for k in keys]), lambda v: F.coalesce(_listed(v), no_strings()))
+        return F.flatten(lists)
 
     def date(self, *keys: str) -> Column:
-        return F.coalesce(*[date(self[k]) for k in keys])
+        return first_of(_date, [self[k] for k in keys])
 
     def first_date(self, *keys: str) -> Column:
         """Date of the first truthy key only."""
-        return date(F.coalesce(*[bound(self[k], lambda v: F.when(truthy_text(v).isNotNull(), v)) for k in keys]))
+        usable = F.filter(F.array(*[self[k] for k in keys]), lambda v: _truthy(v).isNotNull())
+        return date(F.get(usable, F.lit(0)))

@@ -120,9 +120,9 @@ def _read_dates(items: DataFrame, start: tuple[str, ...], end: tuple[str, ...])
 def _place_list(item: Column) -> Column:
     """Location as text, list, or an object with name and address."""
     def address(v: Column) -> Column:
-        parts = [first_string(v, k) for k in rules.ADDRESS_KEYS]
+        parts = F.array_compact(first_strings(v, *[(k,) for k in rules.ADDRESS_KEYS]))
         plain = F.nullif(squeeze(F.try_variant_get(v, "$", "string")), F.lit(""))
-        return F.when(kind(v).startswith("OBJECT"), F.nullif(join_present(", ", *parts), F.lit(""))).otherwise(plain)
+        return F.when(kind(v).startswith("OBJECT"), F.nullif(F.array_join(parts, ", "), F.lit(""))).otherwise(plain)
 
     def shape(v: Column) -> Column:
         whole = F.array_compact(F.array(

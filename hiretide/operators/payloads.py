@@ -336,7 +336,7 @@ def _meta(job: Doc, page: Page) -> dict[str, Column]:
         "url": F.concat(F.lit("https://www.metacareers.com/jobs/"), number, F.lit("/")), "number": number,
         "location": string_list(job["locations"]),
         "markup": F.coalesce(html, summary), "html": html,
-        "employment": scalar_text(F.coalesce(job["employment_type"], job["employmentType"])),
+        "employment": F.coalesce(scalar_text(job["employment_type"]), scalar_text(job["employmentType"])),
         "departments": teams,
         "date": job.date("date_posted", "datePosted"),
     }

@@ -229,20 +229,25 @@ def u8(spark, sf_dir):
     return matched.select("event_id", F.coalesce("source_url", F.lit("")).alias("source_url"))
 
 
+_U9_OLD, _U9_NEW = "2024-01-20 00:00:00", "2024-01-10 00:00:00"
+_IN_NEW = f"starts_at >= TIMESTAMP '{_U9_NEW}'"
+
+
 @query(
     "u9_upsert_events",
     with_events(
-        "SELECT event_url, CASE WHEN event_id % 3 = 0 THEN '2024-01-10 00:00:00' ELSE '2024-01-20 00:00:00' END AS first_seen,"
-        " CASE WHEN event_id % 3 = 1 OR event_id % 2 = 0 THEN '2024-01-20 00:00:00' ELSE '2024-01-10 00:00:00' END AS last_seen,"
-        " coalesce(ends_at, starts_at) >= CASE WHEN event_id % 3 = 1 OR event_id % 2 = 0 THEN TIMESTAMP '2024-01-20 00:00:00'"
-        " ELSE TIMESTAMP '2024-01-10 00:00:00' END AS is_active FROM ev WHERE event_id % 3 < 2 OR event_id % 2 = 0"
+        f"SELECT event_url, CASE WHEN starts_at < TIMESTAMP '{_U9_OLD}' THEN '2024-01-12 00:00:00' ELSE '2024-01-18 00:00:00' END"
+        f" AS first_seen, CASE WHEN {_IN_NEW} THEN '2024-01-18 00:00:00' ELSE '2024-01-12 00:00:00' END AS last_seen,"
+        f" coalesce(ends_at, starts_at) >= CASE WHEN {_IN_NEW} THEN TIMESTAMP '2024-01-18 00:00:00'"
+        " ELSE TIMESTAMP '2024-01-12 00:00:00' END AS is_active FROM ev"
     ),
 )
 def u9(spark, sf_dir):
+    """Two overlapping pulls by start time; together they hold every event."""
     events = with_event_columns(view(spark, sf_dir, "recruiting_events")).withColumn("source_id", F.lit(None).cast("string"))
-    n = F.col("event_id")
-    old = state.event_rows(events.filter(n % 3 == 0), F.lit("2024-01-10 00:00:00").cast("timestamp"))
-    new = state.event_rows(events.filter((n % 3 == 1) | (n % 2 == 0)), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    starts = F.col("starts_at")
+    old = state.event_rows(events.filter(starts < F.lit(_U9_OLD)), F.lit("2024-01-12 00:00:00").cast("timestamp"))
+    new = state.event_rows(events.filter(starts >= F.lit(_U9_NEW)), F.lit("2024-01-18 00:00:00").cast("timestamp"))
     return state.upsert_events(old, new).select(
         "event_url", stamp("first_seen_at").alias("first_seen"), stamp("last_seen_at").alias("last_seen"), "is_active"
     )

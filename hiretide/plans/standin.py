@@ -1,6 +1,6 @@
 """Listings, runs, boards and events derived from the given tables.
 
-The reference data model has no public corpus, so every row of ``documents``
+The listing and event models come without a corpus, so every row of ``documents``
 becomes a listing, every row of ``orders`` a board command and every row of
 ``events`` a recruiting event.  Each derivation is one projection, rendered for
 Spark and for the DuckDB check from the same text.

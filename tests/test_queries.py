@@ -43,3 +43,25 @@ def test_entry_has_rows(spark):
 def test_every_check_has_a_query():
     importlib.reload(spark_entry)
     assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    """On a stored jobs table only the needed columns and rows are read."""
+    from hiretide.plans import catalog, tables
+
+    path = str(tmp_path / "jobs")
+    tables.jobs(spark, SF_DIR).write.parquet(path)
+    where = catalog.JobFilter(program_type="internship", remote_type="remote")
+    listed = catalog.list_jobs(spark.read.parquet(path), where)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(program_type,internship)" in plan and "EqualTo(is_active,true)" in plan
+    assert "raw_description" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_text_rules_need_no_shuffle(spark):
+    from hiretide.operators import classify
+    from hiretide.plans import tables
+
+    rows = spark.createDataFrame([], tables.listings(spark, SF_DIR).schema)
+    plan = classify.normalize(rows, tables.as_of())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
