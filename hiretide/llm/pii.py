@@ -101,9 +101,10 @@ DIGIT_NAMES = {
 def look_alikes() -> dict[int, str]:
     """The listed characters and every single character that is a compatibility
     form of one printable ASCII character (full-width, mathematical and so on) or
-    a decimal digit of another script."""
+    a decimal digit of another script.  Beyond the Latin letters of European texts,
+    whose own letters and signs stand for themselves."""
     table = {ord(c): plain for c, plain in LOOK_ALIKES.items()}
-    for code in range(0x80, 0x20000):
+    for code in range(0x250, 0x20000):
         char = chr(code)
         if char.isdecimal():
             table[code] = str(unicodedata.decimal(char))
@@ -112,6 +113,8 @@ def look_alikes() -> dict[int, str]:
     return table
 
 
+# Everything in the tables lies here; a range is tested faster than its members.
+FOREIGN = re.compile("[\u00AD\u0131\u0250-\U0010FFFF]")
 INVISIBLE = "­​‌‍⁠﻿"
 OPEN, CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 SPELLED = "|".join(DIGIT_NAMES)
@@ -133,12 +136,12 @@ class Disguises:
 
     def __init__(self):
         self.table = look_alikes()
-        self.odd = re.compile("[" + "".join(map(re.escape, map(chr, self.table))) + INVISIBLE + "]")
+        self.odd = frozenset([*map(chr, self.table), *INVISIBLE])
         self.names = [name for name in DIGIT_NAMES if name != "oh"]
 
     def suspects(self, text: str) -> bool:
         """Whether any rewriting could matter.  Cheap tests first."""
-        if not text.isascii() and self.odd.search(text):
+        if not text.isascii() and FOREIGN.search(text) and not self.odd.isdisjoint(text):
             return True
         if AT_OR_DOT.search(text):
             return True
