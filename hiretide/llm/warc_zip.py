@@ -1,8 +1,8 @@
 """Web archives packaged in ZIP files, written and read with range reads.
 
 Writing: every task appends its records to archives of bounded size in a shared
-folder.  An archive is a ZIP file with two stored members, ``archive/data.warc``
-(the records) and ``indexes/index.jsonl`` (per record: id, offset, length), and a
+folder.  An archive is a ZIP file with two stored members, ``archive/data.warc.gz``
+(the records, each a gzip member of its own) and ``indexes/index.jsonl`` (per record: id, offset, length), and a
 ZIP64 directory.  Names hold the task attempt, and the table of archives is made
 of what successful tasks report, so a repeated task leaves no double records.
 
@@ -14,6 +14,7 @@ extracted.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
@@ -35,7 +36,8 @@ LEAST_SHARED = 1000
 ARCHIVE_BYTES = 64 << 20
 # Records of one archive read by one task.
 RANGE_BYTES = 8 << 20
-DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
+GZIP_LEVEL = 3
 
 # ---- ZIP directories ----
 
@@ -181,7 +183,7 @@ def _writer(folder: str, most: int):
                 raw = record(kind, record_id, uri, row["_digest"], payload, refers, len(payload))
                 if archive is None:
                     archive = Archive(store, f"{base}/{label}-{len(done)}.zip")
-                archive.add(record_id, raw)
+                archive.add(record_id, gzip.compress(raw, GZIP_LEVEL, mtime=0))
                 if archive.size >= most:
                     done.append(archive.close())
                     archive = None
@@ -254,7 +256,7 @@ def _fetch(folder: str, with_payload: bool):
                     file.close()
                 path = row["path"]
                 file = store.open_input_file(path)
-            fields, payload = parse_record(read_range(file, row["offset"], row["length"]))
+            fields, payload = parse_record(gzip.decompress(read_range(file, row["offset"], row["length"])))
             refers = fields.get("warc-refers-to")
             yield (
                 fields["warc-record-id"].strip("<>"), fields["warc-type"], fields["warc-target-uri"],
