@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; learned as in ``op8_toxicity``."""
-    machine = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), fold("_of", 5) != 0))
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("_of", 5) != 0)
     return toxicity.clean(docs, machine)
 
 

@@ -64,7 +64,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is labelled toxic; learned from the labels whose
     fold is not 0."""
     docs = table(spark, sf_dir, "documents")
-    machine = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), fold("_of", 5) != 0))
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("_of", 5) != 0)
     scored = toxicity.scores(docs.select("doc_id", "text"), machine)
     return scored.select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")

@@ -273,22 +273,31 @@ def calibrate(machine: Machine, margin: np.ndarray, toxic: np.ndarray, weight: n
     return Machine(machine.table, machine.bias, float(max(w[0], 0.0)), float(w[1]))
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Machine | None:
-    """A machine from texts with label 0 or 1 (other rows do not count); None
-    where one of the two is missing.
-
-    Reads about ``FIT_TOXIC`` and ``FIT_CLEAN`` texts for fitting and as many for
-    calibration, chosen by a hash of the text, so that copies are drawn together
-    and count once.
+def fit(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id: str = "doc_id", text: str = "text",
+        toxic: str = "toxic") -> Machine | None:
+    """A machine from the documents with a label 0 or 1 (of a document with both,
+    neither counts); None where one of the two is missing.  ``wanted`` may restrict
+    the labels, by ``_of``, the id they belong to.
+
+    About ``FIT_TOXIC`` and ``FIT_CLEAN`` labels for fitting and as many for
+    calibration are drawn by a hash of the id, so the ids that are broadcast to
+    fetch their texts are bounded.  Equal texts count once.
     """
-    rows = labelled.select(F.col(toxic).cast("int").alias("_toxic"), whole(text).alias("_text")).filter("_toxic IN (0, 1)")
-    sizes = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
+    told = labels.select(F.col(doc_id).alias("_of"), F.col(toxic).cast("int").alias("_toxic")).filter("_toxic IN (0, 1)")
+    if wanted is not None:
+        told = told.filter(wanted)
+    told = told.groupBy("_of").agg(F.min("_toxic").alias("_toxic"), F.max("_toxic").alias("most")).filter("_toxic = most")
+    sizes = {r["_toxic"]: r["count"] for r in told.groupBy("_toxic").count().collect()}
     if len(sizes) < 2:
         return None
     drawn = F.when(F.col("_toxic") == 1, FIT_TOXIC / sizes[1]).otherwise(FIT_CLEAN / sizes[0])
-    place = unit_hash("_text")
     half = F.least(drawn, F.lit(0.5))
-    listed = rows.filter(place < half).dropDuplicates(["_text"]).mapInArrow(
+    marked = told.withColumn("_place", unit_hash("_of")).filter(F.col("_place") < half * 2)
+    marked = marked.select("_of", "_toxic", (F.col("_place") < half).alias("_fits"))
+    plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
+    rows = plain.join(F.broadcast(marked), F.col("_id") == F.col("_of")).select("_toxic", "_fits", "_text")
+    rows = rows.dropDuplicates(["_text"]).persist()
+    listed = rows.filter("_fits").select("_toxic", "_text").mapInArrow(
         _list_pieces, "_toxic int, _pieces array<string>, _sketch long"
     )
     counted = (
@@ -306,6 +315,7 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Machin
     negative = [r["_piece"] for r in ordinary]
     if not positive:
         counted.unpersist()
+        rows.unpersist()
         return None
     machine = train(positive, weight, negative)
     clean = counted.filter("down > 0").select("_piece")
@@ -317,8 +327,9 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Machin
         negative = [r["_piece"] for r in hard if r["_piece"] not in known] + negative
         machine = train(positive, weight, negative)
     counted.unpersist()
-    other = rows.filter((place >= half) & (place < half * 2)).dropDuplicates(["_text"])
+    other = rows.filter("NOT _fits")
     judged = other.select("_toxic", "_text").mapInArrow(_margins_of_texts(machine), "_toxic int, _margin double").toPandas()
+    rows.unpersist()
     toxic_rows = judged["_toxic"].to_numpy()
     share = np.array([max(1, (toxic_rows == k).sum()) for k in (0, 1)])
     prior = np.array([sizes[0], sizes[1]]) / (sizes[0] + sizes[1])
@@ -351,14 +362,3 @@ def clean(docs: DataFrame, machine: Machine | None, text: str = "text") -> DataF
     """The documents, all columns, that score below one half."""
     (name,) = fresh(docs, "_score")
     return scores(docs, machine, name, text).filter(F.col(name) < 0.5).drop(name)
-
-
-def labelled(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id: str = "doc_id",
-             text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """(text, toxic) of the documents with a label; rows of NULL ids have none."""
-    told = labels.select(F.col(doc_id).alias("_of"), F.col(toxic).alias("toxic")).filter("toxic IS NOT NULL").distinct()
-    if wanted is not None:
-        told = told.filter(wanted)
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(told, F.col("_id") == F.col("_of")).select(
-        "text", "toxic"
-    )
