@@ -156,6 +156,10 @@ def _dense(batch: list[str], columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def columns_of(batch: list[str]) -> np.ndarray:
+    return np.unique(np.concatenate([h[w > 0] for _, h, w in subsequences(batch)] or [np.zeros(0, np.int32)]))
+
+
 def spread(vectors: np.ndarray, n: int) -> list[int]:
     """Rows chosen one by one, each least like those before."""
     if not len(vectors):
@@ -172,19 +176,20 @@ def train(positive: list[str], weight: np.ndarray, negative: list[str], landmark
     told = with_disguises(positive, DISGUISED)
     positive, weight = [w for _, w in told], weight[[i for i, _ in told]] if told else weight
     negative = [w for _, w in with_disguises(negative, DISGUISED * 3)]
-    seeds = positive[: landmarks * 4] + negative[: landmarks * 4]
-    columns = np.unique(np.concatenate([h[w > 0] for _, h, w in subsequences(seeds)] or [np.zeros(0, np.int32)]))
+    chosen = []
+    for side, share in ((positive[: landmarks * 2], landmarks * 2 // 3), (negative[: landmarks * 2], landmarks // 3)):
+        chosen += [side[i] for i in spread(_dense(side, columns_of(side)), share)]
+    columns = columns_of(chosen)
     if not len(columns):
         return Machine(np.zeros(1 << BITS, np.float32), FLOOR)
-    up, down = _dense(positive[: landmarks * 4], columns), _dense(negative[: landmarks * 4], columns)
-    marks = np.concatenate([up[spread(up, landmarks * 2 // 3)], down[spread(down, landmarks // 3)]])
+    marks = _dense(chosen, columns)
     gram = marks @ marks.T
     values, turns = np.linalg.eigh(gram.astype(float))
     good = values > 1e-6 * values.max()
     project = turns[:, good] / np.sqrt(values[good])
     everything = positive + negative
     z = np.concatenate([
-        _dense(everything[i:i + 1000], columns) @ marks.T @ project for i in range(0, len(everything), 1000)
+        _dense(everything[i:i + 500], columns) @ marks.T @ project for i in range(0, len(everything), 500)
     ])
     z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
