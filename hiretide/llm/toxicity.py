@@ -148,6 +148,8 @@ class Scorer:
 def _dense(batch: list[str], columns: np.ndarray) -> np.ndarray:
     """Subsequence weights of pieces in the given columns (sorted hashes)."""
     out = np.zeros((len(batch), len(columns)), dtype=np.float32)
+    if not len(columns):
+        return out
     for at, hashes, weights in subsequences(batch):
         place = np.searchsorted(columns, hashes).clip(0, max(0, len(columns) - 1))
         hit = (columns[place] == hashes) & (weights > 0)
@@ -301,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id
     marked = marked.select("_of", "_toxic", (F.col("_place") < half).alias("_fits"))
     plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
     rows = plain.join(F.broadcast(marked), F.col("_id") == F.col("_of")).select("_toxic", "_fits", "_text")
-    rows = rows.dropDuplicates(["_text"]).persist()
+    rows = rows.groupBy("_text").agg(F.max("_toxic").alias("_toxic"), F.min("_fits").alias("_fits")).persist()
     listed = rows.filter("_fits").select("_toxic", "_text").mapInArrow(
         _list_pieces, "_toxic int, _pieces array<string>, _sketch long"
     )
