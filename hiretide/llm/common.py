@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hiretide.session import materialize
 
+# Narrow rows up to which the small side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
 SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,6 +45,11 @@ def row_keys(doc_id: str, text: str) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("_k1"), F.xxhash64(text, F.lit(7), doc_id).alias("_k2")]
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast when the counted rows are few; otherwise left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Global row numbers from 0 in the given order, as column ``name``.
 
@@ -63,5 +70,6 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     shift = sizes.select(
         F.col(spread).alias("_at"), (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    joined = ranged.join(shift, F.col(spread) == F.col("_at"))
+    # bounded: a row per shuffle partition
+    joined = ranged.join(F.broadcast(shift), F.col(spread) == F.col("_at"))
     return joined.select(*df.columns, (F.col(seq) + F.col("_shift")).alias(name))

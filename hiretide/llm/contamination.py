@@ -18,14 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import row_keys, whole
+from hiretide.llm.common import row_keys, small, whole
 from hiretide.session import materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
 SKETCH = 16
-# Item rows (MinHash values, shingles) up to which the item side is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def with_shingles(df: DataFrame, text: str, name: str, width: int) -> DataFrame:
@@ -42,11 +40,6 @@ def with_shingles(df: DataFrame, text: str, name: str, width: int) -> DataFrame:
     return hashed.withColumn(name, F.array_distinct(F.when(F.size("_words") >= width, runs).otherwise(none))).drop("_words")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast when the counted rows are few; otherwise left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def item_sketches(items: DataFrame, sketch: int) -> DataFrame:
     """(item_id, size class, bottom-k values) of items with shingles."""
     return items.select(

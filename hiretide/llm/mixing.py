@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import SPACE, fresh, numbered, whole
+from hiretide.llm.common import SPACE, fresh, numbered, small, whole
+from hiretide.session import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -67,6 +68,7 @@ def systematic_copies(rows: DataFrame, size: str, source: str = "source", key: s
     )
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     order = [F.col(source).asc_nulls_last(), F.col(size).desc(), digest, F.col(key)]
+    plan = small(materialize(plan, "sources"))
     placed = numbered(rows, order, number).join(plan, F.col(source).eqNullSafe(F.col("_source")))
     position = F.col(number) - F.col("_first")
     crossed = F.floor((position + 1) * F.col("_rate") + F.col("_offset")) - F.floor(position * F.col("_rate") + F.col("_offset"))
