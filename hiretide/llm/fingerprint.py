@@ -156,12 +156,14 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     first, a lone document by itself.  NULL texts are empty texts; a NULL doc_id
     comes first; rows of equal doc_id follow each other by a hash of the text.
 
-    Rows are dealt into ``parts`` id ranges by cut points (one row of numbers on
+    Rows are dealt into ``parts`` id ranges (several for each shuffle partition, so
+    that partitions come out even) by cut points (one row of numbers on
     the driver, as the first id of each range) and sorted there; the first row of
     a range also goes to the range before, as a guest.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or partitions * 4
     plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
     share = [i / parts for i in range(1, parts)] or [0.5]
     cuts = sorted(set(plain.agg(F.percentile_approx("_id", share).alias("c")).first()["c"] or []))
@@ -172,21 +174,24 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     heads = dealt.groupBy("_part").agg(
         F.min("_id").alias("head"), F.max(F.isnull("_id")).alias("unnamed")
     ).orderBy("_part").collect()
-    visits = F.expr("cast(array() AS array<int>)")
+    # per part: its first id, and the part before it that reads that row as a guest
+    head, before = [None] * parts, [None] * parts
     for here, following in zip(heads, heads[1:] + heads[:1], strict=True):
-        head = F.isnull("_id") if following["unnamed"] else F.col("_id") == following["head"]
-        at_head = F.coalesce(head, F.lit(False)) & (F.col("_part") == following["_part"])
-        visits = F.when(at_head, F.array(F.lit(here["_part"]))).otherwise(visits)
+        head[following["_part"]], before[following["_part"]] = following["head"], here["_part"]
+    unnamed = bool(heads) and heads[0]["unnamed"]
+    own_head = F.element_at(F.lit(head).cast(f"array<{kind}>"), F.col("_part") + 1)
+    first = F.when(F.isnull("_id"), True).when((F.col("_part") == 0) & F.lit(unnamed), False).otherwise(F.col("_id") == own_head)
+    reader = F.element_at(F.lit(before).cast("array<int>"), F.col("_part") + 1)
+    visits = F.when(first, F.array(reader)).otherwise(F.expr("cast(array() AS array<int>)"))
     own = F.struct(F.col("_part").alias("part"), F.lit(False).alias("guest"))
     placed = dealt.withColumn(
         "_place",
         F.explode(F.concat(F.array(own), F.transform(visits, lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))))),
     )
-    kind = docs.schema[doc_id].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
     done = (
         placed.select("_place.part", "_place.guest", "_id", "_text")
-        .repartition(parts, "part")
+        .repartition(partitions, "part")
         .sortWithinPartitions("part", "guest", F.col("_id").asc_nulls_first(), F.xxhash64("_text"), "_text")
         .mapInArrow(_edit(arrow), f"_id {kind}, {EDITED}")
     )
