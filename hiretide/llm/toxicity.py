@@ -37,7 +37,11 @@ FIT_TOXIC, FIT_CLEAN = 2500, 5000
 # Pieces that reach the driver: telling ones, ordinary ones, and per mining round
 # the clean ones scored highest.
 POSITIVES, NEGATIVES, MINED, MINING_ROUNDS = 1500, 6000, 3000, 2
-LEAST_TEXTS, LEAST_RATIO = 6, 25.0
+# How much likelier in toxic texts a telling piece is, and how many of all pieces
+# may be taken for telling by chance.
+LEAST_RATIO, BY_CHANCE = 25.0, 0.05
+# Share of few labels that goes into fitting.
+FIT_SHARE = 0.7
 # Of the first pieces of both sides, disguised spellings are learned as well.
 DISGUISED = 500
 # Margin of a text without pieces, and lower bound of all margins.
@@ -298,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id
     if len(sizes) < 2:
         return None
     drawn = F.when(F.col("_toxic") == 1, FIT_TOXIC / sizes[1]).otherwise(FIT_CLEAN / sizes[0])
-    half = F.least(drawn, F.lit(0.5))
+    half = F.least(drawn, F.lit(FIT_SHARE))
     marked = told.withColumn("_place", unit_hash("_of")).filter(F.col("_place") < half * 2)
     marked = marked.select("_of", "_toxic", (F.col("_place") < half).alias("_fits"))
     plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
@@ -311,11 +315,17 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id
         listed.dropDuplicates(["_toxic", "_sketch"]).select("_toxic", F.explode("_pieces").alias("_piece"))
         .groupBy("_piece").agg(F.sum("_toxic").alias("up"), F.sum(1 - F.col("_toxic")).alias("down")).persist()
     )
-    base = max(1.0, min(sizes[0], FIT_CLEAN) / max(1, min(sizes[1], FIT_TOXIC)))
-    ratio = (F.col("up") * base + 0.01) / (F.col("down") + 0.5)
-    most = min(LEAST_TEXTS, max(1, min(sizes[1], FIT_TOXIC) // 20))
+    n = {r["_toxic"]: r["count"] for r in rows.filter("_fits").groupBy("_toxic").count().collect()}
+    share = max(1, n.get(1, 0)) / max(2, n.get(0, 0) + n.get(1, 0))
+    # log-likelihood that the piece favours toxic texts, against what chance brings among all pieces
+    up, down = F.col("up").cast("double"), F.col("down").cast("double")
+    total = up + down
+    favour = up * F.log(up / (total * share)) + F.when(down > 0, down * F.log(down / (total * (1 - share)))).otherwise(0.0)
+    needed = float(np.log(max(1, counted.count()) / BY_CHANCE))
+    ratio = (up / share) / ((down + 0.5) / (1 - share))
     telling = (
-        counted.filter((F.col("up") >= most) & (ratio >= LEAST_RATIO)).orderBy(F.desc("up"), "_piece").limit(POSITIVES).collect()
+        counted.filter("up > 0").filter((favour >= needed) & (ratio >= LEAST_RATIO)).orderBy(F.desc("up"), "_piece")
+        .limit(POSITIVES).collect()
     )
     ordinary = counted.filter("down > 0").orderBy(F.xxhash64("_piece"), "_piece").limit(NEGATIVES).collect()
     positive, weight = [r["_piece"] for r in telling], np.sqrt([float(r["up"]) for r in telling])
