@@ -165,8 +165,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or partitions * 4
     plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
-    share = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = sorted(set(plain.agg(F.percentile_approx("_id", share).alias("c")).first()["c"] or []))
+    share = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(plain.agg(F.percentile_approx("_id", share).alias("c")).first()["c"] or [])) if share else []
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() AS array<bigint>)")
     part = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("_id"))), F.lit(0))
     part = F.when(F.isnull("_id"), 0).otherwise(part)
@@ -175,7 +175,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.min("_id").alias("head"), F.max(F.isnull("_id")).alias("unnamed")
     ).orderBy("_part").collect()
     # per part: its first id, and the part before it that reads that row as a guest
-    head, before = [None] * parts, [None] * parts
+    head, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
     for here, following in zip(heads, heads[1:] + heads[:1], strict=True):
         head[following["_part"]], before[following["_part"]] = following["head"], here["_part"]
     unnamed = bool(heads) and heads[0]["unnamed"]
