@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.operators.skew import GROUP_ROWS_PER_TASK, ordinal_within
+from hiretide.operators.skew import ordinal_within
 from hiretide.plans.stats import next_positions
 from hiretide.session import materialize
 
@@ -21,6 +21,8 @@ BOARD_COLUMNS = (
     "user_id", "job_id", "status", "kanban_order", "applied_at", "notes", "created_at", "updated_at",
 )
 KEY = ["user_id", "job_id"]
+# Commands of one user that a round replays.
+ROWS_PER_ROUND = 1_000_000
 
 
 def known_jobs(commands: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fold_log(board: DataFrame, jobs: DataFrame, log: DataFrame,
-             commands_per_round: int = GROUP_ROWS_PER_TASK) -> DataFrame:
+             commands_per_round: int = ROWS_PER_ROUND) -> DataFrame:
     """Replay a command log (user_id, job_id, kind, status, notes, kanban_order,
     applied_at, issued_at, seq) with ``seq`` unique and in time order.
 
@@ -172,7 +174,7 @@ def fold_log(board: DataFrame, jobs: DataFrame, log: DataFrame,
     the rows those commands touch, plus one maximum per status over all others.
     """
     accepted = known_jobs(log.filter("kind = 'create'"), jobs).unionByName(log.filter("kind = 'patch'"))
-    numbered = ordinal_within(accepted, ["user_id"], ["seq"], "_n", commands_per_round)
+    numbered = ordinal_within(accepted, ["user_id"], ["seq"], "_n")
     turn = F.floor((F.col("_n") - 1) / commands_per_round).cast("int")
     rounds = numbered.agg(F.max(turn)).first()[0]
     if rounds is None:

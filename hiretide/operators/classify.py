@@ -118,11 +118,11 @@ def required_skills(text: Column) -> Column:
 
 
 def nice_to_have_text(text: Column) -> Column:
-    """Text after the first occurrence of each nice-to-have marker."""
+    """Text from the first occurrence of each nice-to-have marker to the end."""
     sections = []
     for marker in rules.NICE_TO_HAVE_MARKERS:
         at = F.locate(marker, text)
-        sections.append(F.when(at > 0, F.substring(text, at, F.lit(rules.NICE_TO_HAVE_CHARS))))
+        sections.append(F.when(at > 0, text.substr(at, F.length(text))))
     return F.concat_ws(" ", *sections)
 
 

@@ -262,7 +262,7 @@ def _cards(pages: pd.Series) -> pd.Series:
 
     def facts(order: int, e) -> dict:
         stamp, anchor = e.first(by_tag("time")), e.first(link)
-        cells = [c.text() for c in e.select(by_tag("td", "th"))][:3]
+        cells = [c.text() for c in e.select(by_tag("td", "th"))]
         return {
             "selector": order, "text": e.text(), "heading": text_of(e.first(by_tag("h1", "h2", "h3", "h4"))),
             "strong": text_of(e.first(by_tag("h1", "h2", "h3", "h4", "strong"))),
@@ -283,12 +283,6 @@ def _card_rows(pages: DataFrame) -> DataFrame:
     return rows.filter((F.length("text") >= 20) & has_event_language(F.col("text")))
 
 
-def _first_of_page(events: DataFrame, limit: int) -> DataFrame:
-    """A page yields at most ``limit`` cards; pages are small, the rank is per page."""
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    return events.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
-
-
 def _card_events(rows: DataFrame, title: Column, as_of: Column, firm: Column | None) -> DataFrame:
     c = F.col
     starts = F.coalesce(dates.event_timestamp(c("stamp")), dates.event_timestamp(c("text")))
@@ -307,27 +301,23 @@ def _card_events(rows: DataFrame, title: Column, as_of: Column, firm: Column | N
 
 
 def html_card_events(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Generic cards, the first fifty of a page."""
+    """Generic cards, all of a page."""
     rows = _card_rows(pages).filter("selector < 4")
-    title = F.coalesce(F.col("heading"), F.substring("text", 1, 120))
-    return _first_of_page(_card_events(rows, title, as_of, None), rules.CARDS_PER_PAGE)
+    return _card_events(rows, F.coalesce(F.col("heading"), F.col("text")), as_of, None)
 
 
 def recruiting_card_events(pages: DataFrame, as_of: Column) -> DataFrame:
-    """E5: cards that name a firm, deduplicated, the first hundred of a page by
-    start time."""
+    """E5: cards that name a firm, deduplicated within their page."""
     c = F.col
     rows = _card_rows(pages)
     cell = F.get(F.filter("cells", lambda x: (x != "") & dates.event_timestamp(x).isNull()), F.lit(0))
-    title = F.substring(F.coalesce(present(c("strong")), cell, c("text")), 1, 180)
+    title = F.coalesce(present(c("strong")), cell, c("text"))
     match = firm_match(c("description"), c("firm_aliases"), c("firm_name"), c("firm_kind"))
     events = _card_events(rows.filter(
         firm_match(c("text"), c("firm_aliases"), c("firm_name"), c("firm_kind")).isNotNull()
     ), title, as_of, match)
     first = Window.partitionBy("page_id", "content_hash").orderBy("pos")
-    unique = events.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("starts_at", "pos"))
-    return unique.withColumn("_n", place).filter(F.col("_n") <= rules.RECRUITING_CARDS_PER_PAGE).drop("_n")
+    return events.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 _SITE_CARDS = T.ArrayType(fact_schema(

@@ -69,20 +69,40 @@ def content_hash(title: Column, company: Column, number: Column) -> Column:
 
 
 def join_url(base: Column, link: Column) -> Column:
-    """Resolve a link against its page: absolute, host-relative, path-relative."""
+    """Resolve a link against its page: absolute, host-relative, path-relative, query
+    or fragment only.  Dot segments of relative links are folded."""
+    page = F.regexp_replace(base, r"#.*$", "")
+    bare = F.regexp_replace(base, r"[?#].*$", "")
+    target = F.regexp_extract(link, r"^([^?#]*)", 1)
+    suffix = link.substr(F.length(target) + 1, F.length(link))
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*/(?:.*/)?)", 1)
+    folder = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/(?:.*/)?)", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), link))
+        .when(link.startswith("/"), F.concat(origin, without_dots(target), suffix))
+        .when(link.startswith("?"), F.concat(bare, link))
+        .when(link.startswith("#"), F.concat(page, link))
         .when(link == "", base)
-        .otherwise(F.concat(F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder), link))
+        .otherwise(F.concat(origin, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), target)), suffix))
     )
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its . and .. segments folded."""
+    dotted = path.rlike(r"(^|/)\.{1,2}(/|$)")
+    closed = F.when(path.rlike(r"(^|/)\.{1,2}$"), F.concat(path, F.lit("/"))).otherwise(path)
+    segments = F.split(F.regexp_replace(closed, "^/", ""), "/")
+
+    def fold(done: Column, segment: Column) -> Column:
+        parent = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment == "..", parent).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    folded = F.aggregate(segments, no_strings(), fold)
+    return F.when(dotted, F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(path)
+
+
 def token_name(token: Column) -> Column:
     return title_words(F.replace(token, F.lit("-"), F.lit(" ")))
 
@@ -731,9 +751,12 @@ def map_landed(boards: DataFrame, provider: str, as_of: Column, details: DataFra
         boards = eightfold_pages(boards)
     listings = map_payload(boards, provider, as_of, details)
     if provider == "google":
-        served = listings.select("source_url").distinct()
-        links = google_links(boards.join(served, "source_url", "left_anti"), as_of)
-        return listings.unionByName(links)
+        # decided page by page, then deduplicated over both kinds
+        served = listings.select("source_url", "page_ord").distinct()
+        links = google_links(boards.join(served, ["source_url", "page_ord"], "left_anti"), as_of)
+        unique = F.coalesce("ats_job_id", F.concat_ws("#", F.lit(""), F.col("page_ord"), F.col("pos")))
+        both = listings.unionByName(links).withColumn("_same", unique)
+        return best_per_key(both, ["source_url", "_same"], [F.col("page_ord"), F.col("pos")]).drop("_same")
     return listings
 
 

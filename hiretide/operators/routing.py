@@ -26,7 +26,7 @@ def query_values(url: Column, key: str) -> Column:
     """All non-blank values of a query parameter, decoded, in order."""
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: p.startswith(key + "=") & (F.length(p) > len(key) + 1))
-    return F.transform(pairs, lambda p: F.try_url_decode(F.substring(p, len(key) + 2, 1 << 20)))
+    return F.transform(pairs, lambda p: F.try_url_decode(p.substr(F.lit(len(key) + 2), F.length(p))))
 
 
 def part_after(parts: Column, marker: str) -> Column:
@@ -175,7 +175,7 @@ def candidate_tokens(company: Column) -> Column:
         known = F.when(company == name, strings(aliases)).otherwise(known)
     tokens = F.concat(F.coalesce(known, F.array().cast("array<string>")), F.array_compact(F.array(*guesses)))
     tidy = F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, "^-+|-+$", "")))
-    return F.slice(F.array_distinct(F.filter(tidy, lambda t: t != "")), 1, rules.MAX_CANDIDATE_TOKENS)
+    return F.array_distinct(F.filter(tidy, lambda t: t != ""))
 
 
 def discover(companies: DataFrame, boards: DataFrame) -> tuple[DataFrame, DataFrame]:

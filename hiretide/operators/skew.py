@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from hiretide.session import materialize
 
-# A group up to this many rows may be ordered inside one task.
-GROUP_ROWS_PER_TASK = 1_000_000
-
-
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key under ``order``.
 
@@ -31,27 +27,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest key (map-side combined; one number comes back)."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def ordinal_within(df: DataFrame, keys: list[str], order: list[str], name: str,
-                   group_rows: int = GROUP_ROWS_PER_TASK) -> DataFrame:
+def ordinal_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key 1..n by ``order``.
 
-    A plain window while every group fits one task; otherwise rows are range
-    partitioned over key and order, so that a hot group spans many tasks.
-    """
-    if largest_group(df, keys) <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window))
-    return ordinal_by_range(df, keys, order, name)
-
-
-def ordinal_by_range(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Row numbers from sorted ranges: position in the range plus the number of
-    rows of the key in earlier ranges.  Order columns must identify a row."""
+    Rows are range partitioned over key and order, so that a hot key spans many
+    tasks; a number is the position in the range plus the number of rows of the key
+    in earlier ranges.  Order columns must identify a row."""
     sort = [F.col(c) for c in [*keys, *order]]
     spread = (
         df.repartitionByRange(*sort)

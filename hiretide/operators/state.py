@@ -42,8 +42,13 @@ def row_id(*key: str | Column) -> Column:
 
 def replace_rows(snapshot: DataFrame, batch: DataFrame, key: list[str], keep: Iterable[str]) -> DataFrame:
     """Next snapshot: batch rows replace snapshot rows of the same key, except
-    for the ``keep`` columns, which stay as first written."""
+    for the ``keep`` columns, which stay as first written.  Batch rows with a NULL
+    key are left out; of a repeated key the row extracted last counts."""
     keep = {*keep, *key}
+    latest = [F.col("extracted_at").desc_nulls_last()] if "extracted_at" in batch.columns else []
+    # rows that tie are told apart by a hash of what can be hashed
+    plain = [f.name for f in batch.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    batch = best_per_key(batch.dropna(subset=key), key, [*latest, F.xxhash64(*plain)])
     old = snapshot.withColumn("_old", F.lit(True)).alias("o")
     new = batch.withColumn("_new", F.lit(True)).alias("n")
     joined = old.join(new, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full")
@@ -91,8 +96,10 @@ def upsert_companies(snapshot: DataFrame, batch: DataFrame, order: list[str], as
 
 
 def job_rows(records: DataFrame, as_of: Column) -> DataFrame:
-    """Nested records to table rows, with defaults for what is missing."""
+    """Nested records to table rows, with defaults for what is missing.  Records
+    with a blank or missing hash are skipped, as :func:`import_summary` counts them."""
     job, n = F.col("job"), F.col("normalization")
+    records = records.filter(F.coalesce(job.content_hash, F.lit("")) != "")
 
     def listed(value: Column, kind: str = EMPTY_STRINGS) -> Column:
         kept = F.array_compact(value) if kind == EMPTY_STRINGS else value
@@ -128,7 +135,8 @@ def job_rows(records: DataFrame, as_of: Column) -> DataFrame:
 
 
 def upsert_jobs(snapshot: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` hold one row per content hash (see :func:`last_per_key`)."""
+    """Of a repeated content hash the row extracted last counts (callers that know
+    a better order reduce first, see :func:`last_per_key`)."""
     return replace_rows(snapshot, rows, ["content_hash"], keep=("id", "first_seen_at"))
 
 
@@ -220,11 +228,14 @@ def upsert_event_sources(snapshot: DataFrame, results: DataFrame, order: list[st
     return joined.select(*[pick(c) for c in snapshot.columns])
 
 
-def match_sources(events: DataFrame, sources: DataFrame, key: str = "content_hash") -> DataFrame:
+def match_sources(events: DataFrame, sources: DataFrame) -> DataFrame:
     """U8: events with the ``source_id`` of their best source, NULL without one.
 
     Tiers: same URL (event or registration), same host and firm, same firm.  The
-    earliest source wins inside a tier, so each tier joins one source per key.
+    earliest source wins inside a tier, so each tier joins one source per key.  Every
+    event row is carried through the lookups, so repeated events stay as they are.
+    An event without a registration URL looks its event URL up again, which changes
+    nothing and spreads those rows.
     """
     slim = sources.select(
         F.col("id").alias("_id"), "source_ord", "source_url", "firm_name", "firm_kind",
@@ -235,20 +246,18 @@ def match_sources(events: DataFrame, sources: DataFrame, key: str = "content_has
         pick = F.min(F.struct("source_ord", "_id")).alias(tag)
         return slim.dropna(subset=columns).groupBy(*columns).agg(pick)
 
-    probe = events.select(
-        key, "event_url", F.col("registration_url"), "firm_name", "firm_kind",
-        host(F.col("event_url")).alias("_host"),
+    probe = events.drop("source_id").withColumns(
+        {"_host": host(F.col("event_url")), "_register": F.coalesce("registration_url", "event_url")}
     )
     by_url = earliest(["source_url"], "_u")
     matched = (
         probe.join(by_url.withColumnsRenamed({"source_url": "event_url", "_u": "_u1"}), "event_url", "left")
-        .join(by_url.withColumnsRenamed({"source_url": "registration_url", "_u": "_u2"}), "registration_url", "left")
+        .join(by_url.withColumnsRenamed({"source_url": "_register", "_u": "_u2"}), "_register", "left")
         .join(earliest(["_host", "firm_name", "firm_kind"], "_h"), ["_host", "firm_name", "firm_kind"], "left")
         .join(earliest(["firm_name", "firm_kind"], "_f"), ["firm_name", "firm_kind"], "left")
     )
     best = F.coalesce(F.least("_u1", "_u2"), F.col("_h"), F.col("_f"))
-    chosen = matched.select(key, best["_id"].alias("source_id"))
-    return events.drop("source_id").join(chosen, key, "left")
+    return matched.select(*[c for c in events.columns if c != "source_id"], best["_id"].alias("source_id"))
 
 
 def event_rows(events: DataFrame, as_of: Column) -> DataFrame:
@@ -265,7 +274,7 @@ def event_rows(events: DataFrame, as_of: Column) -> DataFrame:
 
 
 def upsert_events(snapshot: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` hold one row per content hash."""
+    """As U2."""
     return replace_rows(snapshot, rows, ["content_hash"], keep=("id", "first_seen_at"))
 
 

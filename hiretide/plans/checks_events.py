@@ -147,7 +147,7 @@ def _card_pages(spark, sf_dir):
         F.lit('"></time><p>'), "description", F.lit('</p><a href="/e/'), F.col("event_id").cast("string"),
         F.lit('">Register</a></div>'),
     )
-    return _pages(_events(spark, sf_dir), card, "<html><body><h1>Board</h1>", "</body></html>")
+    return _pages(_events(spark, sf_dir), card, "<html><body><h1>Board</h1>", "</body></html>", per_page=130)
 
 
 _CARD_TEXT = "event_title || ' ' || description || ' Register'"
@@ -178,7 +178,7 @@ def _list_pages(spark, sf_dir):
         F.lit("<li><strong>"), "event_title", F.lit("</strong> on "), F.date_format("starts_at", "MMMM d, yyyy"), F.lit(" at "),
         F.date_format("starts_at", "h:mm a"), F.lit(' <a href="'), "event_url", F.lit('">join the event</a></li>'),
     )
-    return _pages(_events(spark, sf_dir), item, "<ul>", "</ul>")
+    return _pages(_events(spark, sf_dir), item, "<ul>", "</ul>", per_page=260)
 
 
 _LIST_TEXT = (

@@ -673,19 +673,17 @@ def snk1_counters(spark, sf_dir):
     "snk3_audit_csv",
     duck.with_jobs(
         "SELECT job_url, program_type, array_to_string(required_skills, '|') AS required_skills,"
-        " replace(substr(cleaned_description, 1, 500), chr(10), ' ') AS description_preview FROM elig"
-        " WHERE cleaned_description <> ''"
+        " replace(cleaned_description, chr(10), ' ') AS description_preview FROM elig"
     ),
 )
 def snk3(spark, sf_dir):
-    """Round trip through the CSV (an empty preview comes back as NULL)."""
+    """Round trip through the CSV (an empty value comes back as NULL)."""
     path = scratch_path(spark, "audit")
     records = classify.normalize(listings(spark, sf_dir), as_of())
     reports.write_audit_csv(records, path)
     back = spark.read.option("header", True).option("escape", '"').csv(path)
-    shown = back.filter("description_preview IS NOT NULL")
-    return shown.select(
-        "job_url", "program_type", F.coalesce("required_skills", F.lit("")).alias("required_skills"), "description_preview"
+    return back.select(
+        "job_url", "program_type", *[F.coalesce(c, F.lit("")).alias(c) for c in ("required_skills", "description_preview")]
     )
 
 

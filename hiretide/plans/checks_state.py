@@ -108,6 +108,26 @@ def u2(spark, sf_dir):
     )
 
 
+@query(
+    "u2_blank_and_repeated_hashes",
+    duck.with_jobs(
+        "SELECT content_hash, 1 AS rows, job_title FROM jobs WHERE doc_id % 11 <> 1 AND doc_id % 13 <> 2"
+    ),
+)
+def u2_blank_and_repeated(spark, sf_dir):
+    """Blank, NULL and repeated hashes, imported twice: the table stays the same."""
+    n = F.col("doc_id")
+    spoiled = listings(spark, sf_dir).withColumn(
+        "content_hash", F.when(n % 11 == 1, "").when(n % 13 == 2, None).otherwise(F.col("content_hash"))
+    )
+    rows = _job_rows(spoiled, as_of())
+    older = rows.withColumns({"extracted_at": F.col("extracted_at") - F.expr("INTERVAL 1 DAY"), "job_title": F.lit("older")})
+    batch = rows.unionByName(older).unionByName(rows)
+    once = state.upsert_jobs(rows.limit(0), batch)
+    twice = state.upsert_jobs(once, batch)
+    return twice.groupBy("content_hash").agg(F.count(F.lit(1)).alias("rows"), F.max("job_title").alias("job_title"))
+
+
 @query(
     "u3_job_rows",
     duck.with_jobs(
@@ -229,6 +249,23 @@ def u8(spark, sf_dir):
     return matched.select("event_id", F.coalesce("source_url", F.lit("")).alias("source_url"))
 
 
+@query(
+    "u8_repeated_events",
+    with_events("SELECT event_id, coalesce(source_url, '') AS source_url, 1 + event_id % 3 AS copies FROM event_table"),
+)
+def u8_repeated(spark, sf_dir):
+    """Every event up to three times: no row more, no row less."""
+    events = with_event_columns(view(spark, sf_dir, "recruiting_events"))
+    repeated = events.withColumn("_copy", F.expr("explode(sequence(0, cast(event_id % 3 AS int)))")).drop("_copy")
+    sources = source_table(spark, sf_dir)
+    matched = state.match_sources(repeated, sources).join(
+        sources.select(F.col("id").alias("source_id"), "source_url"), "source_id", "left"
+    )
+    return matched.groupBy("event_id", F.coalesce("source_url", F.lit("")).alias("source_url")).agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+
+
 _U9_OLD, _U9_NEW = "2024-01-20 00:00:00", "2024-01-10 00:00:00"
 _IN_NEW = f"starts_at >= TIMESTAMP '{_U9_NEW}'"
 
@@ -434,7 +471,7 @@ def st1(spark, sf_dir):
         stream, store, firms, scratch_path(spark, "letters"), as_of(), scratch_path(spark, "jobs-marks"), ["doc_id"]
     )
     running.awaitTermination()
-    return store.read(running.lastProgress["batchId"]).select("content_hash", "program_type", "is_active")
+    return store.current().select("content_hash", "program_type", "is_active")
 
 
 _GREEDY = """
@@ -464,6 +501,30 @@ def st2_stream(spark, sf_dir):
     return judged.groupBy("key").agg(F.count_if("accepted").alias("accepted"))
 
 
+_BUSY = """
+WITH RECURSIVE req AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE CAST(user_id AS VARCHAR) END AS key, ts FROM events),
+hops AS (
+  SELECT key, min(ts) AS ts FROM req GROUP BY 1
+  UNION ALL
+  SELECT h.key, (SELECT min(r.ts) FROM req r WHERE r.key = h.key AND r.ts >= h.ts + INTERVAL 30 MINUTE)
+  FROM hops h WHERE h.ts IS NOT NULL
+)
+SELECT key, count(ts) AS accepted FROM hops GROUP BY 1"""
+
+
+@query("st2_busy_key_stream", _BUSY)
+def st2_busy_stream(spark, sf_dir):
+    """A third of all requests have one key and arrive out of order."""
+    busy = _requests(spark, sf_dir).withColumn("key", F.when(F.col("event_id") % 3 == 0, "busy").otherwise(F.col("key")))
+    shuffled = busy.repartition(3).sortWithinPartitions(F.xxhash64("event_id"))
+    with _state_store(spark):
+        stream = _landed(spark, sf_dir, shuffled, "busy")
+        judged = _collected(
+            spark, refresh.throttle_stream(stream, "key", "key string, ts timestamp, event_id bigint"), "busy-throttled"
+        )
+    return judged.groupBy("key").agg(F.count_if("accepted").alias("accepted"))
+
+
 class _state_store:
     """The state API needs the RocksDB provider while its query runs."""
 
@@ -501,6 +562,27 @@ def st3_stream(spark, sf_dir):
     return changes.filter("is_active").groupBy("key").agg((F.count(F.lit(1)) > 0).alias("sighted"))
 
 
+@query(
+    "st1_restarted_refresh",
+    duck.with_jobs("SELECT content_hash, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS seen FROM jobs"),
+)
+def st1_restarted(spark, sf_dir):
+    """Two queries with checkpoints of their own: the second goes on where the first ended."""
+    empty = state.job_rows(classify.normalize(listings(spark, sf_dir).limit(0), as_of()), as_of())
+    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema))
+    blank = tables.companies(spark, sf_dir).withColumn("created_at", as_of())
+    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema))
+    n = F.col("doc_id") % 3
+    for at, wanted in ((_earlier(), n != 2), (as_of(), n >= 1)):
+        running = refresh.refresh_jobs(
+            _landed(spark, sf_dir, listings(spark, sf_dir).filter(wanted), "landed-jobs"), store, firms,
+            scratch_path(spark, "letters"), at, scratch_path(spark, "jobs-marks"), ["doc_id"],
+        )
+        running.awaitTermination()
+    again = F.col("first_seen_at") < F.col("last_seen_at")
+    return store.current().select("content_hash", F.when(again, 2).otherwise(1).alias("seen"))
+
+
 @query("st4_refresh_events", with_events("SELECT event_url, coalesce(source_url, '') AS source_url, is_active FROM event_table"))
 def st4(spark, sf_dir):
     at = F.lit("2024-01-15 00:00:00").cast("timestamp")
@@ -512,7 +594,7 @@ def st4(spark, sf_dir):
         _landed(spark, sf_dir, events, "landed-events"), store, sources, at, scratch_path(spark, "events-marks"), ["event_id"]
     )
     running.awaitTermination()
-    rows = store.read(running.lastProgress["batchId"])
+    rows = store.current()
     named = rows.join(sources.select(F.col("id").alias("source_id"), "source_url"), "source_id", "left")
     return named.select("event_url", F.coalesce("source_url", F.lit("")).alias("source_url"), "is_active")
 

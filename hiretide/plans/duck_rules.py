@@ -86,7 +86,7 @@ def _grad_years() -> str:
 
 GRAD_YEARS = _grad_years()
 NICE_TEXT = "concat_ws(' ', " + ", ".join(
-    f"CASE WHEN contains(s, {quoted(m)}) THEN substr(s, strpos(s, {quoted(m)}), {rules.NICE_TO_HAVE_CHARS}) END"
+    f"CASE WHEN contains(s, {quoted(m)}) THEN substr(s, strpos(s, {quoted(m)})) END"
     for m in rules.NICE_TO_HAVE_MARKERS
 ) + ")"
 GPA = (

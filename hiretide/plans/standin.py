@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hiretide.plans.dialect import DUCK, SPARK, Duck, choose
-from hiretide.session import spread_small
 
 AS_OF = "2026-06-01 00:00:00"
 
@@ -109,7 +108,8 @@ def sources_sql(d: Duck) -> str:
 
 
 def commands_sql(d: Duck) -> str:
-    """Board commands from orders; a status only moves when the priority says so."""
+    """Board commands from orders over all listings and fifty ids that no listing has;
+    a status only moves when the priority says so."""
     status = (
         "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'OFFER' "
         "WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' THEN 'REJECTED' "
@@ -121,7 +121,7 @@ def commands_sql(d: Duck) -> str:
     )
     return f"""
     SELECT o_orderkey AS command_id, CAST(o_custkey AS STRING) AS user_id,
-      CAST(o_orderkey % 1999 AS STRING) AS ats_job_id, {status} AS status,
+      CAST(CAST(o_orderkey * 7919 % (SELECT max(doc_id) + 51 FROM documents) AS BIGINT) AS STRING) AS ats_job_id, {status} AS status,
       {d.ts("o_orderdate")} AS issued_at
     FROM orders
     """
@@ -182,7 +182,7 @@ VIEWS = {
     "listings": (listings_sql, ("documents",)),
     "runs": (runs_sql, ("listings",)),
     "run_sources": (sources_sql, ("runs",)),
-    "commands": (commands_sql, ("orders",)),
+    "commands": (commands_sql, ("orders", "documents")),
     "recruiting_events": (recruiting_events_sql, ("events",)),
     "event_sources": (event_sources_sql, ("events",)),
 }
@@ -190,11 +190,14 @@ VIEWS = {
 
 # tables whose rows carry whole texts
 TEXT_TABLES = ("documents", "pages")
+TEXT_PARTITIONS = "spark.hiretide.textPartitions"
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(scan) if name in TEXT_TABLES else scan
+    """A table as it is stored; a caller who knows that its text tables come in too
+    few splits may name a number of partitions (bench.py does)."""
+    scan, wanted = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get(TEXT_PARTITIONS, None)
+    return scan.repartition(int(wanted)) if wanted and name in TEXT_TABLES else scan
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,9 +205,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return given(spark, sf_dir, name)
     sql, reads = VIEWS[name]
-    (source,) = reads
-    upstream = view(spark, sf_dir, source)
-    return spark.sql(sql(SPARK).replace(f"FROM {source}", "FROM {" + source + "}"), **{source: upstream})
+    text = sql(SPARK)
+    for source in reads:
+        text = text.replace(f"FROM {source}", "FROM {" + source + "}")
+    return spark.sql(text, **{source: view(spark, sf_dir, source) for source in reads})
 
 
 def duck_views(*names: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiretide import rules
-from hiretide.operators.skew import GROUP_ROWS_PER_TASK, ordinal_within
+from hiretide.operators.skew import ordinal_within
 
 
 def _with_child_counts(parents: DataFrame, children: DataFrame, key: str, total: str, active: str) -> DataFrame:
@@ -52,10 +52,12 @@ def active_counts(jobs: DataFrame, *dimensions: str) -> DataFrame:
 
 
 def popular_skills(jobs: DataFrame, limit: int = 25) -> DataFrame:
-    """A4."""
+    """A4.  The ``limit`` most wanted skills."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
     skills = jobs.filter("is_active").select(F.explode("required_skills").alias("skill"))
     counted = skills.filter("skill <> ''").groupBy("skill").agg(F.count(F.lit(1)).alias("count"))
-    return counted.orderBy(F.col("count").desc(), "skill").limit(max(1, min(limit, 100)))
+    return counted.orderBy(F.col("count").desc(), "skill").limit(limit)
 
 
 def active_companies(jobs: DataFrame) -> DataFrame:
@@ -101,12 +103,11 @@ def last_positions(board: DataFrame) -> DataFrame:
     return board.groupBy("user_id", "status").agg(F.max("kanban_order").alias("last_position"))
 
 
-def next_positions(new_rows: DataFrame, board: DataFrame, order: list[str],
-                   group_rows: int = GROUP_ROWS_PER_TASK) -> DataFrame:
+def next_positions(new_rows: DataFrame, board: DataFrame, order: list[str]) -> DataFrame:
     """A10: consecutive positions for new rows after the last one of the same
     user and status, starting at 0."""
     keys = ["user_id", "status"]
-    numbered = ordinal_within(new_rows, keys, order, "_n", group_rows)
+    numbered = ordinal_within(new_rows, keys, order, "_n")
     placed = numbered.join(last_positions(board), keys, "left")
     position = F.coalesce(F.col("last_position"), F.lit(-1)) + F.col("_n")
     return placed.withColumn("kanban_order", position.cast("int")).drop("_n", "last_position")

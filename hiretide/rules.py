@@ -146,7 +146,6 @@ NICE_TO_HAVE_MARKERS = (
     "nice to have", "preferred qualifications", "preferred skills", "bonus",
     "plus if",
 )
-NICE_TO_HAVE_CHARS = 1000
 CLEARANCE_TERMS = (
     "security clearance", "secret clearance", "top secret", "ts/sci",
     "polygraph",
@@ -257,7 +256,6 @@ KNOWN_TOKEN_ALIASES = {
     "TripActions": ("tripactions", "navan"),
     "Wiz": ("wizinc", "wiz"),
 }
-MAX_CANDIDATE_TOKENS = 8
 DISCOVERY_PROVIDER_ORDER = ("greenhouse", "lever", "ashby")
 DISCOVERY_URL_PREFIX = {
     "greenhouse": "https://boards.greenhouse.io/",
@@ -360,4 +358,3 @@ ADDRESS_KEYS = (
     "streetAddress", "addressLocality", "addressRegion", "postalCode",
     "addressCountry",
 )
-CARDS_PER_PAGE, RECRUITING_CARDS_PER_PAGE = 50, 100

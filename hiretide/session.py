@@ -50,17 +50,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SMALL_SCAN_BYTES = 1 << 30
-
-
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Rebalance a plain file scan that has fewer splits than there are cores, so
-    that per-row text work is not confined to a few tasks.  Scans of any size
-    worth distributing already have more splits and are left alone."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_SCAN_BYTES or scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores)

@@ -12,7 +12,6 @@ EVENT_SOURCE_CONFIG = (
     "firm_name string, firm_kind string, event_page_url string, source_provider string, source_scope string, "
     "firm_aliases array<string>"
 )
-DEAD_LETTERS_KEPT = 1000
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -59,11 +58,6 @@ def recent_dead_letters(spark: SparkSession, path: str, n: int = 5) -> DataFrame
     return letters.orderBy(F.col("recorded_at").desc(), F.col("failure.source_url")).limit(n)
 
 
-def retained_dead_letters(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: what the bounded log keeps."""
-    return recent_dead_letters(spark, path, DEAD_LETTERS_KEPT)
-
-
 def write_discovery(hits: DataFrame, unmatched: DataFrame, path: str) -> None:
     """SNK6: hits, their source URLs and the unmatched companies, by name."""
     ordered = hits.orderBy(F.lower("company_name"), "company_name")

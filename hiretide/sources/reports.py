@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PREVIEW_CHARS = 500
-
-
 def audit_rows(records: DataFrame) -> DataFrame:
     """SNK3: the 15 columns a reviewer sees."""
     job, n = F.col("job"), F.col("normalization")
@@ -15,7 +12,7 @@ def audit_rows(records: DataFrame) -> DataFrame:
     def listed(name: str):
         return F.array_join(n[name].cast("array<string>"), "|").alias(name)
 
-    preview = F.translate(F.substring("cleaned_description", 1, PREVIEW_CHARS), "\n", " ")
+    preview = F.translate("cleaned_description", "\n", " ")
     return records.select(
         job.company_name.alias("company_name"), job.job_title.alias("job_title"), job.job_url.alias("job_url"),
         n.program_type.alias("program_type"), listed("academic_levels"), listed("degree_requirements"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,12 +14,14 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from hiretide import rules
 from hiretide.operators import classify, state, validate
-from hiretide.operators.skew import GROUP_ROWS_PER_TASK, ordinal_within
+from hiretide.operators.skew import ordinal_within
 from hiretide.session import materialize
 
 # --- refresh throttle (ST2) -------------------------------------------------------
 
 _CARRY = "_carry"
+# Requests of one key that a round judges.
+ROWS_PER_ROUND = 1_000_000
 
 
 def _accept_first(ttl_seconds: int, columns: list[str], keys: list[str]) -> Callable:
@@ -48,7 +52,7 @@ def _accept_first(ttl_seconds: int, columns: list[str], keys: list[str]) -> Call
 
 def throttle(requests: DataFrame, keys: list[str], order: list[str],
              ttl_seconds: int = rules.REFRESH_LOCK_SECONDS,
-             requests_per_round: int = GROUP_ROWS_PER_TASK) -> DataFrame:
+             requests_per_round: int = ROWS_PER_ROUND) -> DataFrame:
     """ST2, batch twin: requests (keys, ``ts``) with an ``accepted`` flag.
 
     The scan streams through sorted partitions with one timestamp of state.  Each
@@ -56,7 +60,7 @@ def throttle(requests: DataFrame, keys: list[str], order: list[str],
     does not fill one task; the last acceptance carries over to the next round.
     """
     columns = requests.columns
-    numbered = ordinal_within(requests, keys, order, "_n", requests_per_round)
+    numbered = ordinal_within(requests, keys, order, "_n")
     turn = F.floor((F.col("_n") - 1) / requests_per_round).cast("int")
     rounds = numbered.agg(F.max(turn)).first()[0]
     if rounds is None:
@@ -94,16 +98,26 @@ class _Throttle(StatefulProcessor):
         self.last = handle.getValueState("last", "at timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        for batch in rows:
-            verdicts = []
-            batch = batch.sort_values("ts", kind="stable")
-            for at in batch["ts"]:
-                ok = last is None or (at - pd.Timestamp(last)) >= pd.Timedelta(milliseconds=self.ttl_ms)
-                if ok:
-                    last = at
-                verdicts.append(ok)
-            yield batch.assign(accepted=verdicts)
+        """All rows of the key in the micro-batch are ordered before they are judged;
+        how many those can be is set by the source's rate limit."""
+        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        ttl, batches = pd.Timedelta(milliseconds=self.ttl_ms), list(rows)
+        times = pd.concat([b["ts"] for b in batches], ignore_index=True)
+        verdicts = pd.Series(False, index=times.index)
+        ordered = times.sort_values(kind="stable")
+        at = 0
+        while at < len(ordered):
+            if last is not None:  # straight to the first request that the TTL lets through
+                at = max(at, int(ordered.searchsorted(last + ttl)))
+                if at >= len(ordered):
+                    break
+            last = ordered.iloc[at]
+            verdicts[ordered.index[at]] = True
+            at += 1
+        start = 0
+        for batch in batches:
+            yield batch.assign(accepted=verdicts.iloc[start:start + len(batch)].to_numpy())
+            start += len(batch)
         if last is not None:
             self.last.update((pd.Timestamp(last).to_pydatetime(),))
             for timer in self.handle.listTimers():
@@ -198,12 +212,44 @@ def first_sightings(stream: DataFrame, key: str, window: str = "1 hour") -> Data
 
 
 class SnapshotStore:
-    """Versioned Parquet snapshots under one path; a batch id is a version, so a
-    replayed micro-batch rewrites its own version and reads the one before it."""
+    """Versioned Parquet snapshots under one path.
+
+    The store numbers its versions and logs for each which query and micro-batch
+    wrote it.  A replayed micro-batch that is in the log changes nothing; one that
+    failed before it was logged writes its version again.  A new query (a fresh
+    checkpoint) goes on from the newest version.
+    """
+
+    LOG = "version long, query string, batch long"
 
     def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
         self.spark, self.path, self.empty = spark, path.rstrip("/"), empty
 
+    def log(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.LOG).union(self._logged())
+
+    def _logged(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log")
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], self.LOG)
+
+    def newest(self) -> int:
+        """The newest logged version, -1 for an empty store."""
+        top = self.log().agg(F.max("version")).first()[0]
+        return -1 if top is None else top
+
+    def current(self) -> DataFrame:
+        return self.read(self.newest())
+
+    def commit(self, query: str, batch: int, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes ``change`` of the newest version as the next one, once per query and batch."""
+        if not self.log().filter((F.col("query") == query) & (F.col("batch") == batch)).isEmpty():
+            return
+        version = self.newest() + 1
+        self.write(version, change(self.read(version - 1)))
+        self.spark.createDataFrame([(version, query, batch)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
     def version_path(self, version: int) -> str:
         return f"{self.path}/v{version:012d}"
 
@@ -217,6 +263,12 @@ class SnapshotStore:
         return self.read(version)
 
 
+def query_of(batch: DataFrame, checkpoint: str) -> str:
+    """The id of the streaming query, which lives in its checkpoint."""
+    told = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return told or hashlib.sha256(checkpoint.encode()).hexdigest()[:32]
+
+
 def refresh_jobs(stream: DataFrame, jobs: SnapshotStore, companies: SnapshotStore, letters_path: str,
                  as_of: Column, checkpoint: str, order: list[str]) -> StreamingQuery:
     """ST1 and ST5: landed listings -> quarantine -> eligibility -> upserts.
@@ -226,17 +278,18 @@ def refresh_jobs(stream: DataFrame, jobs: SnapshotStore, companies: SnapshotStor
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        query = query_of(batch, checkpoint)
         kept, bad = validate.quarantine(batch, validate.listing_errors(), ["ats_provider", "company_name"])
         bad.select(
             as_of.alias("recorded_at"),
             F.struct(F.col("job_url").alias("source_url"), "ats_provider", "error_type",
                      F.concat_ws(", ", "errors").alias("message")).alias("failure"),
-        ).write.mode("overwrite").json(f"{letters_path}/batch={batch_id}")
+        ).write.mode("overwrite").json(f"{letters_path}/query={query}/batch={batch_id}")
         records = classify.normalize_run(kept, order, as_of)
         rows = state.job_rows(records, as_of)
-        jobs.write(batch_id, state.upsert_jobs(jobs.read(batch_id - 1), rows))
-        companies.write(
-            batch_id, state.upsert_companies(companies.read(batch_id - 1), kept, order, as_of, touch=True)
+        jobs.commit(query, batch_id, lambda table: state.upsert_jobs(table, rows))
+        companies.commit(
+            query, batch_id, lambda table: state.upsert_companies(table, kept, order, as_of, touch=True)
         )
 
     return (
@@ -252,7 +305,7 @@ def refresh_events(stream: DataFrame, events: SnapshotStore, sources: DataFrame,
     def upsert(batch: DataFrame, batch_id: int) -> None:
         last = state.last_per_key(batch, ["content_hash"], order)
         rows = state.event_rows(state.match_sources(last, sources), as_of)
-        events.write(batch_id, state.upsert_events(events.read(batch_id - 1), rows))
+        events.commit(query_of(batch, checkpoint), batch_id, lambda table: state.upsert_events(table, rows))
 
     return (
         stream.writeStream.foreachBatch(upsert)

@@ -19,14 +19,14 @@ def hot(spark, n=4000):
 
 def test_ordinal_by_range_equals_window(spark):
     df = hot(spark)
-    got = skew.ordinal_within(df, ["k"], ["o"], "n", group_rows=100)
+    got = skew.ordinal_within(df, ["k"], ["o"], "n")
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
 def test_ordinal_handles_null_keys(spark):
     df = hot(spark).withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
-    got = skew.ordinal_within(df, ["k"], ["o"], "n", group_rows=100)
+    got = skew.ordinal_within(df, ["k"], ["o"], "n")
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
