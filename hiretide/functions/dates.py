@@ -64,6 +64,7 @@ def relative_posting(text: Column, as_of: Column) -> Column:
     """'Posted 3 days ago' style text relative to ``as_of``."""
 
     def age_in_days(lowered: Column) -> Column:
+        # fixed pattern
         days = F.regexp_extract(lowered, r"^posted\s+(\d+)\+?\s+days?\s+ago$", 1)
         return (
             F.when(lowered.isin("posted today", "today"), F.lit(0))
@@ -80,6 +81,7 @@ def posting_date(as_of: Column, *absolute: Column, relative: Column) -> Column:
 
 
 def _bare_time(time: Column) -> Column:
+    # fixed pattern
     zoneless = F.regexp_replace(squeeze(time), r"(?i)\b(?:GMT|UTC|ET|EST|EDT|CT|CST|CDT|PT|PST|PDT)\b", "")
     return F.upper(squeeze(F.replace(zoneless, F.lit("."))))
 
@@ -122,12 +124,14 @@ def event_timestamp(text: Column) -> Column:
     """Start or end of an event found anywhere in a text (T4)."""
 
     def narrowed(compact: Column) -> Column:
+        # fixed pattern
         found = F.regexp_extract(
             compact, r"\b(\d{4}-\d{2}-\d{2}(?:[T ][0-9:]{4,8}(?:[+-][0-9:]+)?)?)\b", 1
         )
         return F.coalesce(F.nullif(found, F.lit("")), compact)
 
     def parse(candidate: Column) -> Column:
+        # fixed patterns
         written = F.regexp_extract(
             candidate,
             rf"((?:{WEEKDAY},\s+)?(?:[A-Z][a-z]+\.?\s+\d{{1,2}},\s+\d{{4}}"

@@ -75,6 +75,7 @@ def grad_years(text: Column) -> Column:
     """N4.  Years and year ranges with a student term near them, sorted."""
     (year,), near = _years_in_context(text, rf"\b({YEAR})\b", 1, rules.GRAD_YEAR_REACH)
     single = F.zip_with(year, near, lambda y, ok: F.when(ok, y.cast("int")))
+    # fixed pattern
     (start, end), near_range = _years_in_context(
         text, rf"\b({YEAR})\b\s*(?:-|to|through|and|or|,)\s*\b({YEAR})\b", 2, rules.GRAD_RANGE_REACH
     )
@@ -133,6 +134,7 @@ def nice_to_have_skills(text: Column) -> Column:
 
 def min_gpa(text: Column) -> Column:
     """N9.  The first pattern that matches decides, even if out of range."""
+    # fixed patterns
     leading = r"\b(?:minimum\s+)?(?:gpa|grade point average)\s*(?:of|:)?\s*([0-4]\.\d{1,2})\b"
     trailing = r"\b([0-4]\.\d{1,2})\s*(?:minimum\s+)?gpa\b"
     found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") for p in (leading, trailing)]
@@ -422,4 +424,4 @@ def audit_sample(records: DataFrame, size: int, seed: int = 0, needs_review_only
     if needs_review_only:
         records = records.filter(F.col("normalization.normalization_status") == "NEEDS_REVIEW")
     content_hash = F.col("job.content_hash")
-    return records.orderBy(F.xxhash64(content_hash, F.lit(seed)), content_hash).limit(size)
+    return records.orderBy(F.sha2(F.concat_ws("|", content_hash, F.lit(seed)), 256), content_hash).limit(size)

@@ -58,7 +58,18 @@ def tx4(spark, sf_dir):
     return hay.select("doc_id", F.col("_searchable").alias("haystack"))
 
 
-@query("tx5_single_line_text")
+def _one_line(x: str) -> str:
+    """Text outside scripts and styles with a blank for every tag, squeezed to one line."""
+    x = f"regexp_replace({x}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g')"
+    x = f"regexp_replace({x}, '</?[a-zA-Z][^>]*>', ' ', 'g')"
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"),
+                         ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({x}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
+
+
+@query("tx5_single_line_text", f"SELECT page_id, {_one_line('html')} AS body FROM pages")
 def tx5(spark, sf_dir):
     return given(spark, sf_dir, "pages").select("page_id", tx.single_line_text(F.col("html")).alias("body"))
 
@@ -265,7 +276,13 @@ def n18_status(spark, sf_dir):
     return classify.status_counts(classify.normalize(listings(spark, sf_dir), as_of()))
 
 
-@query("n19_audit_sample")
+@query(
+    "n19_audit_sample",
+    duck.with_jobs(
+        "SELECT doc_id, confidence FROM jobs WHERE normalization_status = 'NEEDS_REVIEW'"
+        " ORDER BY sha256(content_hash || '|7'), content_hash LIMIT 50"
+    ),
+)
 def n19(spark, sf_dir):
     records = classify.normalize(listings(spark, sf_dir), as_of())
     sample = classify.audit_sample(records, 50, seed=7, needs_review_only=True)
