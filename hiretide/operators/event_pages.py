@@ -24,9 +24,11 @@ from hiretide.functions.dom import facts as fact_schema
 from hiretide.functions.expr import bound, join_present, no_strings, present, squeeze, strings
 from hiretide.functions.variant import at, event_date, first_string, first_strings, first_value, kind, objects, string_list
 from hiretide.operators.events import (
-    build_events, event_type, firm_match, has_event_language, location_from_text, location_type,
+    build_events, dedupe_events, event_type, feed_rules, firm_match, has_event_language, location_from_text, location_type,
+    with_precedence,
 )
 from hiretide.operators.payloads import join_url
+from hiretide.operators.routing import host
 
 SOURCE = ("page_id", "url", "firm_name", "firm_kind", "source_provider", "source_scope", "firm_aliases")
 
@@ -520,11 +522,37 @@ def amazon_events(pages: DataFrame, as_of: Column) -> DataFrame:
     return mapped.filter(named).unionByName(recruiting_card_events(pages, as_of))
 
 
-def extract_page_events(pages: DataFrame, as_of: Column) -> list[DataFrame]:
+def generic_events(pages: DataFrame, as_of: Column) -> list[DataFrame]:
     """The generic extractors in their order (for E16)."""
-    is_calendar = F.col("content_type").contains("text/calendar") | F.lower("url").endswith(".ics")
+    is_calendar = F.coalesce(F.col("content_type").contains("text/calendar"), F.lit(False)) | F.lower("url").endswith(".ics")
     calendars, markup = pages.filter(is_calendar), pages.filter(~is_calendar)
     return [
         calendar_events(calendars, as_of), json_ld_events(markup, as_of), embedded_events(markup, as_of),
         site_card_events(markup, as_of), recruiting_card_events(markup, as_of), html_card_events(markup, as_of),
     ]
+
+
+def feed_events(pages: DataFrame, as_of: Column) -> DataFrame:
+    """Events of provider feeds, with ``feed_ord``.  The first two feeds are the
+    only ones asked for their pages; of the others the first that yields events."""
+    extractors = {
+        "morgan_stanley": morgan_stanley_events, "nvidia": nvidia_events, "eightfold": eightfold_events, "amazon": amazon_events,
+        "jpmorgan": jpmorgan_events,
+    }
+    rules_of, found, asked = feed_rules(F.col("source_provider"), F.coalesce(host(F.col("url")), F.lit(""))), None, F.lit(False)
+    for order, (feed, extract) in enumerate(extractors.items()):
+        mine = F.coalesce(rules_of[feed], F.lit(False))
+        events = extract(pages.filter(mine & ~asked), as_of).withColumn("feed_ord", F.lit(order))
+        found = events if found is None else found.unionByName(events)
+        if feed in ("morgan_stanley", "nvidia"):
+            asked = asked | mine
+    first = found.groupBy("page_id").agg(F.min("feed_ord").alias("_first")).withColumnRenamed("page_id", "_page")
+    return found.join(first, (F.col("page_id") == F.col("_page")) & (F.col("feed_ord") == F.col("_first"))).drop("_page", "_first")
+
+
+def page_events(pages: DataFrame, as_of: Column) -> DataFrame:
+    """E16 with E15: events of landed pages, with ``extractor_ord`` (0: a provider
+    feed).  An event that several extractors of a page find counts once, for the
+    first of them."""
+    chosen = with_precedence(feed_events(pages, as_of).drop("feed_ord"), generic_events(pages, as_of), "page_id")
+    return dedupe_events(chosen, ["extractor_ord", "pos"], ["page_id"])

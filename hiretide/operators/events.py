@@ -143,8 +143,8 @@ def with_precedence(provider: DataFrame, generic: list[DataFrame], page: str) ->
     return feed.unionByName(rest.join(served, page, "left_anti"))
 
 
-def feed_provider(provider: Column, page_host: Column) -> Column:
-    """The provider feed that serves a source, NULL for a generic page."""
+def feed_rules(provider: Column, page_host: Column) -> dict[str, Column]:
+    """Which provider feeds may serve a source, in the order they are asked."""
     # --- fixed values: (feed, provider name, host fragment), in order ---
     table = (
         ("morgan_stanley", "morgan_stanley_events", "morganstanley.com"),
@@ -155,7 +155,12 @@ def feed_provider(provider: Column, page_host: Column) -> Column:
     )
     rules_of = {feed: (provider == name) | page_host.contains(part) for feed, name, part in table}
     rules_of["eightfold"] = rules_of["eightfold"] | page_host.startswith("jobs.")
-    return first_label(rules_of)
+    return rules_of
+
+
+def feed_provider(provider: Column, page_host: Column) -> Column:
+    """The first provider feed that may serve a source, NULL for a generic page."""
+    return first_label(feed_rules(provider, page_host))
 
 
 def event_run_summary(sources: DataFrame, events: DataFrame, failures: DataFrame) -> DataFrame:

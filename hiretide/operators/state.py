@@ -166,6 +166,23 @@ def import_summary(records: DataFrame, jobs: DataFrame, companies: DataFrame) ->
     )
 
 
+def import_records(
+    jobs: DataFrame, companies: DataFrame, records: DataFrame, order: list[str], as_of: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """U1-U4 as one: (next jobs, next companies, summary) of an import of normalized
+    records.  Blank hashes are skipped, a repeated hash takes its last record; the
+    companies of all records are added or renewed.  ``order`` are columns of ``job``."""
+    placed = [F.col("job")[c].alias(f"_order{i}") for i, c in enumerate(order)]
+    last = last_per_key(
+        records.select("*", *placed, F.col("job.content_hash").alias("_hash")), ["_hash"], [f"_order{i}" for i in range(len(order))]
+    )
+    return (
+        upsert_jobs(jobs, job_rows(last, as_of)),
+        upsert_companies(companies, records.select("job.*"), order, as_of, touch=True),
+        import_summary(records, jobs, companies),
+    )
+
+
 def existing_keys(hashes: DataFrame, jobs: DataFrame) -> DataFrame:
     """The given content hashes that the table already holds."""
     return hashes.select("content_hash").distinct().join(jobs, "content_hash", "left_semi")
@@ -278,6 +295,21 @@ def upsert_events(snapshot: DataFrame, rows: DataFrame) -> DataFrame:
     return replace_rows(snapshot, rows, ["content_hash"], keep=("id", "first_seen_at"))
 
 
+def import_events(
+    snapshot: DataFrame, sources: DataFrame, events: DataFrame, results: DataFrame, order: list[str], as_of: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """U7-U10 as one: (next events, next sources, summary).  ``results`` (one row per
+    fetch of a source) are upserted first; events are matched against the sources of
+    this import and those known before."""
+    known = upsert_event_sources(sources, results, ["source_ord"], as_of)
+    last = last_per_key(events, ["content_hash"], order)
+    ranked = known.join(
+        results.groupBy("source_url").agg(F.min("source_ord").alias("source_ord")), "source_url", "left"
+    ).withColumn("source_ord", F.coalesce(F.col("source_ord").cast("bigint"), F.lit((1 << 62))))
+    rows = event_rows(match_sources(last, ranked), as_of)
+    return upsert_events(snapshot, rows), known, event_import_summary(events, snapshot, results, sources)
+
+
 def event_import_summary(events: DataFrame, snapshot: DataFrame, results: DataFrame,
                          sources: DataFrame) -> DataFrame:
     """Counters of one import; a repeated hash is an insert, then updates."""

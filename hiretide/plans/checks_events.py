@@ -387,6 +387,38 @@ def e16(spark, sf_dir):
     return chosen.select("event_url", F.col("extractor_ord").cast("bigint").alias("extractor_ord"))
 
 
+@query(
+    "e16_page_events",
+    f"""WITH {duck_views('recruiting_events')},
+    ev AS (SELECT *, event_id // 30 AS page, contains(event_title, 'Amazon') AS amazon, contains(event_title, 'NVIDIA') AS nvidia,
+             {_LANGUAGE} AS spoken FROM recruiting_events)
+    SELECT event_url, 0::BIGINT AS extractor_ord, '' AS firm FROM ev WHERE page % 3 = 0
+    UNION ALL SELECT event_url, 2, CASE WHEN amazon THEN 'Amazon' WHEN nvidia THEN 'NVIDIA' ELSE 'Campus Board' END
+      FROM ev WHERE page % 3 > 0 AND event_id % 2 = 0
+    UNION ALL SELECT event_url, 5, CASE WHEN amazon THEN 'Amazon' ELSE 'NVIDIA' END
+      FROM ev WHERE page % 3 > 0 AND event_id % 2 = 1 AND (amazon OR nvidia) AND spoken
+    UNION ALL SELECT event_url, 6, 'Campus Board' FROM ev WHERE page % 3 > 0 AND spoken AND event_id % 2 = 1 AND NOT amazon AND NOT nvidia""",
+)
+def e16_pages(spark, sf_dir):
+    """Every third page has a feed; on the others all events are cards and every other
+    one is in JSON-LD as well.  The hash holds the page's firm, not the one a card
+    names, so each event counts once a page."""
+    rows = _events(spark, sf_dir).withColumn("description", F.lit(""))
+    ld = _json(name="event_title", startDate=_iso("starts_at"), url="event_url", **{"@type": F.lit("Event")})
+    card = F.concat(
+        F.lit('<article class="event"><h3>'), "event_title", F.lit('</h3><time datetime="'), _iso("starts_at"), F.lit('"></time><p>'),
+        "description", F.lit('</p><a href="'), "event_url", F.lit('">Register</a></article>'),
+    )
+    listed = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"), card)).otherwise(card)
+    markup = _pages(rows, listed, "<html><body>", "</body></html>", per_page=30)
+    feed = _json(title="event_title", startDate=_iso("starts_at"), link="event_url")
+    feeds = _pages(rows, feed, "[", "]", ",", provider="nvidia_university_events", per_page=30)
+    pages = markup.filter("page_id % 3 > 0").unionByName(feeds.filter("page_id % 3 = 0"))
+    found = event_pages.page_events(pages, _as_of())
+    firm_name = F.when(F.col("extractor_ord") > 0, F.col("firm_name")).otherwise("")
+    return found.select("event_url", F.col("extractor_ord").cast("bigint").alias("extractor_ord"), firm_name.alias("firm"))
+
+
 @query(
     "e16_feed_provider",
     f"""WITH {duck_views('event_sources')}

@@ -588,8 +588,12 @@ def src1(spark, sf_dir):
 )
 def src2(spark, sf_dir):
     path = scratch_path(spark, "normalized")
-    artifacts.write_normalized(classify.normalize(listings(spark, sf_dir), as_of()), path)
-    records = artifacts.read_normalized(spark, [path])
+    rows = listings(spark, sf_dir)
+    artifacts.write_normalized(classify.normalize(rows, as_of()), rows, path, as_of())
+    return _record_columns(artifacts.read_normalized(spark, [path]))
+
+
+def _record_columns(records):
     n = F.col("normalization")
     return records.select(
         F.col("job.content_hash").alias("content_hash"), n.program_type.alias("program_type"),
@@ -597,6 +601,44 @@ def src2(spark, sf_dir):
     )
 
 
+@query(
+    "src2_nested_documents",
+    duck.with_jobs("SELECT content_hash, program_type, array_to_string(required_skills, '|') AS skills FROM elig"),
+)
+def src2_nested(spark, sf_dir):
+    """Documents of fifty records each."""
+    path = scratch_path(spark, "normalized-documents")
+    records = classify.normalize(listings(spark, sf_dir), as_of())
+    block = F.floor(F.col("job.doc_id") / 50).alias("block")
+    records.groupBy(block).agg(
+        F.collect_list(F.struct("job", "cleaned_description", "normalization", "normalization_method", "normalized_at")).alias("records")
+    ).write.partitionBy("block").json(path)
+    return _record_columns(artifacts.read_normalized(spark, [path], nested=True))
+
+
+@query(
+    "snk2_write_normalized",
+    duck.with_jobs(
+        "SELECT count(*) + count_if(doc_id % 10 < 6) AS source_job_count, count(*) AS normalized_job_count,"
+        " count_if(doc_id % 10 < 6) AS duplicate_job_count, count_if(normalization_status = 'COMPLETE') AS complete,"
+        " count_if(normalization_status = 'NEEDS_REVIEW') AS needs_review FROM jobs"
+    ),
+)
+def snk2(spark, sf_dir):
+    """Two overlapping runs as one: what is repeated falls out."""
+    path = scratch_path(spark, "normalized")
+    rows = listings(spark, sf_dir).withColumn("copy", F.lit(0))
+    twice = rows.unionByName(rows.filter("doc_id % 10 < 6").withColumn("copy", F.lit(1)))
+    artifacts.write_normalized(classify.normalize_run(twice, ["copy", "doc_id"], as_of()), twice, path, as_of())
+    schema = "source_job_count bigint, normalized_job_count bigint, duplicate_job_count bigint, status_counts map<string,bigint>"
+    back = spark.read.schema(schema).json(f"{path}/summary")
+    status = lambda name: F.coalesce(F.try_element_at("status_counts", F.lit(name)), F.lit(0))
+    return back.select(
+        "source_job_count", "normalized_job_count", "duplicate_job_count", status("COMPLETE").alias("complete"),
+        status("NEEDS_REVIEW").alias("needs_review"),
+    )
+
+
 @query("src4_read_url_list", _URLS + "SELECT source_url FROM urls")
 def src4(spark, sf_dir):
     """Every URL between a comment and a blank line."""

@@ -583,20 +583,65 @@ def st1_restarted(spark, sf_dir):
     return store.current().select("content_hash", F.when(again, 2).otherwise(1).alias("seen"))
 
 
-@query("st4_refresh_events", with_events("SELECT event_url, coalesce(source_url, '') AS source_url, is_active FROM event_table"))
+@query(
+    "u4_import_records",
+    duck.with_jobs(
+        "SELECT content_hash, CASE WHEN doc_id % 4 = 0 THEN '2026-05-20 00:00:00' ELSE '2026-06-01 00:00:00' END AS first_seen,"
+        " (SELECT count(*) FROM documents WHERE doc_id % 11 <> 1 AND doc_id % 4 <> 0) AS inserted,"
+        " (SELECT count(*) FROM documents WHERE doc_id % 11 <> 1 AND doc_id % 4 = 0) AS updated,"
+        " (SELECT count(*) FROM documents WHERE doc_id % 11 = 1) AS skipped"
+        " FROM jobs WHERE doc_id % 11 <> 1 OR doc_id % 4 = 0"
+    ),
+)
+def u4_import_records(spark, sf_dir):
+    """A second import over a table that holds a quarter of the listings."""
+    rows, n = listings(spark, sf_dir), F.col("doc_id")
+    before = _job_rows(rows.filter(n % 4 == 0), _earlier())
+    firms = tables.companies(spark, sf_dir).withColumn("created_at", _earlier()).filter("ats_provider <> 'lever'")
+    spoiled = rows.withColumn("content_hash", F.when(n % 11 == 1, "").otherwise(F.col("content_hash")))
+    jobs, _, summary = state.import_records(before, firms, classify.normalize(spoiled, as_of()), ["doc_id"], as_of())
+    counts = summary.select(F.col("jobs_inserted").alias("inserted"), F.col("jobs_updated").alias("updated"), "skipped")
+    return jobs.select("content_hash", stamp("first_seen_at").alias("first_seen")).join(F.broadcast(counts))
+
+
+@query("st4_refresh_events", with_events("SELECT event_url, coalesce(source_url, '') AS source_url, is_active FROM event_table WHERE event_id % 10 <> 3"))
 def st4(spark, sf_dir):
+    store, sources, _ = _refreshed_events(spark, sf_dir)
+    named = store.current().join(sources.current().select(F.col("id").alias("source_id"), "source_url"), "source_id", "left")
+    return named.select("event_url", F.coalesce("source_url", F.lit("")).alias("source_url"), "is_active")
+
+
+@query(
+    "st4_source_states",
+    f"""WITH {duck_views('event_sources')}
+    SELECT source_url, CASE WHEN status = 'success' THEN 'productive' ELSE status END AS source_status FROM event_sources
+    UNION ALL SELECT 'letter', 'event_title' FROM events WHERE event_id % 10 = 3""",
+)
+def st4_states(spark, sf_dir):
+    """What the refresh leaves besides events: source states and dead letters."""
+    _, sources, letters = _refreshed_events(spark, sf_dir)
+    back = spark.read.schema("failure struct<message:string>").json(letters)
+    return sources.current().select("source_url", "source_status").union(back.select(F.lit("letter"), "failure.message"))
+
+
+def _refreshed_events(spark, sf_dir):
+    """Every tenth landed event has no title."""
     at = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    events = with_event_columns(view(spark, sf_dir, "recruiting_events"))
-    sources = source_table(spark, sf_dir)
-    empty = spark.createDataFrame([], event_table(spark, sf_dir).schema)
-    store = refresh.SnapshotStore(spark, scratch_path(spark, "events"), empty)
+    landed = with_event_columns(view(spark, sf_dir, "recruiting_events"))
+    landed = landed.withColumn("event_title", F.when(F.col("event_id") % 10 == 3, " ").otherwise(F.col("event_title")))
+    store = refresh.SnapshotStore(
+        spark, scratch_path(spark, "events"), spark.createDataFrame([], event_table(spark, sf_dir).schema)
+    )
+    sources = refresh.SnapshotStore(spark, scratch_path(spark, "event-sources"), _empty_sources(spark))
+    results = view(spark, sf_dir, "event_sources").withColumns(
+        {"error_type": F.lit(None).cast("string"), "message": F.lit(None).cast("string")}
+    )
+    letters = scratch_path(spark, "event-letters")
     running = refresh.refresh_events(
-        _landed(spark, sf_dir, events, "landed-events"), store, sources, at, scratch_path(spark, "events-marks"), ["event_id"]
+        _landed(spark, sf_dir, landed, "landed-events"), store, sources, results, letters, at, scratch_path(spark, "events-marks"), ["event_id"]
     )
     running.awaitTermination()
-    rows = store.current()
-    named = rows.join(sources.select(F.col("id").alias("source_id"), "source_url"), "source_id", "left")
-    return named.select("event_url", F.coalesce("source_url", F.lit("")).alias("source_url"), "is_active")
+    return store, sources, letters
 
 
 @query(

@@ -108,11 +108,11 @@ def pull_documents(jobs: DataFrame, run: str, listings_per_document: int) -> Dat
 
 
 def read_normalized(spark: SparkSession, paths: list[str], nested: bool = False) -> DataFrame:
-    """SRC2: normalized records, from record lines or from nested documents."""
+    """SRC2: normalized records, from written artifacts or from nested documents."""
     if nested:
         docs = _documents(spark, NORMALIZED, paths, True)
         return docs.select("run_ord", F.posexplode("records").alias("pos", "_row")).select("run_ord", "pos", "_row.*")
-    return _documents(spark, RECORD, paths, False)
+    return _documents(spark, RECORD, [f"{path.rstrip('/')}/records" for path in paths], False)
 
 
 def read_event_pull(spark: SparkSession, paths: list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -146,6 +146,14 @@ def write_event_pull(events: DataFrame, sources: DataFrame, failures: DataFrame,
     _write_sections(events, "events", sources, failures, path, generated_at)
 
 
-def write_normalized(records: DataFrame, path: str) -> None:
-    """SNK2: one record per line."""
-    records.write.json(path)
+def write_normalized(records: DataFrame, jobs: DataFrame, path: str, generated_at: Column) -> None:
+    """SNK2: summary (counts of the source listings, of the records and of what fell
+    out as a duplicate, and records per status) and one record per line."""
+    status = F.col("normalization.normalization_status")
+    counted = records.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    summary = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("normalized_job_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"),
+    ).withColumns({"generated_at": generated_at, "source_job_count": jobs.agg(F.count(F.lit(1))).scalar()})
+    summary.withColumn("duplicate_job_count", F.col("source_job_count") - F.col("normalized_job_count")).write.json(f"{path}/summary")
+    records.write.json(f"{path}/records")

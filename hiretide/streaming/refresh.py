@@ -298,14 +298,26 @@ def refresh_jobs(stream: DataFrame, jobs: SnapshotStore, companies: SnapshotStor
     )
 
 
-def refresh_events(stream: DataFrame, events: SnapshotStore, sources: DataFrame, as_of: Column,
-                   checkpoint: str, order: list[str]) -> StreamingQuery:
-    """ST4: landed events -> source match -> upsert."""
+def refresh_events(stream: DataFrame, events: SnapshotStore, sources: SnapshotStore, results: DataFrame, letters_path: str,
+                   as_of: Column, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """ST4: landed events -> validation (invalid ones are dead letters) -> source
+    states -> source match -> upsert.  ``results``: how the fetch of each source ended
+    (source_ord, source_url, firm and provider, status, error_type, message)."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        last = state.last_per_key(batch, ["content_hash"], order)
-        rows = state.event_rows(state.match_sources(last, sources), as_of)
-        events.commit(query_of(batch, checkpoint), batch_id, lambda table: state.upsert_events(table, rows))
+        query = query_of(batch, checkpoint)
+        checked = validate.with_errors(batch, validate.event_errors())
+        bad, kept = checked.filter(F.size("errors") > 0), checked.filter(F.size("errors") == 0).drop("errors")
+        bad.select(
+            as_of.alias("recorded_at"),
+            F.struct(F.col("event_url").alias("source_url"), F.lit("ExtractionError").alias("error_type"),
+                     F.concat_ws(", ", "errors").alias("message")).alias("failure"),
+        ).write.mode("overwrite").json(f"{letters_path}/query={query}/batch={batch_id}")
+        sources.commit(query, batch_id, lambda table: state.upsert_event_sources(table, results, ["source_ord"], as_of))
+        now = sources.current()
+        events.commit(
+            query, batch_id, lambda table: state.import_events(table, now, kept, results, order, as_of)[0]
+        )
 
     return (
         stream.writeStream.foreachBatch(upsert)
