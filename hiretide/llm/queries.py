@@ -9,6 +9,7 @@ from hiretide.llm import (
     contamination, fingerprint, language, mixing, ngram_join, pii, secret_scan, sharding, toxicity, warc_zip,
 )
 from hiretide.llm.common import fold
+from hiretide.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words("text").alias("size"))
+    rows = materialize(rows, "sizes")  # words are counted once
     taken = mixing.systematic_copies(rows, "size")
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
