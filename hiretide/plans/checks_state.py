@@ -308,16 +308,17 @@ def u10(spark, sf_dir):
     "u10_single_source_status",
     f"WITH {duck_views('event_sources')}\nSELECT s.source_url, count(e.event_id) AS event_count,"
     " CASE WHEN count(e.event_id) > 0 THEN 'productive' ELSE 'empty' END AS status FROM event_sources s"
-    " LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-02') e"
-    " ON s.source_url LIKE '%/' || CAST(e.user_id AS VARCHAR) GROUP BY 1",
+    " LEFT JOIN events e ON s.source_url LIKE '%/' || CAST(e.user_id AS VARCHAR) GROUP BY 1"
+    " UNION ALL SELECT 'https://quiet.example.org/' || source_ord, 0, 'empty' FROM event_sources",
 )
 def u10_single(spark, sf_dir):
+    """All sources with their events, and as many without any."""
     users = view(spark, sf_dir, "event_sources").withColumn("user_id", F.element_at(F.split("source_url", "/"), -1))
-    early = given(spark, sf_dir, "events").filter("ts < TIMESTAMP_NTZ '2024-01-02 00:00:00'")
-    early = early.select(F.col("user_id").cast("string").alias("user_id")).join(
+    quiet = users.withColumn("source_url", F.concat(F.lit("https://quiet.example.org/"), F.col("source_ord").cast("string")))
+    brought = given(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id")).join(
         users.select("user_id", "source_url"), "user_id"
     )
-    return state.single_source_status(early, users).select("source_url", "event_count", "status")
+    return state.single_source_status(brought, users.union(quiet)).select("source_url", "event_count", "status")
 
 
 _HTTP = (401, 403, 404, 429, 500, 503)
@@ -369,6 +370,32 @@ def b1(spark, sf_dir):
     return _board_out(created)
 
 
+@query(
+    "b1_create_on_a_board",
+    f"""WITH {duck_views('commands')},{_FIRST},
+    board AS (SELECT *, row_number() OVER (PARTITION BY user_id, status ORDER BY issued_at, ats_job_id) - 1 AS pos FROM firsts
+      WHERE command_id % 2 = 0),
+    tops AS (SELECT user_id, status, max(pos) AS top FROM board GROUP BY ALL)
+    SELECT user_id, ats_job_id AS job_id, CASE WHEN command_id % 4 = 0 THEN 'APPLIED' ELSE status END AS status, pos AS kanban_order,
+      CASE WHEN status = 'APPLIED' THEN strftime(issued_at, '%Y-%m-%d %H:%M:%S')
+           WHEN command_id % 4 = 0 THEN strftime(issued_at + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') ELSE '' END AS applied
+    FROM board
+    UNION ALL
+    SELECT f.user_id, ats_job_id, f.status, coalesce(top, -1) + row_number() OVER (PARTITION BY f.user_id, f.status ORDER BY issued_at, ats_job_id),
+      CASE WHEN f.status = 'APPLIED' THEN strftime(issued_at + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') ELSE '' END
+    FROM firsts f LEFT JOIN tops t ON t.user_id = f.user_id AND t.status = f.status WHERE command_id % 2 = 1""",
+)
+def b1_again(spark, sf_dir):
+    """Half of the rows are on the board; a day later all are created again, some as
+    applied."""
+    firsts, n = _first_commands(spark, sf_dir), F.col("command_id")
+    before = board.create(_empty_board(spark), _jobs_by_number(spark, sf_dir), firsts.filter(n % 2 == 0))
+    later = firsts.withColumns(
+        {"status": F.when(n % 4 == 0, "APPLIED").otherwise(F.col("status")), "issued_at": F.col("issued_at") + F.expr("INTERVAL 24 HOUR")}
+    )
+    return _board_out(board.create(before, _jobs_by_number(spark, sf_dir), later))
+
+
 def _board_out(df):
     return df.select(
         "user_id", "job_id", "status", F.col("kanban_order").cast("bigint").alias("kanban_order"),
@@ -554,33 +581,19 @@ def st3(spark, sf_dir):
     return refresh.stale_keys(_requests(spark, sf_dir), "key", at, 12).select("key", "is_active")
 
 
-@query("st3_staleness_stream", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) > 0 AS sighted FROM events GROUP BY 1")
+@query(
+    "st3_staleness_stream",
+    "SELECT CAST(user_id AS VARCHAR) AS key, true AS is_active, '' AS last_seen FROM events GROUP BY 1 UNION ALL"
+    " SELECT CAST(user_id AS VARCHAR), false, strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events GROUP BY 1"
+    " HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
+)
 def st3_stream(spark, sf_dir):
+    """Every key turns up once; those not sighted for twelve hours at the end go stale."""
     with _state_store(spark):
         stream = _landed(spark, sf_dir, _requests(spark, sf_dir).select("key", "ts"), "sightings")
         changes = _collected(spark, refresh.staleness_stream(stream, "key", 12), "staleness")
-    return changes.filter("is_active").groupBy("key").agg((F.count(F.lit(1)) > 0).alias("sighted"))
-
-
-@query(
-    "st1_restarted_refresh",
-    duck.with_jobs("SELECT content_hash, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS seen FROM jobs"),
-)
-def st1_restarted(spark, sf_dir):
-    """Two queries with checkpoints of their own: the second goes on where the first ended."""
-    empty = state.job_rows(classify.normalize(listings(spark, sf_dir).limit(0), as_of()), as_of())
-    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema))
-    blank = tables.companies(spark, sf_dir).withColumn("created_at", as_of())
-    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema))
-    n = F.col("doc_id") % 3
-    for at, wanted in ((_earlier(), n != 2), (as_of(), n >= 1)):
-        running = refresh.refresh_jobs(
-            _landed(spark, sf_dir, listings(spark, sf_dir).filter(wanted), "landed-jobs"), store, firms,
-            scratch_path(spark, "letters"), at, scratch_path(spark, "jobs-marks"), ["doc_id"],
-        )
-        running.awaitTermination()
-    again = F.col("first_seen_at") < F.col("last_seen_at")
-    return store.current().select("content_hash", F.when(again, 2).otherwise(1).alias("seen"))
+    last_seen = F.when(F.col("is_active"), "").otherwise(stamp("last_seen_at"))
+    return changes.select("key", "is_active", last_seen.alias("last_seen"))
 
 
 @query(

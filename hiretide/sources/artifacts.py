@@ -7,6 +7,8 @@ a whole run into one row of one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,12 +74,12 @@ NORMALIZED = (
 
 def _documents(spark: SparkSession, schema: str, paths: list[str], multi_line: bool) -> DataFrame:
     """Documents of all paths; ``run_ord`` is the place of the path in the list."""
-    reader = spark.read.schema(schema).option("multiLine", multi_line)
-    parts = [reader.json(p).withColumn("run_ord", F.lit(i)) for i, p in enumerate(paths)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    # one scan; a path named twice gives its documents twice
+    bare = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", p).rstrip("/") for p in paths]
+    found = spark.read.schema(schema).option("multiLine", multi_line).json(sorted(set(paths)))
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    places = F.array_compact(F.array(*[F.when(F.contains(file, F.lit(f"{b}/")) | F.endswith(file, F.lit(b)), F.lit(i)) for i, b in enumerate(bare)]))
+    return found.withColumn("run_ord", F.explode(places))
 
 
 def _section(documents: DataFrame, name: str) -> DataFrame:
