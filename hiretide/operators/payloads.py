@@ -34,11 +34,12 @@ LISTING_COLUMNS = (
 
 @dataclass(frozen=True)
 class Page:
-    """Columns of the landed page an item comes from."""
+    """Columns of the landed page an item comes from; ``name`` is who the page says
+    it belongs to (see PAGE_NAMES)."""
 
     url: Column
     token: Column
-    doc: Column
+    name: Column
     as_of: Column
 
 
@@ -126,10 +127,11 @@ def map_payload(boards: DataFrame, provider: str, as_of: Column, details: DataFr
     mapping = MAPPINGS[provider]
     carry = ["source_url", "board_token", "page_ord"]
     extra = [c for c in ("facet_parameter", "facet_descriptor") if c in boards.columns]
-    pages = _pages(boards)
-    whole = F.col("_doc") if _needs_page(provider) else F.lit(None).cast("variant")
+    # what a job needs of its page is read before the page is taken apart
+    own_name = PAGE_NAMES.get(provider, lambda doc: F.lit(None).cast("string"))
+    pages = _pages(boards).withColumn("_page", own_name(F.col("_doc")))
     items = pages.select(
-        *carry, *extra, whole.alias("_page"),
+        *carry, *extra, "_page",
         F.posexplode(mapping.items(F.col("payload"), F.col("_doc"))).alias("pos", "_item"),
     )
     layers = [F.col("_item")]
@@ -191,8 +193,11 @@ def _clean_parts(flat: DataFrame) -> tuple[DataFrame, Column]:
     return marked, strip(F.array_join(F.transform(F.split(whole, "\x1d"), strip), "\n\n"))
 
 
-def _needs_page(provider: str) -> bool:
-    return provider in ("greenhouse", "ashby", "eightfold")
+PAGE_NAMES: dict[str, Callable[[Column], Column]] = {
+    "greenhouse": lambda doc: scalar_text(at(doc, "name")),
+    "ashby": lambda doc: F.coalesce(*[text(at(doc, k)) for k in ("organizationName", "companyName", "name")]),
+    "eightfold": lambda doc: scalar_text(at(doc, "branding", "companyName")),
+}
 
 
 def _facet_layer() -> Column:
@@ -218,7 +223,7 @@ def _greenhouse(job: Doc, page: Page) -> dict[str, Column]:
     place = F.array_compact(F.array(scalar_text(job.under("location", "name"))))
     html = job.body("content")
     return {
-        "company": company_of(names.GREENHOUSE_COMPANIES, page.token, scalar_text(at(page.doc, "name")), page.token),
+        "company": company_of(names.GREENHOUSE_COMPANIES, page.token, page.name, page.token),
         "title": job.text("title"),
         "url": F.coalesce(own, F.concat(F.lit("https://boards.greenhouse.io/"), page.token, F.lit("/jobs/"), number)),
         "number": number,
@@ -264,9 +269,8 @@ def _ashby(job: Doc, page: Page) -> dict[str, Column]:
         return F.when(inside.isNotNull(), F.array(inside)).otherwise(string_list(job[key]))
 
     html = job.body("descriptionHtml", "description")
-    page_name = F.coalesce(*[text(at(page.doc, k)) for k in ("organizationName", "companyName", "name")])
     return {
-        "company": company_of(names.ASHBY_COMPANIES, page.token, page_name, token_name(page.token)),
+        "company": company_of(names.ASHBY_COMPANIES, page.token, page.name, token_name(page.token)),
         "title": job.text("title"),
         "url": F.coalesce(job.text("jobUrl", "applyUrl"), F.concat(F.lit("https://jobs.ashbyhq.com/"), page.token, F.lit("/"), number)),
         "number": number,
@@ -369,7 +373,7 @@ def _eightfold(job: Doc, page: Page) -> dict[str, Column]:
     number = job.truthy("ats_job_id", "atsJobId", "display_job_id", "displayJobId", "id")
     own_page = F.concat(F.regexp_replace(page.url, "/+$", ""), F.lit("/job/"), scalar_text(job["id"]))
     return {
-        "company": F.coalesce(scalar_text(at(page.doc, "branding", "companyName")), mapped(host(page.url), EIGHTFOLD_HOSTS),
+        "company": F.coalesce(page.name, mapped(host(page.url), EIGHTFOLD_HOSTS),
                               token_name(page.token)),
         "title": title, "url": F.coalesce(join_url(page.url, link), own_page), "number": number,
         "location": job.strings("locations", "location"),

@@ -435,8 +435,6 @@ def _log(spark, sf_dir):
 
 @query(
     "b3_fold_log",
-    # positions depend on the order of moves; a recursive query per user is too
-    # slow on whole tables, so the check covers the rest and tests the positions
     f"""WITH {duck_views('commands')}
     SELECT user_id, ats_job_id AS job_id, arg_max(status, command_id) AS status,
       coalesce(strftime(arg_min(issued_at, command_id) FILTER (status = 'APPLIED'), '%Y-%m-%d %H:%M:%S'), '') AS applied,
@@ -451,7 +449,27 @@ def b3(spark, sf_dir):
     )
 
 
-@query("b3_positions")
+@query(
+    "b3_positions",
+    # one command of every user a step; as many steps as the longest log
+    f"""WITH RECURSIVE {duck_views('commands')},
+    log AS (SELECT user_id, ats_job_id AS job, status, strftime(issued_at, '%Y-%m-%d %H:%M:%S') AS at,
+        row_number() OVER (PARTITION BY user_id ORDER BY command_id) AS n
+      FROM commands WHERE ats_job_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)),
+    steps AS (
+      SELECT DISTINCT user_id, 0::BIGINT AS n, CAST([] AS STRUCT(job VARCHAR, status VARCHAR, pos BIGINT, applied VARCHAR)[]) AS board FROM log
+      UNION ALL
+      SELECT s.user_id, l.n, CASE WHEN len(list_filter(s.board, lambda r: r.job = l.job)) > 0
+        THEN list_transform(s.board, lambda r: CASE WHEN r.job = l.job THEN struct_pack(job := r.job, status := l.status, pos := r.pos,
+          applied := CASE WHEN r.applied = '' AND l.status = 'APPLIED' THEN l.at ELSE r.applied END) ELSE r END)
+        ELSE list_append(s.board, struct_pack(job := l.job, status := l.status,
+          pos := coalesce(list_max(list_transform(list_filter(s.board, lambda r: r.status = l.status), lambda r: r.pos)), -1) + 1,
+          applied := CASE WHEN l.status = 'APPLIED' THEN l.at ELSE '' END)) END
+      FROM steps s JOIN log l ON l.user_id = s.user_id AND l.n = s.n + 1
+    ),
+    ended AS (SELECT user_id, unnest(board) AS r FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1))
+    SELECT user_id, r.job AS job_id, r.status AS status, r.pos AS kanban_order, r.applied AS applied FROM ended""",
+)
 def b3_positions(spark, sf_dir):
     folded = board.fold_log(_empty_board(spark), _jobs_by_number(spark, sf_dir), _log(spark, sf_dir))
     return _board_out(folded)
