@@ -30,7 +30,7 @@ TREES = 32
 DEEPEST = 8
 RECALL = 0.9999
 # Shingles that one side of a block comparison may hold.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 200_000
 # Shingles signed together (their hashes stay in a core's cache).
 RUN_SHINGLES = 1 << 15
 
