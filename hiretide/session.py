@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Batches of whole texts: what a Python worker holds at once.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
