@@ -2,8 +2,8 @@
 
 Plain identifiers are found by fixed patterns.  For disguised ones the text goes
 through two transducers: the first replaces look-alike characters one for one, the
-second rewrites pieces (invisible characters, at/dot disguises, spelled digits)
-and keeps, for every character it writes, the source range it came from.  The
+second rewrites pieces (invisible characters, at/dot disguises, spelled digits,
+letters inside numbers) and keeps, for every character it writes, the source range it came from.  The
 same patterns then run on the rewritten text, and matches that contain a
 rewritten piece are mapped back to source characters.
 """
@@ -26,7 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# starts at the start of a run of digits, as any first match does
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -91,7 +92,10 @@ LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H",
     "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɡ": "g",
+    "к": "k", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y", "Ѕ": "S", "І": "I", "Ј": "J", "ɑ": "a", "ո": "n",
 }
+# Blanks and dashes that stand for the ASCII ones inside numbers.
+BREAKS = {c: " " for c in "\u00A0\u2007\u2009\u202F"} | {c: "-" for c in "\u2010\u2011\u2012\u2013\u2014\u2212"}
 DIGIT_NAMES = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
     "eight": "8", "nine": "9",
@@ -103,7 +107,7 @@ def look_alikes() -> dict[int, str]:
     form of one printable ASCII character (full-width, mathematical and so on) or
     a decimal digit of another script.  Beyond the Latin letters of European texts,
     whose own letters and signs stand for themselves."""
-    table = {ord(c): plain for c, plain in LOOK_ALIKES.items()}
+    table = {ord(c): plain for c, plain in (LOOK_ALIKES | BREAKS).items()}
     for code in range(0x250, 0x20000):
         char = chr(code)
         if char.isdecimal():
@@ -118,17 +122,40 @@ FOREIGN = re.compile("[\u00AD\u0131\u0250-\U0010FFFF]")
 INVISIBLE = "­​‌‍⁠﻿"
 OPEN, CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 SPELLED = "|".join(DIGIT_NAMES)
-DOT = rf"(?:\s*{OPEN}(?:dot|\.){CLOSE}\s*|\s+dot\s+)"
+# Between spelled digits.
+PAUSE = r"(?:,?\s+|-)"
+# Runs of blanks and dashes are entered at their start only, which keeps long ones cheap.
+LEAD = r"(?:(?<!\s)\s*|(?<=\s)(?!\s))"
+BLANKS, DASHES = r"(?<!\s)\s+", r"(?<![_-])[_-]+"
+DOT = rf"(?:{LEAD}{OPEN}(?:dot|\.){CLOSE}\s*|{BLANKS}dot\s+|{LEAD}{DASHES}dot[_-]+\s*|&(?:#0*46|#x0*2e|period);)"
+# A domain of which at least one dot is disguised.
+DISGUISED = rf"(?=[a-z0-9-]+(?:(?:{DOT}|\.)[a-z0-9-]+)*{DOT}[a-z0-9-]+)"
+DOMAIN_NEXT = rf"(?=[a-z0-9-]+(?:{DOT}|\.)[a-z0-9-]+)"
+AT = (
+    rf"(?:{LEAD}{OPEN}(?:at|@){CLOSE}\s*|(?:{BLANKS}at\s+|{LEAD}{DASHES}at[_-]+\s*){DISGUISED}|{BLANKS}@\s+{DOMAIN_NEXT}"
+    rf"|(?:&(?:#0*64|#x0*40|commat);|(?<=[a-z0-9])%40){DOMAIN_NEXT})"
+)
+# Letters written for 0 and 1, inside or at an end of a number.
+LETTERS = r"(?:(?<=[+0-9])[OoIl]+(?![A-Za-z])|(?<=[0-9][\s.-])[OoIl]+(?=[0-9]))"
+AS_DIGITS = str.maketrans("OoIl", "0011")
+TIMES = {"double": 2, "triple": 3}
 REWRITES = re.compile(
     rf"(?P<gone>[{INVISIBLE}]+)"
-    rf"|(?P<at>\s*{OPEN}(?:at|@){CLOSE}\s*|\s+at\s+(?=[a-z0-9-]+(?:(?:{DOT}|\.)[a-z0-9-]+)*{DOT}[a-z0-9-]+))"
+    rf"|(?P<at>{AT})"
     rf"|(?P<dot>{DOT})"
-    rf"|(?P<plus>\bplus[\s-]+(?=(?:{SPELLED}|[0-9])\b))"
-    rf"|(?P<digit>\b(?:{SPELLED})\b(?:[\s-]+(?=(?:{SPELLED})\b))?)",
+    rf"|(?P<plus>\bplus[\s-]+(?=(?:(?:double|triple)\s+)?(?:{SPELLED})\b|[0-9]))"
+    rf"|(?P<digit>\b(?:(?:double|triple)\s+)?(?:{SPELLED})\b(?:{PAUSE}(?=(?:(?:double|triple)\s+)?(?:{SPELLED})\b))?)"
+    rf"|(?-i:(?P<letters>{LETTERS}))",
+    re.IGNORECASE,
+)
+AT_OR_DOT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[\s_-]dot[\s_-]|\s@\s", re.IGNORECASE)
+ESCAPED = re.compile(r"%40|&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);", re.IGNORECASE)
+TWO_DIGITS = re.compile(
+    rf"\b(?:{SPELLED}){PAUSE}(?:(?:double|triple)\s+)?(?:{SPELLED})\b|\b(?:double|triple)\s+(?:{SPELLED})\b"
+    rf"|[0-9][\s-]+(?:{SPELLED})[\s-]+[0-9]",
     re.IGNORECASE,
 )
-AT_OR_DOT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s", re.IGNORECASE)
-TWO_DIGITS = re.compile(rf"\b(?:{SPELLED})[\s-]+(?:{SPELLED})\b", re.IGNORECASE)
+IN_NUMBER = re.compile(rf"{LETTERS}|[0-9)][{''.join(BREAKS)}][0-9(]")
 
 
 class Disguises:
@@ -136,14 +163,16 @@ class Disguises:
 
     def __init__(self):
         self.table = look_alikes()
-        self.odd = frozenset([*map(chr, self.table), *INVISIBLE])
+        self.odd = frozenset([*map(chr, self.table), *INVISIBLE]) - BREAKS.keys()
         self.names = [name for name in DIGIT_NAMES if name != "oh"]
 
     def suspects(self, text: str) -> bool:
         """Whether any rewriting could matter.  Cheap tests first."""
         if not text.isascii() and FOREIGN.search(text) and not self.odd.isdisjoint(text):
             return True
-        if AT_OR_DOT.search(text):
+        if AT_OR_DOT.search(text) or IN_NUMBER.search(text):
+            return True
+        if ("&" in text or "%40" in text) and ESCAPED.search(text):
             return True
         lower = text.lower()
         return any(name in lower for name in self.names) and bool(TWO_DIGITS.search(text))
@@ -158,8 +187,11 @@ class Disguises:
         for m in REWRITES.finditer(replaced):
             kind = m.lastgroup
             new = {"gone": "", "at": "@", "dot": ".", "plus": "+"}.get(kind)
-            if new is None:
-                new = DIGIT_NAMES[re.match(r"[a-z]+", m.group().lower()).group()]
+            if kind == "digit":
+                first, *more = re.findall(r"[a-z]+", m.group().lower())
+                new = DIGIT_NAMES[more[0]] * TIMES[first] if more else DIGIT_NAMES[first]
+            elif kind == "letters":
+                new = m.group().translate(AS_DIGITS)
             pieces += [replaced[at:m.start()], new]
             written += m.start() - at
             edits.append((written, written + len(new), m.start(), m.end()))

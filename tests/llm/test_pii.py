@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -46,6 +47,16 @@ def test_base_spans_are_those_of_the_patterns(text):
     ("card four one one one 1111 1111 1111.", "card", "four one one one 1111 1111 1111"),
     ("at one nine two dot one six eight dot one dot two!", "ip", "one nine two dot one six eight dot one dot two"),
     ("４１１１ １１１１ １１１１ １１１１", "card", None),
+    ("joe_at_example_dot_com", "email", None),
+    ("to joe -at- mail -dot- example -dot- com.", "email", "joe -at- mail -dot- example -dot- com"),
+    ("joe&#64;example&#46;com", "email", None),
+    ("joe @ example.com", "email", None),
+    ("to=joe%40example.com", "email", "joe%40example.com"),
+    ("call plus 44 20 seven nine four six zero nine five eight", "phone", "plus 44 20 seven nine four six zero nine five eight"),
+    ("plus one, four one five, double five five, two six seven one", "phone", None),
+    ("ring +l 4l5 555 O123", "phone", "+l 4l5 555 O123"),
+    ("+44\u00a020\u00a07946\u00a00958", "phone", None),
+    ("4111\u20131111\u20131111\u20131111", "card", None),
 ])
 def test_disguised_identifiers_map_to_their_source(text, kind, found):
     base, every = pii.find(text, DISGUISES)
@@ -54,7 +65,8 @@ def test_disguised_identifiers_map_to_their_source(text, kind, found):
 
 
 def test_plain_prose_has_no_disguise():
-    for text in ("meet at noon. dot the i", "look at example.com", "one of the two of nine", "état à l'école für Straße"):
+    for text in ("meet at noon. dot the i", "look at example.com", "one of the two of nine", "état à l'école für Straße",
+                 "from 1990\u20131995, double one", "10 l of 2l bottles", "R&D at 5 @ 3", "one, two, three - at - last dot"):
         assert pii.find(text, DISGUISES) == ([], [])
 
 
@@ -68,3 +80,11 @@ def test_query_rows(spark, odd_documents, odd_rows, no_documents):
     (row,) = pii.personal_data(rows, ["doc_id"]).collect()
     spans = pii.joined(base_by_pattern("a@b.c 1.2.3.4 " * 3))
     assert (row.n_email, row.n_ip, row.spans, row.base_sha256) == (3, 3, spans, hashlib.sha256(spans.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("run", [" ", "-", "_", "[", "9", "9 ", "9.", "+", "a.", "O", "one ", "at ", " dot", "-dot-", "&", "@"])
+def test_long_runs_take_linear_time(run):
+    text = "joe at example dot com " + run * (200_000 // len(run))
+    began = time.process_time()
+    pii.find(text, DISGUISES)
+    assert time.process_time() - began < 5
