@@ -148,14 +148,15 @@ REWRITES = re.compile(
     rf"|(?-i:(?P<letters>{LETTERS}))",
     re.IGNORECASE,
 )
-AT_OR_DOT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[\s_-]dot[\s_-]|\s@\s", re.IGNORECASE)
+# Signs that rewriting could matter; each starts with a plain set of characters.
+BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
+DOT_BETWEEN = re.compile(r"[\s_-]dot[\s_-]")
+SPACED_AT = re.compile(r"@(?<=\s@)\s")
 ESCAPED = re.compile(r"%40|&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);", re.IGNORECASE)
-TWO_DIGITS = re.compile(
-    rf"\b(?:{SPELLED}){PAUSE}(?:(?:double|triple)\s+)?(?:{SPELLED})\b|\b(?:double|triple)\s+(?:{SPELLED})\b"
-    rf"|[0-9][\s-]+(?:{SPELLED})[\s-]+[0-9]",
-    re.IGNORECASE,
-)
-IN_NUMBER = re.compile(rf"{LETTERS}|[0-9)][{''.join(BREAKS)}][0-9(]")
+TWO_DIGITS = re.compile(rf"(?:{SPELLED}|double|triple){PAUSE}(?:(?:double|triple)\s+)?(?:{SPELLED})\b")
+AMONG_DIGITS = re.compile(rf"[0-9][\s-]+(?:{SPELLED})[\s-]+[0-9]")
+IN_NUMBER = re.compile(r"[+0-9][\s.-]?[OoIl]+(?:[^A-Za-z]|\Z)")
+ODD_BREAK = re.compile(rf"[0-9)][{''.join(BREAKS)}][0-9(]")
 
 
 class Disguises:
@@ -168,14 +169,14 @@ class Disguises:
 
     def suspects(self, text: str) -> bool:
         """Whether any rewriting could matter.  Cheap tests first."""
-        if not text.isascii() and FOREIGN.search(text) and not self.odd.isdisjoint(text):
+        if not text.isascii() and ((FOREIGN.search(text) and not self.odd.isdisjoint(text)) or ODD_BREAK.search(text)):
             return True
-        if AT_OR_DOT.search(text) or IN_NUMBER.search(text):
+        lower = text.lower()
+        if BRACKETED.search(text) or ("dot" in lower and DOT_BETWEEN.search(lower)) or IN_NUMBER.search(text):
             return True
-        if ("&" in text or "%40" in text) and ESCAPED.search(text):
+        if "@" in text and SPACED_AT.search(text) or ("&" in text or "%40" in text) and ESCAPED.search(text):
             return True
-        lower = text.lower()
-        return any(name in lower for name in self.names) and bool(TWO_DIGITS.search(text))
+        return any(name in lower for name in self.names) and bool(TWO_DIGITS.search(lower) or AMONG_DIGITS.search(lower))
 
     def rewrite(self, text: str) -> tuple[str, Callable[[int, int], tuple[int, int, bool]]]:
         """The normal form, and a map from its ranges to source ranges, which tells
