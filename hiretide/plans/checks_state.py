@@ -508,9 +508,9 @@ def _requests(spark, sf_dir):
 )
 def st1(spark, sf_dir):
     empty = state.job_rows(classify.normalize(listings(spark, sf_dir).limit(0), as_of()), as_of())
-    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema))
+    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema), ["content_hash"])
     blank = tables.companies(spark, sf_dir).withColumn("created_at", as_of())
-    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema))
+    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema), ["name", "ats_provider"])
     stream = _landed(spark, sf_dir, listings(spark, sf_dir), "landed-jobs")
     running = refresh.refresh_jobs(
         stream, store, firms, scratch_path(spark, "letters"), as_of(), scratch_path(spark, "jobs-marks"), ["doc_id"]
@@ -661,9 +661,9 @@ def _refreshed_events(spark, sf_dir):
     landed = with_event_columns(view(spark, sf_dir, "recruiting_events"))
     landed = landed.withColumn("event_title", F.when(F.col("event_id") % 10 == 3, " ").otherwise(F.col("event_title")))
     store = refresh.SnapshotStore(
-        spark, scratch_path(spark, "events"), spark.createDataFrame([], event_table(spark, sf_dir).schema)
+        spark, scratch_path(spark, "events"), spark.createDataFrame([], event_table(spark, sf_dir).schema), ["content_hash"]
     )
-    sources = refresh.SnapshotStore(spark, scratch_path(spark, "event-sources"), _empty_sources(spark))
+    sources = refresh.SnapshotStore(spark, scratch_path(spark, "event-sources"), _empty_sources(spark), ["source_url"])
     results = view(spark, sf_dir, "event_sources").withColumns(
         {"error_type": F.lit(None).cast("string"), "message": F.lit(None).cast("string")}
     )
@@ -692,9 +692,9 @@ def st5(spark, sf_dir):
         }
     )
     empty = state.job_rows(classify.normalize(damaged.limit(0), as_of()), as_of())
-    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema))
+    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema), ["content_hash"])
     blank = tables.companies(spark, sf_dir).withColumn("created_at", as_of())
-    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema))
+    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema), ["name", "ats_provider"])
     letters = scratch_path(spark, "letters")
     running = refresh.refresh_jobs(
         _landed(spark, sf_dir, damaged, "landed-damaged"), store, firms, letters, as_of(),

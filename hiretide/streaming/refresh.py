@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,18 +213,27 @@ def first_sightings(stream: DataFrame, key: str, window: str = "1 hour") -> Data
 
 
 class SnapshotStore:
-    """Versioned Parquet snapshots under one path.
-
-    The store numbers its versions and logs for each which query and micro-batch
-    wrote it.  A replayed micro-batch that is in the log changes nothing; one that
-    failed before it was logged writes its version again.  A new query (a fresh
-    checkpoint) goes on from the newest version.
+    """Versioned Parquet snapshots under one path, in hash buckets of a key.
+
+    A version rewrites the buckets that its batch touches; its manifest names, for
+    every bucket, the version whose files hold it, so all other files are carried
+    over unread.  The store numbers its versions and logs for each which query and
+    micro-batch wrote it.  A replayed micro-batch that is in the log changes nothing;
+    one that failed before it was logged writes its version again.  A new query (a
+    fresh checkpoint) goes on from the newest version.
+
+    ``buckets`` belongs to the stored data: a store is reopened with the number it
+    was made with (anything else is an error).  Manifests, and what the driver reads
+    of them, have a row per bucket.
     """
 
-    LOG = "version long, query string, batch long"
+    LOG = "version long, query string, batch long, buckets int"
+    MANIFEST = "bucket int, held_in long"
+    BUCKET = "store_bucket"
 
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
+    def __init__(self, spark: SparkSession, path: str, empty: DataFrame, key: list[str], buckets: int = 64):
         self.spark, self.path, self.empty = spark, path.rstrip("/"), empty
+        self.key, self.buckets = key, buckets
 
     def log(self) -> DataFrame:
         return self.spark.createDataFrame([], self.LOG).union(self._logged())
@@ -236,31 +246,82 @@ class SnapshotStore:
 
     def newest(self) -> int:
         """The newest logged version, -1 for an empty store."""
-        top = self.log().agg(F.max("version")).first()[0]
+        top, least, most = self.log().agg(F.max("version"), F.min("buckets"), F.max("buckets")).first()
+        if top is not None and (least, most) != (self.buckets, self.buckets):
+            raise ValueError(f"{self.path} was made with {least} buckets, not {self.buckets}")
         return -1 if top is None else top
 
     def current(self) -> DataFrame:
         return self.read(self.newest())
 
-    def commit(self, query: str, batch: int, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Writes ``change`` of the newest version as the next one, once per query and batch."""
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def commit(self, query: str, batch: int, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes ``change`` of the newest version as the next one, once per query and
+        batch.  ``keys`` holds the key columns of all rows that the change adds or
+        alters; ``change`` sees, and returns, the rows of their buckets."""
         if not self.log().filter((F.col("query") == query) & (F.col("batch") == batch)).isEmpty():
             return
         version = self.newest() + 1
-        self.write(version, change(self.read(version - 1)))
-        self.spark.createDataFrame([(version, query, batch)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        manifest = self.manifest(version - 1)
+        touched = {r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()}
+        changed = change(self._files({b: v for b, v in manifest.items() if b in touched}))
+        # large buckets become several files, small ones one
+        changed.withColumn(self.BUCKET, self.bucket()).hint("rebalance", F.col(self.BUCKET)).write.partitionBy(
+            self.BUCKET
+        ).mode("overwrite").parquet(self.version_path(version))
+        back = self.spark.read.schema(f"{self.BUCKET} int").parquet(self.version_path(version))
+        written = {r[0] for r in back.distinct().collect()}
+        if not written <= touched:
+            raise ValueError("the change holds rows of buckets that its keys do not name")
+        held = {b: v for b, v in manifest.items() if b not in touched} | dict.fromkeys(written, version)
+        self.spark.createDataFrame(sorted(held.items()), self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(
+            self.manifest_path(version)
+        )
+        logged = self.spark.createDataFrame([(version, query, batch, self.buckets)], self.LOG)
+        logged.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def version_path(self, version: int) -> str:
         return f"{self.path}/v{version:012d}"
 
-    def read(self, version: int) -> DataFrame:
+    def manifest_path(self, version: int) -> str:
+        return f"{self.path}/manifest/v{version:012d}"
+
+    def manifest(self, version: int) -> dict[int, int]:
+        """The version that holds each bucket's files; empty buckets are left out."""
         if version < 0:
-            return self.empty
-        return self.spark.read.schema(self.empty.schema).parquet(self.version_path(version))
+            return {}
+        rows = self.spark.read.schema(self.MANIFEST).parquet(self.manifest_path(version)).collect()
+        return {r["bucket"]: r["held_in"] for r in rows}
 
-    def write(self, version: int, table: DataFrame) -> DataFrame:
-        table.write.mode("overwrite").parquet(self.version_path(version))
-        return self.read(version)
+    def read(self, version: int) -> DataFrame:
+        return self._files(self.manifest(version))
+
+    def _files(self, held: dict[int, int]) -> DataFrame:
+        if not held:
+            return self.empty
+        paths = [f"{self.version_path(v)}/{self.BUCKET}={b}" for b, v in sorted(held.items())]
+        return self.spark.read.schema(self.empty.schema).parquet(*paths)
+
+    def expire(self, keep: int) -> list[str]:
+        """Removes the files that none of the newest ``keep`` versions holds, and
+        returns their folders.  Readers of older versions must be done."""
+        if keep < 1:
+            raise ValueError("at least one version stays")
+        newest = self.newest()
+        first = max(0, newest - keep + 1)
+        held = {(v, b) for n in range(first, newest + 1) for b, v in self.manifest(n).items()}
+        store, base = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
+        gone = []
+        for version in range(first):
+            folder = self.version_path(version).replace(self.path, base, 1)
+            for entry in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                name, _, bucket = entry.base_name.partition("=")
+                if name == self.BUCKET and (version, int(bucket)) not in held:
+                    store.delete_dir(entry.path)
+                    gone.append(entry.path)
+        return gone
 
 
 def query_of(batch: DataFrame, checkpoint: str) -> str:
@@ -279,6 +340,7 @@ def refresh_jobs(stream: DataFrame, jobs: SnapshotStore, companies: SnapshotStor
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         query = query_of(batch, checkpoint)
+        batch = materialize(batch, "batch")
         kept, bad = validate.quarantine(batch, validate.listing_errors(), ["ats_provider", "company_name"])
         bad.select(
             as_of.alias("recorded_at"),
@@ -286,10 +348,11 @@ def refresh_jobs(stream: DataFrame, jobs: SnapshotStore, companies: SnapshotStor
                      F.concat_ws(", ", "errors").alias("message")).alias("failure"),
         ).write.mode("overwrite").json(f"{letters_path}/query={query}/batch={batch_id}")
         records = classify.normalize_run(kept, order, as_of)
-        rows = state.job_rows(records, as_of)
-        jobs.commit(query, batch_id, lambda table: state.upsert_jobs(table, rows))
+        rows = materialize(state.job_rows(records, as_of), "job-rows")
+        jobs.commit(query, batch_id, rows, lambda table: state.upsert_jobs(table, rows))
         companies.commit(
-            query, batch_id, lambda table: state.upsert_companies(table, kept, order, as_of, touch=True)
+            query, batch_id, kept.select(F.col("company_name").alias("name"), "ats_provider"),
+            lambda table: state.upsert_companies(table, kept, order, as_of, touch=True),
         )
 
     return (
@@ -306,6 +369,7 @@ def refresh_events(stream: DataFrame, events: SnapshotStore, sources: SnapshotSt
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         query = query_of(batch, checkpoint)
+        batch = materialize(batch, "batch")
         checked = validate.with_errors(batch, validate.event_errors())
         bad, kept = checked.filter(F.size("errors") > 0), checked.filter(F.size("errors") == 0).drop("errors")
         bad.select(
@@ -313,10 +377,12 @@ def refresh_events(stream: DataFrame, events: SnapshotStore, sources: SnapshotSt
             F.struct(F.col("event_url").alias("source_url"), F.lit("ExtractionError").alias("error_type"),
                      F.concat_ws(", ", "errors").alias("message")).alias("failure"),
         ).write.mode("overwrite").json(f"{letters_path}/query={query}/batch={batch_id}")
-        sources.commit(query, batch_id, lambda table: state.upsert_event_sources(table, results, ["source_ord"], as_of))
+        sources.commit(
+            query, batch_id, results, lambda table: state.upsert_event_sources(table, results, ["source_ord"], as_of)
+        )
         now = sources.current()
         events.commit(
-            query, batch_id, lambda table: state.import_events(table, now, kept, results, order, as_of)[0]
+            query, batch_id, kept, lambda table: state.import_events(table, now, kept, results, order, as_of)[0]
         )
 
     return (
