@@ -20,15 +20,19 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """``df`` with its computed columns fixed before anything above reads them.
+def computed_once(df: DataFrame, computed: list[str] | None = None) -> DataFrame:
+    """``df`` with its computed columns (all, unless named) fixed before anything
+    above reads them.
 
     Catalyst moves a filter below the projection it reads by copying the
     expressions, which for the rule columns means scanning every text again per
     copy.  Predicates do not move below a generator, so rows pass through a
-    one-element array.
+    one-element array.  Columns that are not named stay outside of it: predicates on
+    them still reach the scan.
     """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    computed = df.columns if computed is None else computed
+    stored = [c for c in df.columns if c not in computed]
+    return df.select(*stored, F.inline(F.array(F.struct(*computed))))
 
 
 EMPTY_STRINGS = "array<string>"

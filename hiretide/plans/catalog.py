@@ -12,6 +12,7 @@ from hiretide import rules
 from hiretide.functions.display import compact_location
 from hiretide.functions.expr import any_of, mapped, strings
 from hiretide.operators.skew import best_per_key
+from hiretide.session import materialize
 
 JOB_LIST_COLS = (
     "id", "company_id", "company_name", "job_title", "job_url", "location", "program_type",
@@ -214,7 +215,8 @@ def company_index(companies: DataFrame, mode: str = "all", query: str = "") -> D
     """Q13: company summaries filtered by mode and text, busiest first, with the
     bar width relative to the busiest shown company.
 
-    The order is a global sort; ``featured`` takes the head of it.
+    The order is a global sort; ``featured`` takes the head of it.  The shown
+    companies are read twice, hence written once (a row per company).
     """
     active = F.col("active_job_count")
     shown = {"all": F.lit(True), "active": active != 0, "quiet": active <= 0}[mode]
@@ -222,7 +224,7 @@ def company_index(companies: DataFrame, mode: str = "all", query: str = "") -> D
     if token:
         fields = ("name", "ats_provider", "ats_board_token")
         shown = shown & any_of(F.lower(F.coalesce(F.col(f), F.lit(""))).contains(token) for f in fields)
-    rows = companies.filter(shown)
+    rows = materialize(companies.filter(shown), "companies")
     busiest = rows.agg(F.greatest(F.lit(1), F.coalesce(F.max("active_job_count"), F.lit(0)))).scalar()
     width = F.greatest(F.lit(4), F.floor(active * 100 / busiest + F.lit(0.5))).cast("int")
     return rows.withColumn("bar_width", width).orderBy(*company_order())

@@ -42,9 +42,15 @@ def company_id() -> Column:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A current-state jobs table: every listing, active when relevant."""
+    """A current-state jobs table: every listing, active when relevant.
+
+    The listing's own columns lie outside the barrier, so filters on ids, companies
+    and dates run before any text is read.
+    """
+    stored = listings(spark, sf_dir).columns
     flat = with_relevance(eligible(spark, sf_dir), "is_active")
-    return computed_once(flat).withColumns(
+    ruled = [c for c in flat.columns if c not in stored]
+    return computed_once(flat, ruled).withColumns(
         {
             "id": F.col("content_hash"),
             "company_id": company_id(),
