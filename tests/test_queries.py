@@ -65,3 +65,14 @@ def test_text_rules_need_no_shuffle(spark):
     rows = spark.createDataFrame([], tables.listings(spark, SF_DIR).schema)
     plan = classify.normalize(rows, tables.as_of())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_stored_columns_are_filtered_before_texts_are_read(spark):
+    """On the derived jobs table a filter on an id lies below the rules."""
+    from hiretide.plans import catalog, tables
+
+    plan = catalog.job_detail(tables.jobs(spark, SF_DIR), "x")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    barrier = next(i for i, line in enumerate(lines) if "Generate inline" in line)
+    assert not any("Filter" in line for line in lines[:barrier])
+    assert any("Filter" in line and "= x" in line for line in lines[barrier:])
