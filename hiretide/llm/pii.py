@@ -228,7 +228,8 @@ class Disguises:
         return normal, source
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        """Disguised identifiers that touch no base span of their kind."""
+        """Disguised identifiers that are not equal to or inside a base span of their
+        kind.  One that goes beyond the plain remainder of itself stands beside it."""
         if not self.suspects(text):
             return []
         normal, source = self.rewrite(text)
@@ -236,7 +237,7 @@ class Disguises:
         found = []
         for kind, a, b in plain_spans(normal):
             left, right, changed = source(a, b)
-            if changed and not any(left < end and start < right for start, end in taken[kind]):
+            if changed and not any(start <= left and right <= end for start, end in taken[kind]):
                 found.append((kind, left, right))
         return found
 

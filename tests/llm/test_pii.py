@@ -64,6 +64,28 @@ def test_disguised_identifiers_map_to_their_source(text, kind, found):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize(("text", "kind", "remainder"), [
+    ("j\u043ehn.smith@example.com", "email", "hn.smith@example.com"),
+    ("jo\u200bhn@example.com", "email", "hn@example.com"),
+    ("maria@mail.ex\u0430mple.com", "email", "maria@mail.ex"),
+    ("a@b.co[dot]uk", "email", "a@b.co"),
+    ("john [dot] smith@example.com", "email", "smith@example.com"),
+    ("+44 20 7946 o958", "phone", "+44 20 7946"),
+    ("+1 415 555 012 seven three", "phone", "+1 415 555 012"),
+])
+def test_disguise_with_a_plain_remainder_is_found_whole(text, kind, remainder):
+    base, every = pii.find(text, DISGUISES)
+    assert [(k, text[a:b]) for k, a, b in base] == [(kind, remainder)]
+    assert sorted((k, text[a:b]) for k, a, b in every) == sorted([(kind, remainder), (kind, text)])
+
+
+def test_plain_identifier_is_not_repeated_by_disguises_around_it():
+    text = "\u200bjoe@example.com\u200b, h\u0435re +44\u00a020 7946 0958; +44 20 7946 0958 x\u043e"
+    base, every = pii.find(text, DISGUISES)
+    assert [text[a:b] for _, a, b in base] == ["joe@example.com", "+44 20 7946 0958"]
+    assert [text[a:b] for _, a, b in every] == ["joe@example.com", "+44\u00a020 7946 0958", "+44 20 7946 0958"]
+
+
 def test_plain_prose_has_no_disguise():
     for text in ("meet at noon. dot the i", "look at example.com", "one of the two of nine", "état à l'école für Straße",
                  "from 1990\u20131995, double one", "10 l of 2l bottles", "R&D at 5 @ 3", "one, two, three - at - last dot"):
