@@ -149,14 +149,27 @@ REWRITES = re.compile(
     re.IGNORECASE,
 )
 # Signs that rewriting could matter; each starts with a plain set of characters.
+# Together they hold for every text in which a rewriting takes part in an identifier;
+# break characters are replaced before any but the last three are looked for.
 BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
 DOT_BETWEEN = re.compile(r"[\s_-]dot[\s_-]")
 SPACED_AT = re.compile(r"@(?<=\s@)\s")
 ESCAPED = re.compile(r"%40|&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);", re.IGNORECASE)
-TWO_DIGITS = re.compile(rf"(?:{SPELLED}|double|triple){PAUSE}(?:(?:double|triple)\s+)?(?:{SPELLED})\b")
-AMONG_DIGITS = re.compile(rf"[0-9][\s-]+(?:{SPELLED})[\s-]+[0-9]")
+# What may stand between two digits of a number.
+JOINTS = r"[\x20().-]"
+PLUS_NUMBER = re.compile(rf"plus[\s-]+(?:[0-9]|double|triple|{SPELLED})")
+TWO_DIGITS = re.compile(rf"(?:{SPELLED}|double|triple)(?:{PAUSE}|{JOINTS}+)(?:(?:double|triple)\s+)?(?:{SPELLED})\b")
+AFTER_DIGIT = re.compile(rf"[0-9]{JOINTS}*(?:(?:double|triple)\s+)?(?:{SPELLED})\b")
+BEFORE_DIGIT = re.compile(rf"(?:{SPELLED}){JOINTS}*[0-9]")
 IN_NUMBER = re.compile(r"[+0-9][\s.-]?[OoIl]+(?:[^A-Za-z]|\Z)")
-ODD_BREAK = re.compile(rf"[0-9)][{''.join(BREAKS)}][0-9(]")
+ANY_BREAK = re.compile(f"[{''.join(BREAKS)}]")
+ODD_BREAK = re.compile(rf"[0-9]{JOINTS}*[{''.join(BREAKS)}][\x20().{''.join(BREAKS)}-]*[0-9]")
+EMAIL_BREAK = re.compile(rf"[A-Za-z0-9._%+@-]{ANY_BREAK.pattern}|{ANY_BREAK.pattern}[A-Za-z0-9._%+@-]")
+
+
+def folded(name: str) -> str:
+    """Lower case; the letters that a comparison without case takes for s and i become those."""
+    return name.lower().replace("\u017f", "s").replace("i\u0307", "i")
 
 
 class Disguises:
@@ -165,18 +178,28 @@ class Disguises:
     def __init__(self):
         self.table = look_alikes()
         self.odd = frozenset([*map(chr, self.table), *INVISIBLE]) - BREAKS.keys()
-        self.names = [name for name in DIGIT_NAMES if name != "oh"]
 
     def suspects(self, text: str) -> bool:
-        """Whether any rewriting could matter.  Cheap tests first."""
-        if not text.isascii() and ((FOREIGN.search(text) and not self.odd.isdisjoint(text)) or ODD_BREAK.search(text)):
-            return True
+        """Whether any rewriting could matter: never False for a text in which one
+        takes part in an identifier.  Cheap tests first."""
+        if not text.isascii():
+            if FOREIGN.search(text) and not self.odd.isdisjoint(text) or "\u017f" in text or "\u0130" in text:
+                return True
+            if ANY_BREAK.search(text):
+                if ODD_BREAK.search(text) or ("@" in text and EMAIL_BREAK.search(text)):
+                    return True
+                for char, plain in BREAKS.items():
+                    text = text.replace(char, plain)
         lower = text.lower()
         if BRACKETED.search(text) or ("dot" in lower and DOT_BETWEEN.search(lower)) or IN_NUMBER.search(text):
             return True
         if "@" in text and SPACED_AT.search(text) or ("&" in text or "%40" in text) and ESCAPED.search(text):
             return True
-        return any(name in lower for name in self.names) and bool(TWO_DIGITS.search(lower) or AMONG_DIGITS.search(lower))
+        if "plus" in lower and PLUS_NUMBER.search(lower):
+            return True
+        return any(name in lower for name in DIGIT_NAMES) and bool(
+            TWO_DIGITS.search(lower) or AFTER_DIGIT.search(lower) or BEFORE_DIGIT.search(lower)
+        )
 
     def rewrite(self, text: str) -> tuple[str, Callable[[int, int], tuple[int, int, bool]]]:
         """The normal form, and a map from its ranges to source ranges, which tells
@@ -189,7 +212,7 @@ class Disguises:
             kind = m.lastgroup
             new = {"gone": "", "at": "@", "dot": ".", "plus": "+"}.get(kind)
             if kind == "digit":
-                first, *more = re.findall(r"[a-z]+", m.group().lower())
+                first, *more = re.findall(r"[a-z]+", folded(m.group()))
                 new = DIGIT_NAMES[more[0]] * TIMES[first] if more else DIGIT_NAMES[first]
             elif kind == "letters":
                 new = m.group().translate(AS_DIGITS)

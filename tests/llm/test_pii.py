@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -92,6 +93,44 @@ def test_plain_prose_has_no_disguise():
         assert pii.find(text, DISGUISES) == ([], [])
 
 
+class Ungated(pii.Disguises):
+    def suspects(self, text):
+        return True
+
+
+ALONE = [
+    "plus 44 20 7946 0958", "Plus-44 20 7946 0958", "4111 1111 1111 111 one", "four 111 1111 1111 1111", "+44 \u2013 20 7946 0958",
+    "+44\u2013 20 7946 0958", "+44 20 \u20117946\u00a0 0958", "+44 20 7946 oh 958", "192.168.one.2", "one.168.1.2", "one.two.three.four",
+    "+1 (four) 15 555 0123", "+1 415 double five 50123", "+44 (oh)20 7946 0958", "joe \u2013at\u2013 example \u2013dot\u2013 com",
+    "joe\u2013smith@example.com", "joe@my\u2013site.com", "jo\u200be@example.com", "joe&#64;example.com", "joe @ example.com", "joe[at]example.com",
+    "+44 20 7946 O958", "\u017feven two 0 7946 0958 1111 1111 11", "4111 1111 1111 111 one \u017feven", "+44 20 7946 f\u0130ve 958", "f\u0130ve@example.com",
+]
+
+
+@pytest.mark.parametrize("text", ALONE)
+def test_gate_loses_no_disguise_alone_in_its_text(text):
+    assert pii.find(text, DISGUISES) == pii.find(text, Ungated())
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    ("plus 44 20 7946 0958", "phone"), ("4111 1111 1111 111 one", "card"), ("four 111 1111 1111 1111", "card"),
+    ("+44 \u2013 20 7946 0958", "phone"), ("192.168.one.2", "ip"), ("joe\u2013smith@example.com", "email"),
+])
+def test_disguise_is_found_alone_in_its_text(text, kind):
+    assert (kind, 0, len(text)) in pii.find(text, DISGUISES)[1]
+
+
+def test_gate_agrees_with_the_ungated_search_on_random_texts():
+    parts = [
+        "4111", "1111", "44", "20", "7946", "0958", "1", " ", " ", "-", ".", ", ", "(", ")", "+", "plus ", "double ", "one", "two", "oh",
+        "seven", "\u2013", "\u00a0", "joe", "@", " at ", " dot ", "[at]", "example", ".com", "O", "l", "\u017feven", "f\u0130ve",
+    ]
+    rng, ungated = random.Random(3), Ungated()
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(2, 14)))
+        assert pii.find(text, DISGUISES) == pii.find(text, ungated), text
+
+
 def test_query_rows(spark, odd_documents, odd_rows, no_documents):
     got = pii.personal_data(odd_documents, ["doc_id", "score"]).collect()
     assert len(got) == len(odd_rows)
