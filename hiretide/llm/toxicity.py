@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from hiretide.llm import arrays
 from hiretide.llm.common import fresh, unit_hash, whole
+from hiretide.llm.ngram_join import jaccard_classes
+from hiretide.session import materialize
 
 DECAY = 0.7
 SPAN = 7
@@ -234,22 +236,30 @@ def with_disguises(words: list[str], most: int) -> list[tuple[int, str]]:
 
 
 def _list_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text: label, its pieces, and the smallest piece hash, by which
-    near copies are recognised."""
+    """One row per text: id, label and its pieces."""
     for batch in batches:
-        labels, texts = (c.to_pylist() for c in batch.columns)
-        found = [sorted(pieces(t)) for t in texts]
-        sketch = []
-        for ps in found:
-            joined = [h for _, h, _ in arrays.word_hashes([" ".join(p.replace(" ", "_") for p in ps)])]
-            hashes = np.concatenate(joined) if joined else np.zeros(0, np.uint64)
-            sketch.append(int(hashes.min().view(np.int64)) if len(hashes) else 0)
+        found = [sorted(pieces(t)) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(sketch, pa.int64())],
-            names=["_toxic", "_pieces", "_sketch"],
+            [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["_id", "_toxic", "_pieces"]
         )
 
 
+def count_pieces(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of different texts (_toxic, _text): (class_id, _toxic), one row for each class of
+    near copies and label, and for each piece in how many of these it is, toxic (up)
+    and clean (down).
+
+    Classes are those of the n-gram join, compared exactly.  Near copies count once
+    with the pieces of all of them, so no text is left out.
+    """
+    named = texts.select(F.sha2("_text", 256).alias("_id"), "_toxic", "_text")
+    classes = materialize(jaccard_classes(named, "_id", "_text").select("_id", "class_id"), "near-copies")
+    listed = named.mapInArrow(_list_pieces, "_id string, _toxic int, _pieces array<string>")
+    held = listed.join(classes, "_id").select("class_id", "_toxic", F.explode("_pieces").alias("_piece")).distinct()
+    counted = held.groupBy("_piece").agg(F.sum("_toxic").alias("up"), F.sum(1 - F.col("_toxic")).alias("down"))
+    return named.join(classes, "_id").select("class_id", "_toxic").distinct(), counted
+
+
 def _margins_of_pieces(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id
 
     About ``FIT_TOXIC`` and ``FIT_CLEAN`` labels for fitting and as many for
     calibration are drawn by a hash of the id, so the ids that are broadcast to
-    fetch their texts are bounded.  Equal texts count once.
+    fetch their texts are bounded.  Equal texts count once, near copies once for each piece.
     """
     told = labels.select(F.col(doc_id).alias("_of"), F.col(toxic).cast("int").alias("_toxic")).filter("_toxic IN (0, 1)")
     if wanted is not None:
@@ -308,14 +318,9 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id
     plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
     rows = plain.join(F.broadcast(marked), F.col("_id") == F.col("_of")).select("_toxic", "_fits", "_text")
     rows = rows.groupBy("_text").agg(F.max("_toxic").alias("_toxic"), F.min("_fits").alias("_fits")).persist()
-    listed = rows.filter("_fits").select("_toxic", "_text").mapInArrow(
-        _list_pieces, "_toxic int, _pieces array<string>, _sketch long"
-    )
-    counted = (
-        listed.dropDuplicates(["_toxic", "_sketch"]).select("_toxic", F.explode("_pieces").alias("_piece"))
-        .groupBy("_piece").agg(F.sum("_toxic").alias("up"), F.sum(1 - F.col("_toxic")).alias("down")).persist()
-    )
-    n = {r["_toxic"]: r["count"] for r in rows.filter("_fits").groupBy("_toxic").count().collect()}
+    groups, counted = count_pieces(rows.filter("_fits").select("_toxic", "_text"))
+    counted = counted.persist()
+    n = {r["_toxic"]: r["count"] for r in groups.groupBy("_toxic").count().collect()}
     share = max(1, n.get(1, 0)) / max(2, n.get(0, 0) + n.get(1, 0))
     # log-likelihood that the piece favours toxic texts, against what chance brings among all pieces
     up, down = F.col("up").cast("double"), F.col("down").cast("double")

@@ -85,3 +85,17 @@ def test_odd_rows(spark, machine, odd_documents, odd_rows, no_documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.fit(odd_documents, none) is None
     assert {r.score for r in t.scores(odd_documents.select("text"), None).collect()} == {0.0}
+
+
+def test_different_texts_all_count_and_near_copies_once(spark):
+    """Texts that share their most common words are no near copies of one another."""
+    rng = random.Random(4)
+    rows = [(i % 2, " ".join([*"the and of to in is it that was for".split(), *(f"w{rng.randrange(10**6)}" for _ in range(4))]
+                             + (["zuttock"] if i % 2 else []))) for i in range(120)]
+    long = [f"v{k}" for k in range(80)]
+    rows += [(1, " ".join([*long, f"edge{k}"])) for k in range(9)]
+    groups, counted = t.count_pieces(spark.createDataFrame(rows, "_toxic int, _text string"))
+    assert {r["_toxic"]: r["count"] for r in groups.groupBy("_toxic").count().collect()} == {0: 60, 1: 61}
+    found = {r["_piece"]: (r["up"], r["down"]) for r in counted.collect()}
+    assert found["zuttock"] == (60, 0) and found["the"] == (60, 60)
+    assert found["v3"] == (1, 0) and all(found[f"edge{k}"] == (1, 0) for k in range(9))
