@@ -59,7 +59,7 @@ def pieces(text: str) -> set[str]:
     overlapping cuts of what is longer than ``PIECE``."""
     words = text.lower().split()
     found = set(words)
-    if sum(len(w) == 1 for w in found) >= 3:
+    if sum(len(w) == 1 for w in words) >= 3:
         run: list[str] = []
         for w in [*words, ""]:
             if len(w) == 1:

@@ -75,6 +75,10 @@ def test_pieces_cover_long_words():
     assert max(map(len, found)) <= t.PIECE and t.pieces("") == set()
 
 
+def test_runs_of_repeated_letters():
+    assert "a s s" in t.pieces("you a s s there") and "x x x" in t.pieces("x x x") and "b b" not in t.pieces("or b b then a")
+
+
 def test_odd_rows(spark, machine, odd_documents, odd_rows, no_documents):
     scored = t.scores(odd_documents, machine, "probability")
     rows = scored.collect()
