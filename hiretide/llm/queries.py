@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiretide.llm import (
-    contamination, fingerprint, language, mixing, ngram_join, pii, secret_scan, sharding, toxicity, warc_zip,
+    contamination, fingerprint, language, mixing, ngram_join, pii, quality, secret_scan, sharding, toxicity, warc_zip,
 )
 from hiretide.llm.common import fold
 from hiretide.session import materialize
@@ -83,11 +83,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, and the verdict of the rule table, of each document."""
+    good = F.size("base_broken") == 0
+    return quality.judged(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "metrics.n_words", "metrics.word_chars", "metrics.n_symbols", "metrics.n_dup_lines",
+        "metrics.n_repeat_words", (~good).alias("base_failed"), (good & (F.size("broken") == 0)).alias("kept"),
+        F.array_join("broken", ",").alias("broken"),
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_pii, op2_secrets, op3_language, op4_warc_zip, op5_decontamination, op6_mixing, op7_sharding, op8_toxicity,
-        op9_ngram_join, op10_fingerprints,
+        op9_ngram_join, op10_fingerprints, op11_quality,
     )
 }
 
@@ -127,4 +137,46 @@ ORACLE_SQL = {
                ((floor((p + 1) * rate + shift) - floor(p * rate + shift)) * size)::BIGINT AS taken
         FROM placed
     """,
+    "op11_quality": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        parts AS (
+            SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM docs
+        ),
+        windows AS (
+            SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+            FROM parts, unnest(range(1, len(words) - 1)) u(i)
+        ),
+        repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+        covered AS (SELECT r, count(DISTINCT p) AS n FROM repeated, unnest([i, i + 1, i + 2]) u(p) GROUP BY r),
+        counts AS (
+            SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+                   len(regexp_extract_all(text, '!')) AS bangs, len(regexp_extract_all(text, '\p{Lu}')) AS capitals,
+                   len(list_filter(words, lambda x: list_contains(string_split('STOP_WORDS', ' '), lower(x)))) AS stops,
+                   len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS bullets,
+                   len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipses,
+                   len(lines) AS n_lines
+            FROM parts LEFT JOIN covered USING (r)
+        ),
+        judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                   concat_ws(',',
+                       CASE WHEN n_words = 0 OR word_chars / n_words < 2 THEN 'short_words' END,
+                       CASE WHEN n_words > 0 AND word_chars / n_words > 15 THEN 'long_words' END,
+                       CASE WHEN n_words > 0 AND n_symbols / n_words > 0.1 THEN 'symbols' END,
+                       CASE WHEN n_words > 0 AND bangs / n_words > 0.3 THEN 'bangs' END,
+                       CASE WHEN word_chars > 0 AND capitals / word_chars > 0.4 THEN 'capitals' END,
+                       CASE WHEN n_words = 0 OR stops / n_words < 0.02 THEN 'stop_words' END,
+                       CASE WHEN n_lines > 0 AND bullets / n_lines > 0.9 THEN 'bullets' END,
+                       CASE WHEN n_lines > 0 AND ellipses / n_lines > 0.3 THEN 'ellipses' END,
+                       CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.5 THEN 'same_lines' END) AS broken
+            FROM counts
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND broken = '' AS kept, broken
+        FROM judged
+    """.replace("STOP_WORDS", " ".join(quality.STOP_WORDS)),
 }
