@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiretide.llm import (
-    contamination, fingerprint, language, mixing, ngram_join, pii, quality, secret_scan, sharding, toxicity, warc_zip,
+    contamination, fill_middle, fingerprint, language, mixing, ngram_join, pii, quality, secret_scan, sharding, toxicity,
+    warc_zip,
 )
 from hiretide.llm.common import fold
 from hiretide.session import materialize
@@ -93,11 +94,16 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's fill-in-the-middle output and of its restored text."""
+    return fill_middle.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_pii, op2_secrets, op3_language, op4_warc_zip, op5_decontamination, op6_mixing, op7_sharding, op8_toxicity,
-        op9_ngram_join, op10_fingerprints, op11_quality,
+        op9_ngram_join, op10_fingerprints, op11_quality, op12_fill_middle,
     )
 }
 
@@ -179,4 +185,32 @@ ORACLE_SQL = {
                NOT base_failed AND broken = '' AS kept, broken
         FROM judged
     """.replace("STOP_WORDS", " ".join(quality.STOP_WORDS)),
+    "op12_fill_middle": """
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents
+        ),
+        numbers AS (
+            SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+                   ('0x' || h[17:24])::BIGINT % 100 AS p1, ('0x' || h[25:32])::BIGINT % 100 AS p2
+            FROM drawn
+        ),
+        formed AS (
+            SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p1 >= 90 THEN 'plain'
+                        WHEN p2 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM numbers
+        ),
+        parts AS (
+            SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix
+            FROM formed
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
 }
