@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiretide.llm import (
-    contamination, fill_middle, fingerprint, language, mixing, ngram_join, pii, quality, secret_scan, sharding, toxicity,
-    warc_zip,
+    contamination, fill_middle, fingerprint, language, lexical, mixing, ngram_join, pii, quality, secret_scan, sharding,
+    toxicity, warc_zip,
 )
 from hiretide.llm.common import fold
 from hiretide.session import materialize
@@ -99,11 +99,17 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that rank highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_pii, op2_secrets, op3_language, op4_warc_zip, op5_decontamination, op6_mixing, op7_sharding, op8_toxicity,
         op9_ngram_join, op10_fingerprints, op11_quality, op12_fill_middle,
+        op13_lexical_search,
     )
 }
 
@@ -213,4 +219,34 @@ ORACLE_SQL = {
                sha256(t) AS restored_sha256
         FROM parts
     """,
+    "op13_lexical_search": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        doc_terms AS (
+            SELECT r, doc_id, t, count(*) AS tf
+            FROM docs, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) u(t)
+            GROUP BY ALL
+        ),
+        lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM doc_terms GROUP BY r),
+        totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM lengths),
+        item_terms AS (
+            SELECT item_id, t, count(*) AS c
+            FROM (SELECT DISTINCT item_id, text FROM benchmark),
+                 unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) u(t)
+            GROUP BY ALL
+        ),
+        weights AS (
+            SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM doc_terms, totals GROUP BY t, big_n
+        ),
+        scored AS (
+            SELECT i.item_id, d.r, d.doc_id,
+                   sum(i.c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+            FROM item_terms i JOIN doc_terms d USING (t) JOIN weights USING (t) JOIN lengths l ON l.r = d.r, totals
+            GROUP BY ALL
+        )
+        SELECT item_id, rank::INT AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 20
+    """,
 }
