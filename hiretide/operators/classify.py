@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,88 +11,121 @@ from pyspark.sql import functions as F
 from hiretide import rules
 from hiretide.functions import text as tx
 from hiretide.functions.expr import (
-    alternation, computed_once, contains_any, first_label, first_label_in, labels, labels_in, labels_where, mentions,
-    strings, strip,
+    alternation, bound, computed_once, contains_any, first_label, labels, labels_where, mentions, no_strings, strings, strip,
+)
+from hiretide.functions.terms import (
+    Table, any_found, first_label_found, first_label_scan, found_terms, label_scan, labels_found, terms_of, trie_pattern,
 )
 from hiretide.operators.skew import best_per_key
+from hiretide.rulebook import DEFAULT, Rulebook
 
 
-def program_type(text: Column) -> Column:
+def program_type(text: Column, book: Rulebook = DEFAULT) -> Column:
     """N1.  Precedence: intern words, new-grad phrases, experience, other."""
-    intern = mentions(text, ("intern", "co-op", "coop"), rf"\b(?:{alternation(rules.INTERN_WORDS)})\b")
-    new_grad = mentions(text, rules.NEW_GRAD_PHRASES, tx.alias_pattern(rules.NEW_GRAD_PHRASES))
+    # the pattern can only match where a shortest word occurs
+    stems = [w for w in book.intern_words if not any(w != o and o in w for o in book.intern_words)]
+    intern = mentions(text, stems, rf"\b(?:{alternation(book.intern_words)})\b")
+    new_grad = mentions(text, book.new_grad_phrases, tx.alias_pattern(book.new_grad_phrases))
     experience = mentions(text, ("year",), r"\b[3-9]\+?\s+years?\b")
     return first_label(
         {
-            "internship": intern | text.contains("summer analyst"),
+            "internship": intern | contains_any(text, book.intern_signs),
             "new_grad": new_grad,
-            "experienced": experience | text.contains("senior") | text.contains("staff "),
+            "experienced": experience | contains_any(text, book.experienced_signs),
         },
         "other",
     )
 
 
-def academic_levels(text: Column) -> Column:
+def academic_levels(text: Column, table: Table = rules.ACADEMIC_LEVEL_TERMS) -> Column:
     """N2."""
-    return labels_in(text, rules.ACADEMIC_LEVEL_TERMS)
+    return label_scan(text, table)
 
 
-def degree_requirements(text: Column) -> Column:
+def degree_requirements(text: Column, table: Table = rules.DEGREE_TERMS) -> Column:
     """N3."""
-    return labels_in(text, rules.DEGREE_TERMS)
+    return label_scan(text, table)
 
 
 YEAR = r"20(?:2[4-9]|3[0-5])"
+FIRST_YEAR, LAST_YEAR = rules.FIRST_GRAD_YEAR, rules.LAST_GRAD_YEAR
+_MERGED = "pos bigint, term bigint, taken bigint, waiting array<struct<e: bigint, reach: int, bits: bigint>>, bits bigint"
 
 
-def _marker_before(reach: int) -> str:
-    """A student term that lies wholly within ``reach`` characters to the left."""
-    sides = (rf"{re.escape(t)}.{{0,{reach - len(t)}}}" for t in rules.STUDENT_CONTEXT_TERMS)
-    return rf"(?<=({'|'.join(sides)}))"
-
-
-def _marker_after(reach: int) -> str:
-    sides = (rf".{{0,{reach - len(t)}}}{re.escape(t)}" for t in rules.STUDENT_CONTEXT_TERMS)
-    return rf"(?=({'|'.join(sides)}))"
-
-
-def _years_in_context(text: Column, span: str, groups: int, reach: int) -> tuple[list[Column], Column]:
-    """Aligned arrays, one entry per non-overlapping match of ``span``: its
-    capture groups, and whether a student term is near."""
-    # Looking ahead for the span first keeps the lookbehind off all positions that
-    # will not match: its capture would survive there into the next match.
-    ahead = span.replace(f"({YEAR})", YEAR)
-    pattern = rf"(?s)(?={ahead})(?:{_marker_before(reach)})?{span}(?:{_marker_after(reach)})?"
-
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), i)
-
-    captured = [group(i) for i in range(2, 2 + groups)]
-    near = F.zip_with(group(1), group(2 + groups), lambda before, after: F.concat(before, after) != "")
-    return captured, near
-
+def grad_years(
+    text: Column, context: Iterable[str] = rules.STUDENT_CONTEXT_TERMS, reach: int = rules.GRAD_YEAR_REACH,
+    range_reach: int = rules.GRAD_RANGE_REACH,
+) -> Column:
+    """N4.  Years and year ranges with a student term near them, sorted.
 
-def grad_years(text: Column) -> Column:
-    """N4.  Years and year ranges with a student term near them, sorted."""
-    (year,), near = _years_in_context(text, rf"\b({YEAR})\b", 1, rules.GRAD_YEAR_REACH)
-    single = F.zip_with(year, near, lambda y, ok: F.when(ok, y.cast("int")))
+    Two scans take what the text holds in order: one the years (with the range they
+    open) and terms themselves, one the stretches between their starts.  The list is
+    then merged in one fold that keeps the last term's start, the end of the last
+    range, the years (as bits) that are settled, and those still waiting for a term
+    within reach.
+    """
+    context = list(context)
+    if any(c.isdigit() for t in context for c in t):
+        raise ValueError("student terms hold no digits")
+    year = rf"\b{YEAR}\b"
     # fixed pattern
-    (start, end), near_range = _years_in_context(
-        text, rf"\b({YEAR})\b\s*(?:-|to|through|and|or|,)\s*\b({YEAR})\b", 2, rules.GRAD_RANGE_REACH
-    )
-    bounds = F.zip_with(
-        F.zip_with(start, end, lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))),
-        near_range,
-        lambda r, ok: F.when(ok & (r.a <= r.b), r),
+    token = rf"{year}(?:\s*(?:-|to|through|and|or|,)\s*{year})?"
+    if context:
+        token = rf"{token}|{trie_pattern(context, longest=False)}"
+    first = rf"[{re.escape(''.join(sorted({'2', *(t[0] for t in context)})))}]"
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?={first})(?=({token}))"), 1)
+    # one blank before the text, so that a token follows each stretch; none follows the last
+    stretches = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(rf"(?s).+?(?=(?={first})(?:{token})|\z)"), 0)
+    steps = F.zip_with(
+        tokens, stretches,
+        lambda t, s: F.struct(t.alias("token"), F.length(s).cast("bigint").alias("step")),
     )
-    spans = F.flatten(F.transform(F.array_compact(bounds), lambda r: F.sequence(r.a, r.b)))
-    years = F.array_sort(F.array_distinct(F.concat(F.array_compact(single), spans)))
-    return F.when(mentions(text, ("202", "203"), rf"\b{YEAR}\b"), years).otherwise(F.array().cast("array<int>"))
-
-
-def visa_status(text: Column) -> Column:
+    long = lambda value: F.lit(value).cast("bigint")
+
+    def bit(y: Column) -> Column:
+        return F.call_function("shiftleft", long(1), (y - FIRST_YEAR).cast("int"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        start = acc.pos + x.step
+        ends = start + F.length(x.token)
+        # a term: settles those waiting that it lies wholly within the reach of
+        reached = lambda w: (w.e <= start) & (w.e >= ends - w.reach)
+        gained = F.aggregate(F.filter(acc.waiting, reached), long(0), lambda b, w: b.bitwiseOR(w.bits))
+        still = F.filter(acc.waiting, lambda w: ~reached(w) & (w.e + w.reach >= start))
+        after_term = F.struct(
+            start.alias("pos"), start.alias("term"), acc.taken.alias("taken"), still.alias("waiting"),
+            acc.bits.bitwiseOR(gained).alias("bits"),
+        )
+        # a year, and the range it opens unless an earlier range took it
+        first, last = F.substring(x.token, 1, 4).cast("int"), F.substring(x.token, -4, 4).cast("int")
+        opens = (F.length(x.token) > 4) & (start >= acc.taken)
+        whole = F.when(opens & (first <= last), bit(last) * 2 - bit(first)).otherwise(long(0))
+
+        def entry(end: Column, within: int, bits: Column) -> Column:
+            return F.struct(end.alias("e"), F.lit(within).alias("reach"), bits.alias("bits"))
+
+        new = F.array(entry(start + 4, reach, bit(first)), entry(ends, range_reach, whole))
+        near = lambda w: acc.term >= start - w.reach
+        settled = F.aggregate(F.filter(new, near), long(0), lambda b, w: b.bitwiseOR(w.bits))
+        open_ = F.filter(acc.waiting, lambda w: w.e + w.reach >= start)
+        after_year = F.struct(
+            start.alias("pos"), acc.term.alias("term"), F.when(opens, ends).otherwise(acc.taken).alias("taken"),
+            F.concat(open_, F.filter(new, lambda w: ~near(w) & (w.bits != 0))).alias("waiting"),
+            acc.bits.bitwiseOR(settled).alias("bits"),
+        )
+        kept = F.when(x.token.isNull(), acc).when(F.ascii(x.token).between(48, 57), after_year.cast(f"struct<{_MERGED}>"))
+        return kept.otherwise(after_term.cast(f"struct<{_MERGED}>"))
+
+    zero = F.expr(f"cast(struct(-1L, -1000000L, 0L, array(), 0L) AS struct<{_MERGED}>)")
+    bits = F.aggregate(steps, zero, merge, lambda acc: acc.bits)
+    span = F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))
+    years = bound(bits, lambda b: F.filter(span, lambda y: b.bitwiseAND(bit(y)) != 0))
+    return F.when(contains_any(text, ("202", "203")), years).otherwise(F.array().cast("array<int>"))
+
+
+def visa_status(text: Column, table: Table = rules.VISA_TERMS, default: str = "not_mentioned") -> Column:
     """N5.  First group with a matching phrase, in table order."""
-    return first_label_in(text, rules.VISA_TERMS, "not_mentioned")
+    return first_label_scan(text, table, default)
 
 
 def visa_sponsorship(status: Column) -> Column:
@@ -101,35 +135,38 @@ def visa_sponsorship(status: Column) -> Column:
     )
 
 
-def _mentioned_aliases(text: Column) -> Column:
+def _mentioned_aliases(text: Column, table: Table = rules.SKILL_ALIASES) -> Column:
     """Every skill alias found, in one pass over the text."""
-    aliases = [a for group in rules.SKILL_ALIASES.values() for a in group]
+    aliases = terms_of(table)
+    if not aliases:
+        return no_strings()
     initials = "".join(sorted({a[0] for a in aliases}))
+    initials = "".join(map(re.escape, initials))
     guarded = rf"(?<![a-z0-9-])(?=[{initials}])({alternation(aliases)})(?![a-z0-9-])"
     return F.array_distinct(F.regexp_extract_all(text, F.lit(guarded), 1))
 
 
-def skills_from_aliases(found: Column) -> Column:
-    return labels_where(rules.SKILL_ALIASES, lambda aliases: F.arrays_overlap(found, aliases))
+def skills_from_aliases(found: Column, table: Table = rules.SKILL_ALIASES) -> Column:
+    return labels_where(table, lambda aliases: F.arrays_overlap(found, aliases))
 
 
-def required_skills(text: Column) -> Column:
+def required_skills(text: Column, table: Table = rules.SKILL_ALIASES) -> Column:
     """N7.  Canonical skills in table order."""
-    return skills_from_aliases(_mentioned_aliases(text))
+    return skills_from_aliases(_mentioned_aliases(text, table), table)
 
 
-def nice_to_have_text(text: Column) -> Column:
+def nice_to_have_text(text: Column, markers: Iterable[str] = rules.NICE_TO_HAVE_MARKERS) -> Column:
     """Text from the first occurrence of each nice-to-have marker to the end."""
     sections = []
-    for marker in rules.NICE_TO_HAVE_MARKERS:
+    for marker in markers:
         at = F.locate(marker, text)
         sections.append(F.when(at > 0, text.substr(at, F.length(text))))
     return F.concat_ws(" ", *sections)
 
 
-def nice_to_have_skills(text: Column) -> Column:
+def nice_to_have_skills(text: Column, book: Rulebook = DEFAULT) -> Column:
     """N8."""
-    return required_skills(nice_to_have_text(text))
+    return required_skills(nice_to_have_text(text, book.nice_to_have_markers), book.skills)
 
 
 def min_gpa(text: Column) -> Column:
@@ -142,23 +179,23 @@ def min_gpa(text: Column) -> Column:
     return F.when(value.between(0.0, 4.0), value)
 
 
-def clearance_required(text: Column) -> Column:
+def clearance_required(text: Column, terms: Iterable[str] = rules.CLEARANCE_TERMS) -> Column:
     """N10."""
-    return contains_any(text, rules.CLEARANCE_TERMS)
+    return contains_any(text, terms)
 
 
-def remote_type(text: Column) -> Column:
+def remote_type(text: Column, table: Table = rules.REMOTE_TERMS, default: str = "unknown") -> Column:
     """N11.  The haystack already holds the locations."""
-    return first_label_in(text, rules.REMOTE_TERMS, "unknown")
+    return first_label_scan(text, table, default)
 
 
-def review_reasons(cleaned, program, levels, years, visa, remote) -> Column:
+def review_reasons(cleaned, program, levels, years, visa, remote, short: int = rules.SHORT_DESCRIPTION_CHARS) -> Column:
     """N12."""
     body = F.length(strip(cleaned))
     return labels(
         {
             "missing_description": body == 0,
-            "short_description": body < rules.SHORT_DESCRIPTION_CHARS,
+            "short_description": body < short,
             "student_role_without_explicit_eligibility":
                 program.isin("internship", "new_grad") & (F.size(years) == 0) & (F.size(levels) == 0),
             "ambiguous_visa_language": visa == "unclear",
@@ -177,9 +214,9 @@ def confidence(reasons: Column) -> Column:
     )
 
 
-def normalization_status(reasons: Column) -> Column:
+def normalization_status(reasons: Column, blocking: Iterable[str] = rules.BLOCKING_REASONS) -> Column:
     """N14."""
-    blocked = F.arrays_overlap(reasons, strings(rules.BLOCKING_REASONS))
+    blocked = F.arrays_overlap(reasons, strings(blocking))
     return F.when(blocked, "NEEDS_REVIEW").otherwise("COMPLETE")
 
 
@@ -205,48 +242,55 @@ def with_searchable(cleaned: DataFrame) -> DataFrame:
     return cleaned.withColumn("_searchable", haystack)
 
 
-def with_eligibility(listings: DataFrame) -> DataFrame:
+def with_eligibility(listings: DataFrame, book: Rulebook = DEFAULT) -> DataFrame:
     """N15 as flat columns.  Each stage materialises what the next one reads more
-    than once, so no text is cleaned or scanned twice."""
+    than once, so no text is cleaned or scanned twice.  All tables of plain terms
+    share one scan of the text."""
     text, c = F.col("_searchable"), F.col
+    shared = terms_of(book.academic_levels, book.degrees, book.visa, book.remote, {"clearance": book.clearance})
     df = with_searchable(with_cleaned(listings))
     df = df.withColumns(
         {
-            "program_type": program_type(text),
-            "academic_levels": academic_levels(text),
-            "degree_requirements": degree_requirements(text),
-            "required_grad_years": grad_years(text),
-            "visa_status": visa_status(text),
-            "_found": _mentioned_aliases(text),
-            "_found_nice": _mentioned_aliases(nice_to_have_text(text)),
+            "_terms": found_terms(text, shared),
+            "program_type": program_type(text, book),
+            "required_grad_years": grad_years(text, book.student_context, book.year_reach, book.year_range_reach),
+            "_found": _mentioned_aliases(text, book.skills),
+            "_found_nice": _mentioned_aliases(nice_to_have_text(text, book.nice_to_have_markers), book.skills),
             "min_gpa": min_gpa(text),
-            "clearance_required": clearance_required(text),
-            "remote_type": remote_type(text),
+        }
+    )
+    df = df.withColumns(
+        {
+            "academic_levels": labels_found(c("_terms"), book.academic_levels, shared),
+            "degree_requirements": labels_found(c("_terms"), book.degrees, shared),
+            "visa_status": first_label_found(c("_terms"), book.visa, shared, "not_mentioned"),
+            "clearance_required": any_found(c("_terms"), book.clearance, shared),
+            "remote_type": first_label_found(c("_terms"), book.remote, shared, "unknown"),
+            "required_skills": skills_from_aliases(c("_found"), book.skills),
+            "nice_to_have_skills": skills_from_aliases(c("_found_nice"), book.skills),
         }
     )
     df = df.withColumns(
         {
             "visa_sponsorship": visa_sponsorship(c("visa_status")),
-            "required_skills": skills_from_aliases(c("_found")),
-            "nice_to_have_skills": skills_from_aliases(c("_found_nice")),
             "review_reasons": review_reasons(
-                c("cleaned_description"), c("program_type"), c("academic_levels"),
-                c("required_grad_years"), c("visa_status"), c("remote_type"),
+                c("cleaned_description"), c("program_type"), c("academic_levels"), c("required_grad_years"),
+                c("visa_status"), c("remote_type"), book.short_description_chars,
             ),
         }
     )
     return df.withColumns(
         {
             "confidence": confidence(c("review_reasons")),
-            "normalization_status": normalization_status(c("review_reasons")),
+            "normalization_status": normalization_status(c("review_reasons"), book.blocking_reasons),
         }
-    ).drop("_searchable", "_found", "_found_nice")
+    ).drop("_searchable", "_terms", "_found", "_found_nice")
 
 
-def normalize(listings: DataFrame, as_of: Column) -> DataFrame:
+def normalize(listings: DataFrame, as_of: Column, book: Rulebook = DEFAULT) -> DataFrame:
     """Listing columns nested as ``job`` next to a ``normalization`` struct."""
     job = F.struct(*listings.columns)
-    return with_eligibility(listings.withColumn("job", job)).select(
+    return with_eligibility(listings.withColumn("job", job), book).select(
         "job",
         "cleaned_description",
         F.struct(*NORMALIZATION_FIELDS).alias("normalization"),
@@ -260,8 +304,8 @@ def dedupe_listings(listings: DataFrame, order: list[str]) -> DataFrame:
     return best_per_key(listings, ["content_hash"], [F.col(c) for c in order])
 
 
-def normalize_run(listings: DataFrame, order: list[str], as_of: Column) -> DataFrame:
-    return normalize(dedupe_listings(listings, order), as_of)
+def normalize_run(listings: DataFrame, order: list[str], as_of: Column, book: Rulebook = DEFAULT) -> DataFrame:
+    return normalize(dedupe_listings(listings, order), as_of, book)
 
 
 def run_counts(listings: DataFrame) -> DataFrame:

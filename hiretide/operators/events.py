@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide import rules
-from hiretide.functions.expr import (
-    alternation, bound, computed_once, contains_any, first_label, first_label_in, labels_in, no_strings,
-)
+from hiretide.functions.expr import alternation, bound, computed_once, contains_any, first_label, no_strings, strings
+from hiretide.functions.terms import Table, first_label_scan, label_scan
 from hiretide.functions.text import slug
 from hiretide.operators.skew import best_per_key
 
 
-def location_type(text: Column) -> Column:
+def location_type(
+    text: Column, virtual_terms: Iterable[str] = rules.VIRTUAL_TERMS, in_person_terms: Iterable[str] = rules.IN_PERSON_TERMS,
+) -> Column:
     """E10."""
     def decide(lowered: Column) -> Column:
-        virtual = contains_any(lowered, rules.VIRTUAL_TERMS)
-        in_person = contains_any(lowered, rules.IN_PERSON_TERMS)
+        virtual = contains_any(lowered, virtual_terms)
+        in_person = contains_any(lowered, in_person_terms)
         return first_label({"hybrid": virtual & in_person, "virtual": virtual, "in_person": in_person}, "unknown")
 
     return bound(F.lower(text), decide)
 
 
-def event_type(title: Column, description: Column) -> Column:
+def event_type(
+    title: Column, description: Column, table: Table = rules.EVENT_TYPE_TERMS, default: str = "recruiting",
+) -> Column:
     """E11."""
     text = F.lower(F.concat(title, F.lit(" "), F.coalesce(description, F.lit(""))))
-    return bound(text, lambda t: first_label_in(t, rules.EVENT_TYPE_TERMS, "recruiting"))
+    return bound(text, lambda t: first_label_scan(t, table, default))
 
 
-def audience_tags(text: Column) -> Column:
+def audience_tags(text: Column, table: Table = rules.AUDIENCE_TERMS) -> Column:
     """E12, sorted."""
-    return bound(F.lower(text), lambda t: F.array_sort(labels_in(t, rules.AUDIENCE_TERMS)))
+    return bound(F.lower(text), lambda t: F.array_sort(label_scan(t, table)))
 
 
-def location_from_text(text: Column) -> Column:
+def location_from_text(text: Column, table: Table = rules.LOCATION_TEXT_TERMS) -> Column:
     """One generic place, or none."""
-    return bound(F.lower(text), lambda t: F.slice(labels_in(t, rules.LOCATION_TEXT_TERMS), 1, 1))
+    return bound(F.lower(text), lambda t: F.slice(label_scan(t, table), 1, 1))
 
 
 def default_location(location: Column, kind: Column) -> Column:
@@ -45,20 +50,37 @@ def default_location(location: Column, kind: Column) -> Column:
     return F.when(F.size(F.coalesce(location, no_strings())) > 0, location).otherwise(F.array(stand_in))
 
 
-def has_event_language(text: Column) -> Column:
-    return contains_any(F.lower(text), rules.EVENT_LANGUAGE_TERMS)
+def has_event_language(text: Column, terms: Iterable[str] = rules.EVENT_LANGUAGE_TERMS) -> Column:
+    return contains_any(F.lower(text), terms)
 
 
-def firm_match(text: Column, aliases: Column, firm_name: Column, firm_kind: Column) -> Column:
+def firm_match(
+    text: Column, aliases: Column, firm_name: Column, firm_kind: Column,
+    firms: Mapping[str, tuple[str, Iterable[str]]] = rules.FIRM_ALIASES,
+) -> Column:
     """struct(firm_name, firm_kind).  The source's own aliases count anywhere
-    in the text; the known firms need a word boundary; the first one wins."""
+    in the text; the known ``firms`` (name: kind, words) need a word boundary; the
+    first one wins.  All words are looked for in one scan."""
+    words = [w for _, own in firms.values() for w in own]
+    known = F.lit(None).cast("struct<firm_name:string,firm_kind:string>")
+    guarded = rf"(?<![a-z0-9])(?=({alternation(sorted(words, key=len, reverse=True))})(?![a-z0-9]))" if words else None
+
+    def covers(word: str, other: str) -> bool:
+        """Whether ``other`` is found too wherever ``word`` is."""
+        return word.startswith(other) and not (word + " ")[len(other)].isalnum()
+
+    def first_known(found: Column) -> Column:
+        named = F.when(F.lit(False), known)
+        for name, (kind, own) in firms.items():
+            named = named.when(
+                F.arrays_overlap(found, strings([w for w in words if any(covers(w, o) for o in own)])), F.struct(F.lit(name).alias("firm_name"), F.lit(kind).alias("firm_kind"))
+            )
+        return named
+
     def pick(lowered: Column) -> Column:
         own = F.exists(F.coalesce(aliases, no_strings()), lambda a: lowered.contains(F.lower(a)))
-        found = F.when(own, F.struct(firm_name.alias("firm_name"), firm_kind.alias("firm_kind")))
-        for name, (kind, words) in rules.FIRM_ALIASES.items():
-            known = F.struct(F.lit(name).alias("firm_name"), F.lit(kind).alias("firm_kind"))
-            found = found.when(lowered.rlike(rf"(?<![a-z0-9])(?:{alternation(words)})(?![a-z0-9])"), known)
-        return found
+        from_table = known if guarded is None else bound(F.regexp_extract_all(lowered, F.lit(guarded), 1), first_known)
+        return F.when(own, F.struct(firm_name.alias("firm_name"), firm_kind.alias("firm_kind"))).otherwise(from_table)
 
     return bound(F.lower(text), pick)
 

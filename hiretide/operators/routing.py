@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide import rules
-from hiretide.functions.expr import alternation, clean_list, contains_any, mapped, strings, strip
+from hiretide.functions.expr import bound, mapped, strings, strip
+from hiretide.functions.terms import Table, first_label_scan
 from hiretide.operators.skew import best_per_key
 
 
@@ -130,25 +133,29 @@ def route_urls(urls: DataFrame, column: str = "source_url") -> DataFrame:
     ).drop("_host", "_parts", "_provider", "_token")
 
 
-def choose_queue(url: Column) -> Column:
-    """RT3: queue by marker substring."""
-    lowered = F.lower(url)
-    return (
-        F.when(lowered.rlike(alternation(rules.HIGH_PRIORITY_MARKERS)), "high")
-        .when(contains_any(lowered, rules.SLOW_MARKERS), "slow")
-        .otherwise("standard")
-    )
+QUEUE_MARKERS = {"high": rules.HIGH_PRIORITY_MARKERS, "slow": rules.SLOW_MARKERS}
+
+
+def choose_queue(url: Column, table: Table = QUEUE_MARKERS, default: str = "standard") -> Column:
+    """RT3: the first queue, in table order, with a marker in the URL; all markers are
+    looked for in one scan."""
+    return bound(F.lower(url), lambda u: first_label_scan(u, table, default))
 
 
-def urls_for_queue(urls: DataFrame, queue: str | None, column: str = "source_url") -> DataFrame:
+def urls_for_queue(
+    urls: DataFrame, queue: str | None, column: str = "source_url", table: Table = QUEUE_MARKERS, default: str = "standard",
+) -> DataFrame:
     """RT4."""
-    return urls if queue is None else urls.filter(choose_queue(F.col(column)) == queue)
+    return urls if queue is None else urls.filter(choose_queue(F.col(column), table, default) == queue)
 
 
-def enqueue_plan(urls: DataFrame, forced: str | None = None, column: str = "source_url") -> DataFrame:
+def enqueue_plan(
+    urls: DataFrame, forced: str | None = None, column: str = "source_url", table: Table = QUEUE_MARKERS,
+    default: str = "standard", reasons: Mapping[str, str] = rules.QUEUE_REASONS,
+) -> DataFrame:
     """RT5: queue and reason of every URL, without enqueuing."""
-    queue = F.lit(forced) if forced else choose_queue(F.col(column))
-    reason = F.lit("forced queue") if forced else mapped(F.col("queue"), rules.QUEUE_REASONS)
+    queue = F.lit(forced) if forced else choose_queue(F.col(column), table, default)
+    reason = F.lit("forced queue") if forced else mapped(F.col("queue"), reasons)
     return urls.select(F.col(column), queue.alias("queue")).withColumn("reason", reason)
 
 
@@ -159,19 +166,22 @@ def dedupe_urls(urls: DataFrame, order: list[str], column: str = "source_url") -
     return best_per_key(kept, [column], [F.col(c) for c in order])
 
 
-def candidate_tokens(company: Column) -> Column:
+def candidate_tokens(
+    company: Column, suffixes: Iterable[str] = rules.COMPANY_SUFFIXES,
+    known_aliases: Mapping[str, Iterable[str]] = rules.KNOWN_TOKEN_ALIASES,
+) -> Column:
     """RT6: board-token guesses for a company name, best first."""
     plain = F.replace(F.regexp_replace(company, r"\([^)]*\)", ""), F.lit("&"), F.lit(" and "))
     words = F.filter(
         F.split(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "), " "),
         lambda w: (w != "") & (w != "the"),
     )
-    core = F.filter(words, lambda w: ~w.isin(*rules.COMPANY_SUFFIXES))
+    core = F.filter(words, lambda w: ~w.isin(*suffixes))
     first_two = F.when(F.size(words) >= 2, F.slice(words, 1, 2))
     guesses = [F.array_join(w, s) for w in (words, core) for s in ("", "-")]
     guesses += [F.get(words, F.lit(0)), F.array_join(first_two, ""), F.array_join(first_two, "-")]
     known = F.lit(None).cast("array<string>")
-    for name, aliases in rules.KNOWN_TOKEN_ALIASES.items():
+    for name, aliases in known_aliases.items():
         known = F.when(company == name, strings(aliases)).otherwise(known)
     tokens = F.concat(F.coalesce(known, F.array().cast("array<string>")), F.array_compact(F.array(*guesses)))
     tidy = F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, "^-+|-+$", "")))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("checks_text", "checks_query", "checks_runs", "checks_state", "checks_events", "checks_payloads")
+GROUPS = ("checks_text", "checks_rules", "checks_query", "checks_runs", "checks_state", "checks_events", "checks_payloads")
 
 
 def load() -> None:
