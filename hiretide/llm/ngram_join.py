@@ -1,23 +1,27 @@
 """N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
 
-Every text is the set of its five-word shingles.  A forest of tries holds one
-MinHash label per text and tree; texts that share a label prefix in some tree
-are candidates.  Starting from the longest prefixes, all tries are ascended
-together, one level at a time, until a pair at the threshold is found with the
-target recall (``prefix_depth``).  The prefixes at that depth are sorted and
-grouped by Spark; their groups are joined to candidate components, and within
-each component every pair of different shingle sets is compared exactly, block
-against block, so that no group has to fit into one task and no pair is written
-out: a task returns link counts and a spanning forest of its links.
+Every text is the set of its five-word shingles; equal sets count once from there
+on.  A forest of tries holds one sequence of MinHash labels per set and tree.  The
+sequences of all trees are sorted, which lays every trie out in order: sets that
+share a prefix lie side by side.  Matched prefixes are shortened level by level from
+the deepest, for each set only until pairs at the least similarity that a set of its
+size can have above the threshold are found with the target recall
+(``stop_depths``); sets without any such partner are not looked for at all.
+
+Sets that meet are joined to candidate components, and within each component every
+pair of different shingle sets is compared exactly, block against block, so that no
+group has to fit into one task and no pair is written out: a task returns link
+counts and a spanning forest of its links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiretide.llm import arrays
@@ -34,18 +38,44 @@ BLOCK_SHINGLES = 200_000
 # Shingles signed together (their hashes stay in a core's cache).
 RUN_SHINGLES = 1 << 15
 
-SIGNATURES = "hi long, lo long, n_shingles long, prefixes array<long>"
+# Words of 64 bits in the filter for texts that are compared (a proven bound of what
+# is broadcast; a full filter lets more texts through to the join, never fewer).
+FILTER_WORDS = 1 << 20
 
+SIGNATURES = "hi long, lo long, n_shingles long, forest binary"
+LABEL_BYTES = 2
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with
+
+def prefix_depth(similarity: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
+    """The longest prefix at which a pair of that similarity meets in some tree with
     the target recall; longer pairs of labels are found with more."""
     depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def least_similarity(n: int, threshold: float) -> float | None:
+    """The least Jaccard similarity from the threshold on that a set of ``n`` shingles
+    can have with another set; None where only equal sets reach it."""
+    found = None
+    for m in range(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1):
+        for shared in range(1, min(n, m) + 1):
+            s = shared / (n + m - shared)
+            if threshold - 1e-9 <= s < 1 and (found is None or s < found):
+                found = s
+    return found
+
+
+def stop_depths(threshold: float, trees: int, deepest: int, recall: float, sizes: int = 65) -> list[int]:
+    """For sets of 1, 2, ... shingles the depth at which shortening stops; the last
+    entry is for all larger sets.  ``deepest + 1``: nothing to look for."""
+    known = [least_similarity(n, threshold) for n in range(1, sizes)]
+    return [deepest + 1 if s is None else prefix_depth(s, trees, deepest, recall) for s in known] + [
+        prefix_depth(threshold, trees, deepest, recall)
+    ]
+
+
 def distinct_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, words, counts in arrays.word_hashes(texts):
@@ -56,22 +86,18 @@ def distinct_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
             at += n
 
 
-def signer(width: int, trees: int, depth: int):
-    """Arrow function: shingle-set identity and one prefix key per tree.  Runs of
-    sets are signed together, function by function, over one flat array."""
+def signer(width: int, trees: int, deepest: int):
+    """Arrow function: shingle-set identity and the label sequences of all trees.  Runs
+    of sets are signed together, function by function, over one flat array."""
     rng = np.random.default_rng(20_240_607)
-    flips = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
-    factors = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(starts), trees), dtype=np.uint64)
-        for t in range(trees):
-            key = np.full(len(starts), t + 1, dtype=np.uint64)
-            for d in range(depth):
-                j = t * depth + d
-                low = np.minimum.reduceat((flat ^ flips[j]) * factors[j], starts)
-                key = arrays.mix(key * arrays.BASE + low)
-            out[:, t] = key
+    flips = rng.integers(0, 1 << 63, trees * deepest, dtype=np.uint64)
+    factors = rng.integers(0, 1 << 63, trees * deepest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def labels(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(starts), trees * deepest), dtype=">u2")
+        for j in range(trees * deepest):
+            low = np.minimum.reduceat((flat ^ flips[j]) * factors[j], starts)
+            out[:, j] = arrays.mix(low) >> np.uint64(48)
         return out
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +105,7 @@ def signer(width: int, trees: int, depth: int):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             n = len(texts)
             hi, lo = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            size, table = np.zeros(n, np.int64), np.zeros((n, trees), np.uint64)
+            size, table = np.zeros(n, np.int64), np.zeros((n, trees * deepest), ">u2")
             held: list[np.ndarray] = []
             rows: list[int] = []
 
@@ -90,7 +116,7 @@ def signer(width: int, trees: int, depth: int):
                 starts = np.cumsum(sizes) - sizes
                 hi[rows] = arrays.mix(np.add.reduceat(arrays.mix(flat), starts) + sizes.astype(np.uint64))
                 lo[rows] = arrays.mix(np.add.reduceat(arrays.mix(flat ^ arrays.BASE), starts))
-                table[rows] = keys(flat, starts)
+                table[rows] = labels(flat, starts)
                 held.clear()
                 rows.clear()
 
@@ -105,17 +131,109 @@ def signer(width: int, trees: int, depth: int):
                         flush()
                         total = 0
             flush()
-            prefixes = pa.ListArray.from_arrays(
-                pa.array(np.arange(n + 1) * trees, pa.int32()), pa.array(table.reshape(-1).view(np.int64))
-            )
-            made = [pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(size), prefixes]
+            bounds = np.arange(n + 1, dtype=np.int32) * (trees * deepest * LABEL_BYTES)
+            forest = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(table.tobytes())])
+            made = [pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(size), forest]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = [*batch.schema.names[:-1], "hi", "lo", "n_shingles", "prefixes"]
+            names = [*batch.schema.names[:-1], "hi", "lo", "n_shingles", "forest"]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
 
     return sign
 
 
+EDGE, FIRST, LAST = 0, 1, 2
+CLIMBED = "kind int, level int, part int, prefix binary, u long, v long"
+
+
+def climber(deepest: int, highest: int):
+    """Arrow function over one range of the sorted tries (key, hi, stop, part): for every
+    level from the deepest up to ``highest``, an edge from each set that still takes
+    part to the first such set with its prefix; and per level the first and the last
+    prefix of the range with their first sets, by which ranges are joined."""
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: dict[int, tuple[bytes, int]] = {}
+        first: dict[int, tuple[bytes, int]] = {}
+        part = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            hi, stop = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            part = batch.column(3)[0].as_py()
+            for level in range(deepest, highest - 1, -1):
+                takes = np.flatnonzero(stop <= level)
+                if not len(takes):
+                    continue
+                mine, nodes = key[takes, : 1 + level * LABEL_BYTES], hi[takes]
+                new = np.ones(len(takes), dtype=bool)
+                new[1:] = (mine[1:] != mine[:-1]).any(axis=1)
+                anchors = nodes[np.maximum.accumulate(np.where(new, np.arange(len(takes)), 0))]
+                before = carried.get(level)
+                if before is not None and before[0] == mine[0].tobytes():
+                    runs = np.flatnonzero(new)
+                    anchors[: runs[1] if len(runs) > 1 else len(takes)] = before[1]
+                first.setdefault(level, (mine[0].tobytes(), int(nodes[0])))
+                carried[level] = (mine[-1].tobytes(), int(anchors[-1]))
+                met = nodes != anchors
+                n = int(met.sum())
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(n, EDGE, np.int32)), pa.array(np.full(n, level, np.int32)),
+                            pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.binary()), pa.array(nodes[met]), pa.array(anchors[met]),
+                        ],
+                        names=["kind", "level", "part", "prefix", "u", "v"],
+                    )
+        rows = [(kind, level, part, prefix, node, node) for kind, held in ((FIRST, first), (LAST, carried))
+                for level, (prefix, node) in held.items()]
+        if rows:
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "level", "part", "prefix", "u", "v"]
+            )
+
+    return climb
+
+
+def forest_edges(nodes: DataFrame, threshold: float, trees: int, deepest: int, recall: float) -> DataFrame:
+    """Candidate edges (u, v) between sets (hi, n_shingles, forest), from the sorted
+    tries.  Ranges cut the sorted sequences anywhere, so a prefix that very many sets
+    share lies in many ranges; those are joined by their border rows, a few per range."""
+    stops = stop_depths(threshold, trees, deepest, recall)
+    stop = F.element_at(F.array(*[F.lit(d) for d in stops]), F.least(F.col("n_shingles"), F.lit(len(stops))).cast("int"))
+    size = deepest * LABEL_BYTES
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring("forest", t * size + 1, F.lit(size))),
+    )
+    laid = nodes.withColumn("_stop", stop.cast("int")).filter(F.col("_stop") <= deepest)
+    sequences = laid.select(F.explode(keys).alias("key"), "hi", "_stop")
+    ranges = sequences.repartitionByRange("key", "hi").sortWithinPartitions("key", "hi")
+    climbed = materialize(
+        ranges.withColumn("part", F.spark_partition_id()).mapInArrow(climber(deepest, min(stops)), CLIMBED), "tries"
+    )
+    # bounded: two rows per range and level
+    order = Window.partitionBy("level").orderBy("part", "kind")
+    borders = climbed.filter(F.col("kind") != EDGE).select(
+        "kind", "prefix", "u", *[F.lag(c).over(order).alias(f"_{c}") for c in ("kind", "prefix", "u")]
+    )
+    joined = borders.filter((F.col("kind") == FIRST) & (F.col("_kind") == LAST) & (F.col("prefix") == F.col("_prefix")))
+    return climbed.filter(F.col("kind") == EDGE).select("u", "v").union(joined.select("u", F.col("_u").alias("v")))
+
+
+def wanted_rows(thin: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``thin`` that one of the row keys (_k1, _k2) of ``wanted`` names, once
+    each, with its columns.
+
+    A filter of fixed size first drops nearly all other rows where they are read, so
+    that only texts that are compared move.  The join is a merge join at any size.
+    """
+    word, bit = F.pmod("_k1", F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("_k2", F.lit(64)).cast("int"))
+    words = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = thin.withColumn("_word", word).join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0)
+    return near.drop("_word", "_bits").join(wanted.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v; longs); the root is the
     smallest node of its component.
@@ -229,29 +347,30 @@ def classified(docs: DataFrame, doc_id: str, text: str, threshold: float, width:
                recall: float, block_shingles: int) -> tuple[DataFrame, DataFrame]:
     """Signed rows, and for each shingle set (hi, lo) its class, links and the row
     that stands for it."""
-    depth = prefix_depth(threshold, trees, deepest, recall)
     plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
     thin = plain.select("_id", *row_keys("_id", "_text"), "_text")
     kind = docs.schema[doc_id].dataType.simpleString()
     signed = materialize(
-        thin.mapInArrow(signer(width, trees, depth), f"_id {kind}, _k1 long, _k2 long, {SIGNATURES}"), "signatures"
+        thin.mapInArrow(signer(width, trees, deepest), f"_id {kind}, _k1 long, _k2 long, {SIGNATURES}"), "signatures"
     )
     filled = signed.filter("n_shingles > 0")
-    nodes = filled.groupBy("hi", "lo").agg(
-        F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"),
-        F.min(F.struct(F.isnull("_id").alias("unnamed"), "_id", "_k1", "_k2")).alias("rep"),
+    # from here on a row per set, however many copies there are
+    nodes = materialize(
+        filled.groupBy("hi", "lo").agg(
+            F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"),
+            F.min(F.struct(F.isnull("_id").alias("unnamed"), "_id", "_k1", "_k2")).alias("rep"),
+            F.max("forest").alias("forest"),
+        ),
+        "sets",
     )
-    placed = filled.select("hi", F.explode("prefixes").alias("prefix"))
-    met = placed.groupBy("prefix").agg(F.min("hi").alias("v"), F.max("hi").alias("top")).filter("v < top").drop("top")
-    candidates = placed.join(met, "prefix").select(F.col("hi").alias("u"), "v")
-    groups = connected(candidates).withColumnRenamed("root", "comp")
+    groups = connected(forest_edges(nodes, threshold, trees, deepest, recall)).withColumnRenamed("root", "comp")
+    nodes = nodes.drop("forest")
 
     members = materialize(nodes.join(groups, nodes.hi == groups.node).drop("node"), "members")
     blocks = members.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("_blocks"))
     wanted = members.join(blocks, "comp").select("hi", "lo", "copies", "comp", "_blocks", "rep._k1", "rep._k2")
     texts = (
-        thin.join(wanted, ["_k1", "_k2"])
-        .groupBy("hi", "lo", "copies", "comp", "_blocks").agg(F.first("_text").alias("_text"))
+        wanted_rows(thin.drop("_id"), wanted)
         .withColumn("_block", F.expr("cast(pmod(lo, _blocks) AS int)"))
         .withColumn("_other", F.expr("explode(sequence(0, _blocks - 1))"))
         .select("hi", "lo", "copies", "_text", "_block", "comp", F.expr("least(_block, _other) AS _a"),
