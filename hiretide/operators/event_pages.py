@@ -1,15 +1,17 @@
 """Recruiting events from landed pages, feeds and calendars.
 
 ``pages``: page_id, url, content_type, body plus the source's firm_name,
-firm_kind, source_provider, source_scope, firm_aliases.  Arrow batches only break
-a page into JSON objects or card facts; the mapping to events is columns.
+firm_kind, source_provider, source_scope, firm_aliases.  One Arrow function breaks a
+page into its parts - JSON objects of scripts, cards, site cards - from one parsed
+tree; the mapping of parts to events is columns.  Extractors that are given parts do
+not parse again.
 """
 
 from __future__ import annotations
 
 import html
 import json
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +27,10 @@ from hiretide.functions.expr import bound, join_present, no_strings, present, sq
 from hiretide.functions.variant import at, event_date, first_string, first_strings, first_value, kind, objects, string_list
 from hiretide.operators.events import (
     build_events, dedupe_events, event_type, feed_rules, firm_match, has_event_language, location_from_text, location_type,
-    with_precedence,
 )
 from hiretide.operators.payloads import join_url
 from hiretide.operators.routing import host
+from hiretide.session import materialize
 
 SOURCE = ("page_id", "url", "firm_name", "firm_kind", "source_provider", "source_scope", "firm_aliases")
 
@@ -73,37 +75,127 @@ def _named_object(text: str, name: str):
         return None
 
 
-_ITEMS = T.ArrayType(fact_schema("linked boolean, item string"))
+SCRIPT, CARD, SITE = "script", "card", "site"
+_PARTS = T.ArrayType(fact_schema(
+    "part string, pos int, linked boolean, item string, selector int, text string, heading string, strong string, "
+    "stamp string, href string, cells array<string>, site string, title string, kind string, place string, topic string, "
+    "event_id string, starts string, ends string, shown string"
+))
+# --- fixed values: escapes of embedded markup ---
+_ESCAPES = (("\\u003c", "<"), ("\\u003e", ">"), ("\\u003d", "="), ("\\u0026", "&"), ('\\"', '"'), ("\\/", "/"))
 
 
-@F.pandas_udf(_ITEMS)
-def _script_objects(pages: pd.Series) -> pd.Series:
+def _script_parts(root) -> Iterator[dict]:
     """JSON objects of all script blocks; ``linked`` marks JSON-LD blocks."""
-    def objects_of(markup: str) -> list[dict]:
-        found = []
-        for script in parse(markup).select(by_tag("script")):
-            text = "".join(c for c in script.children if isinstance(c, str)).strip()
-            if not text:
+    for script in root.select(by_tag("script")):
+        text = "".join(c for c in script.children if isinstance(c, str)).strip()
+        if not text:
+            continue
+        payload = _loads(text) if text[0] in "[{" else None
+        if payload is None and "eventData" in text:
+            payload = _named_object(text, "eventData")
+        if payload is not None:
+            linked = script.attrs.get("type") == "application/ld+json"
+            for o in _objects_in(payload):
+                yield {"linked": linked, "item": json.dumps(o)}
+
+
+def _text_of(element) -> str | None:
+    return element.text() if element is not None else None
+
+
+def _card_parts(root) -> Iterator[dict]:
+    """Facts of the elements that may be event cards, per selector in page order."""
+    tests = (
+        lambda e: "event" in e.attrs.get("class", ""),
+        lambda e: "event" in e.attrs.get("id", ""),
+        by_tag("article"), by_tag("li"), by_tag("tr"),
+    )
+    for order, test in enumerate(tests):
+        for e in root.select(test):
+            stamp, anchor = e.first(by_tag("time")), e.first(link)
+            yield {
+                "selector": order, "text": e.text(), "heading": _text_of(e.first(by_tag("h1", "h2", "h3", "h4"))),
+                "strong": _text_of(e.first(by_tag("h1", "h2", "h3", "h4", "strong"))),
+                "stamp": stamp.attrs.get("datetime") if stamp is not None else None,
+                "href": anchor.attrs["href"] if anchor is not None else None,
+                "cells": [c.text() for c in e.select(by_tag("td", "th"))],
+            }
+
+
+def _site_parts(root, markup: str) -> Iterator[dict]:
+    """Result-list cards (of the unescaped page, a text of its own) and agency cards."""
+    if "resultsList" in markup:
+        decoded = markup
+        for escaped, plain in _ESCAPES:
+            decoded = decoded.replace(escaped, plain)
+        for e in parse(html.unescape(decoded)).select(lambda e: e.attrs.get("data-cy") == "resultsList"):
+            title, anchor = " ".join(e.attrs.get("data-tracking-title", "").split()), e.first(link)
+            if title and anchor is not None:
+                yield {
+                    "site": "results", "title": title, "href": anchor.attrs["href"], "text": e.text(),
+                    "kind": e.attrs.get("data-glue-filter-event-type"),
+                    "place": e.attrs.get("data-glue-filter-location"), "topic": e.attrs.get("data-glue-filter-topic"),
+                }
+    if "hds-event-item" in markup:
+        for e in root.select(lambda e: link(e) and "hds-event-item" in e.classes):
+            title, day = e.first(by_class("hds-event-title")), e.first(lambda x: "data-event-start-date" in x.attrs)
+            if title is None or day is None:
                 continue
-            payload = _loads(text) if text[0] in "[{" else None
-            if payload is None and "eventData" in text:
-                payload = _named_object(text, "eventData")
-            if payload is not None:
-                linked = script.attrs.get("type") == "application/ld+json"
-                found += [{"linked": linked, "item": json.dumps(o)} for o in _objects_in(payload)]
-        return found
+            what, where = e.first(by_class("hds-event-type")), e.first(by_class("hds-event-short-location"))
+            yield {
+                "site": "agency", "title": title.text(), "href": e.attrs["href"], "text": e.text(),
+                "kind": what.text() if what is not None else "event", "place": where.text() if where is not None else None,
+                "event_id": e.attrs.get("event-id"), "starts": day.attrs["data-event-start-date"],
+                "ends": day.attrs.get("data-event-timestamp-end"), "shown": day.text(),
+            }
+
+
+@F.pandas_udf(_PARTS)
+def _parts_of(pages: pd.Series, wanted: pd.Series) -> pd.Series:
+    """The wanted kinds of parts of each page, numbered by kind, from one tree."""
+    def broken(markup: str | None, kinds: str) -> list[dict] | None:
+        if markup is None or not kinds:
+            return None
+        root = parse(markup)
+        readers = {
+            SCRIPT: lambda: _script_parts(root), CARD: lambda: _card_parts(root), SITE: lambda: _site_parts(root, markup),
+        }
+        return [
+            {"part": kind, "pos": pos, **found} for kind in kinds.split(",") for pos, found in enumerate(readers[kind]())
+        ]
+
+    return pd.Series([broken(m, k) for m, k in zip(pages, wanted, strict=True)], index=pages.index)
+
 
-    return pages.map(objects_of, na_action="ignore")
+def page_parts(pages: DataFrame, kinds: tuple[str, ...] = (SCRIPT, CARD, SITE), carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per part of a page, with the source's columns and ``carry``.  A page is
+    parsed once, whatever is wanted of it, and not at all when it cannot have any of
+    it; a NULL body has no parts."""
+    body = F.col("body")
+    possible = {SCRIPT: body.contains("<script"), CARD: F.lit(True), SITE: body.rlike("resultsList|hds-event-item")}
+    wanted = F.concat_ws(",", *[F.when(possible[k], k) for k in kinds])
+    broken = pages.select(*_carry(), *carry, F.explode(_parts_of(body, wanted)).alias("_p"))
+    return broken.select(*[c for c in broken.columns if c != "_p"], "_p.*")
 
 
-def script_items(pages: DataFrame) -> DataFrame:
+_PART_FIELDS = {
+    SCRIPT: ("linked", "item"), CARD: ("selector", "text", "heading", "strong", "stamp", "href", "cells"),
+    SITE: ("site", "title", "href", "text", "kind", "place", "topic", "event_id", "starts", "ends", "shown"),
+}
+
+
+def _rows_of(pages: DataFrame | None, kind: str, parts: DataFrame | None) -> DataFrame:
+    """Rows of one kind, from given parts or by parsing ``pages``."""
+    found = page_parts(pages, (kind,)) if parts is None else parts
+    source = ["page_url" if c == "url" else c for c in SOURCE]
+    return found.filter(F.col("part") == kind).select(*source, "pos", *_PART_FIELDS[kind])
+
+
+def script_items(pages: DataFrame | None, parts: DataFrame | None = None) -> DataFrame:
     """One row per JSON object in a page's scripts."""
-    has_script = F.when(F.col("body").contains("<script"), F.col("body"))
-    rows = pages.select(*_carry(), F.posexplode(_script_objects(has_script)).alias("pos", "_o"))
-    return rows.select(
-        *[c for c in rows.columns if c != "_o"], F.col("_o.linked").alias("linked"), F.col("_o.item").alias("raw_payload"),
-        F.try_parse_json("_o.item").alias("_item"),
-    )
+    rows = _rows_of(pages, SCRIPT, parts).withColumnRenamed("item", "raw_payload")
+    return rows.withColumn("_item", F.try_parse_json("raw_payload"))
 
 
 def _read(items: DataFrame, **groups: tuple[str, ...]) -> DataFrame:
@@ -171,17 +263,17 @@ def _schema_types(item: Column) -> Column:
     return F.transform(string_list(declared), lambda t: F.element_at(F.split(t, "/"), -1))
 
 
-def json_ld_events(pages: DataFrame, as_of: Column) -> DataFrame:
+def json_ld_events(pages: DataFrame | None, as_of: Column, parts: DataFrame | None = None) -> DataFrame:
     """Schema.org events of JSON-LD blocks."""
     typed = F.arrays_overlap(_schema_types(F.col("_item")), strings(rules.SCHEMA_EVENT_TYPES))
-    return map_items(script_items(pages).filter(F.col("linked") & typed).drop("linked"), as_of)
+    return map_items(script_items(pages, parts).filter(F.col("linked") & typed).drop("linked"), as_of)
 
 
-def embedded_events(pages: DataFrame, as_of: Column) -> DataFrame:
+def embedded_events(pages: DataFrame | None, as_of: Column, parts: DataFrame | None = None) -> DataFrame:
     """Script objects that carry a title key and a date key."""
     keys = F.json_object_keys("raw_payload")
     both = F.arrays_overlap(keys, strings(rules.EVENT_TITLE_KEYS)) & F.arrays_overlap(keys, strings(rules.EVENT_START_KEYS))
-    return map_items(script_items(pages).filter(both).drop("linked"), as_of)
+    return map_items(script_items(pages, parts).filter(both).drop("linked"), as_of)
 
 
 # --- calendars ---------------------------------------------------------------------------
@@ -245,43 +337,8 @@ def _described(facts: DataFrame, firm: Column | None = None) -> DataFrame:
 
 # --- cards -------------------------------------------------------------------------------
 
-_CARDS = T.ArrayType(fact_schema(
-    "selector int, text string, heading string, strong string, stamp string, href string, cells array<string>"
-))
-
-
-@F.pandas_udf(_CARDS)
-def _cards(pages: pd.Series) -> pd.Series:
-    """Facts of the elements that may be event cards, per selector in page order."""
-    tests = (
-        lambda e: "event" in e.attrs.get("class", ""),
-        lambda e: "event" in e.attrs.get("id", ""),
-        by_tag("article"), by_tag("li"), by_tag("tr"),
-    )
-
-    def text_of(element) -> str | None:
-        return element.text() if element is not None else None
-
-    def facts(order: int, e) -> dict:
-        stamp, anchor = e.first(by_tag("time")), e.first(link)
-        cells = [c.text() for c in e.select(by_tag("td", "th"))]
-        return {
-            "selector": order, "text": e.text(), "heading": text_of(e.first(by_tag("h1", "h2", "h3", "h4"))),
-            "strong": text_of(e.first(by_tag("h1", "h2", "h3", "h4", "strong"))),
-            "stamp": stamp.attrs.get("datetime") if stamp is not None else None,
-            "href": anchor.attrs["href"] if anchor is not None else None, "cells": cells,
-        }
-
-    def cards(markup: str) -> list[dict]:
-        root = parse(markup)
-        return [facts(i, e) for i, test in enumerate(tests) for e in root.select(test)]
-
-    return pages.map(cards, na_action="ignore")
-
-
-def _card_rows(pages: DataFrame) -> DataFrame:
-    rows = pages.select(*_carry(), F.posexplode(_cards(F.col("body"))).alias("pos", "_c"))
-    rows = rows.select(*[c for c in rows.columns if c != "_c"], "_c.*")
+def _card_rows(pages: DataFrame | None, parts: DataFrame | None) -> DataFrame:
+    rows = _rows_of(pages, CARD, parts)
     return rows.filter((F.length("text") >= 20) & has_event_language(F.col("text")))
 
 
@@ -302,16 +359,16 @@ def _card_events(rows: DataFrame, title: Column, as_of: Column, firm: Column | N
     return build_events(described, as_of, ["page_id", "page_url", "pos"])
 
 
-def html_card_events(pages: DataFrame, as_of: Column) -> DataFrame:
+def html_card_events(pages: DataFrame | None, as_of: Column, parts: DataFrame | None = None) -> DataFrame:
     """Generic cards, all of a page."""
-    rows = _card_rows(pages).filter("selector < 4")
+    rows = _card_rows(pages, parts).filter("selector < 4")
     return _card_events(rows, F.coalesce(F.col("heading"), F.col("text")), as_of, None)
 
 
-def recruiting_card_events(pages: DataFrame, as_of: Column) -> DataFrame:
+def recruiting_card_events(pages: DataFrame | None, as_of: Column, parts: DataFrame | None = None) -> DataFrame:
     """E5: cards that name a firm, deduplicated within their page."""
     c = F.col
-    rows = _card_rows(pages)
+    rows = _card_rows(pages, parts)
     cell = F.get(F.filter("cells", lambda x: (x != "") & dates.event_timestamp(x).isNull()), F.lit(0))
     title = F.coalesce(present(c("strong")), cell, c("text"))
     match = firm_match(c("description"), c("firm_aliases"), c("firm_name"), c("firm_kind"))
@@ -322,60 +379,11 @@ def recruiting_card_events(pages: DataFrame, as_of: Column) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-_SITE_CARDS = T.ArrayType(fact_schema(
-    "site string, title string, href string, text string, kind string, place string, topic string, "
-    "event_id string, starts string, ends string, shown string"
-))
-
-
-@F.pandas_udf(_SITE_CARDS)
-def _site_cards(pages: pd.Series) -> pd.Series:
-    """Result-list cards (of the unescaped page) and agency event cards."""
-    # --- fixed values: escapes of embedded markup ---
-    escapes = (("\\u003c", "<"), ("\\u003e", ">"), ("\\u003d", "="), ("\\u0026", "&"), ('\\"', '"'), ("\\/", "/"))
-
-    def decoded(markup: str) -> str:
-        for escaped, plain in escapes:
-            markup = markup.replace(escaped, plain)
-        return html.unescape(markup)
-
-    def results(root):
-        for e in root.select(lambda e: e.attrs.get("data-cy") == "resultsList"):
-            title, anchor = " ".join(e.attrs.get("data-tracking-title", "").split()), e.first(link)
-            if title and anchor is not None:
-                yield {
-                    "site": "results", "title": title, "href": anchor.attrs["href"], "text": e.text(),
-                    "kind": e.attrs.get("data-glue-filter-event-type"),
-                    "place": e.attrs.get("data-glue-filter-location"), "topic": e.attrs.get("data-glue-filter-topic"),
-                }
-
-    def agency(root):
-        for e in root.select(lambda e: link(e) and "hds-event-item" in e.classes):
-            title, day = e.first(by_class("hds-event-title")), e.first(lambda x: "data-event-start-date" in x.attrs)
-            if title is None or day is None:
-                continue
-            what, where = e.first(by_class("hds-event-type")), e.first(by_class("hds-event-short-location"))
-            yield {
-                "site": "agency", "title": title.text(), "href": e.attrs["href"], "text": e.text(),
-                "kind": what.text() if what is not None else "event", "place": where.text() if where is not None else None,
-                "event_id": e.attrs.get("event-id"), "starts": day.attrs["data-event-start-date"],
-                "ends": day.attrs.get("data-event-timestamp-end"), "shown": day.text(),
-            }
-
-    def cards(markup: str) -> list[dict]:
-        found = list(results(parse(decoded(markup)))) if "resultsList" in markup else []
-        return found + (list(agency(parse(markup))) if "hds-event-item" in markup else [])
-
-    return pages.map(cards, na_action="ignore")
-
-
-def site_card_events(pages: DataFrame, as_of: Column) -> DataFrame:
+def site_card_events(pages: DataFrame | None, as_of: Column, parts: DataFrame | None = None) -> DataFrame:
     """Evergreen result lists run from the extraction for a year; agency cards
     carry their own dates."""
     c = F.col
-    listed = F.when(F.col("body").rlike("resultsList|hds-event-item"), F.col("body"))
-    rows = pages.select(*_carry(), F.posexplode(_site_cards(listed)).alias("pos", "_c"))
-    rows = rows.select(*[x for x in rows.columns if x != "_c"], "_c.*")
+    rows = _rows_of(pages, SITE, parts)
     evergreen = c("site") == "results"
     hint = F.coalesce(*[
         F.when(F.lower("text").contains(o.lower()), F.lit(o)) for o in ("VIRTUAL", "ONLINE", "ONSITE", "VARIES")
@@ -489,10 +497,10 @@ def nvidia_events(feeds: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def eightfold_events(pages: DataFrame, as_of: Column) -> DataFrame:
+def eightfold_events(pages: DataFrame | None, as_of: Column, parts: DataFrame | None = None) -> DataFrame:
     """Event objects embedded in scripts."""
     c = F.col
-    outer = script_items(pages).drop("linked")
+    outer = script_items(pages, parts).drop("linked")
     inner = at(c("_item"), "eventData")
     items = _read(
         outer.withColumn("_item", F.when(kind(inner).startswith("OBJECT"), inner).otherwise(c("_item"))),
@@ -514,45 +522,77 @@ def eightfold_events(pages: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def amazon_events(pages: DataFrame, as_of: Column) -> DataFrame:
+def amazon_events(pages: DataFrame | None, as_of: Column, parts: DataFrame | None = None) -> DataFrame:
     """Titled script objects that mention the firm, then recruiting cards."""
-    items = script_items(pages).drop("linked")
+    parts = page_parts(pages, (SCRIPT, CARD)) if parts is None else parts
+    items = script_items(None, parts).drop("linked")
     mapped = map_items(items, as_of)
     named = F.lower(F.concat_ws(" ", "event_title", F.coalesce("description", F.lit("")))).contains("amazon")
-    return mapped.filter(named).unionByName(recruiting_card_events(pages, as_of))
-
-
-def generic_events(pages: DataFrame, as_of: Column) -> list[DataFrame]:
-    """The generic extractors in their order (for E16)."""
-    is_calendar = F.coalesce(F.col("content_type").contains("text/calendar"), F.lit(False)) | F.lower("url").endswith(".ics")
-    calendars, markup = pages.filter(is_calendar), pages.filter(~is_calendar)
-    return [
-        calendar_events(calendars, as_of), json_ld_events(markup, as_of), embedded_events(markup, as_of),
-        site_card_events(markup, as_of), recruiting_card_events(markup, as_of), html_card_events(markup, as_of),
-    ]
-
-
-def feed_events(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Events of provider feeds, with ``feed_ord``.  The first two feeds are the
-    only ones asked for their pages; of the others the first that yields events."""
-    extractors = {
-        "morgan_stanley": morgan_stanley_events, "nvidia": nvidia_events, "eightfold": eightfold_events, "amazon": amazon_events,
-        "jpmorgan": jpmorgan_events,
-    }
-    rules_of, found, asked = feed_rules(F.col("source_provider"), F.coalesce(host(F.col("url")), F.lit(""))), None, F.lit(False)
-    for order, (feed, extract) in enumerate(extractors.items()):
-        mine = F.coalesce(rules_of[feed], F.lit(False))
-        events = extract(pages.filter(mine & ~asked), as_of).withColumn("feed_ord", F.lit(order))
-        found = events if found is None else found.unionByName(events)
-        if feed in ("morgan_stanley", "nvidia"):
-            asked = asked | mine
-    first = found.groupBy("page_id").agg(F.min("feed_ord").alias("_first")).withColumnRenamed("page_id", "_page")
-    return found.join(first, (F.col("page_id") == F.col("_page")) & (F.col("feed_ord") == F.col("_first"))).drop("_page", "_first")
+    return mapped.filter(named).unionByName(recruiting_card_events(None, as_of, parts))
+
+
+# Feeds in the order they are asked; the first two are the only ones asked for their pages.
+JSON_FEEDS = {"morgan_stanley": morgan_stanley_events, "nvidia": nvidia_events, "jpmorgan": jpmorgan_events}
+PAGE_FEEDS = {"eightfold": eightfold_events, "amazon": amazon_events}
+FEED_ORDER = ("morgan_stanley", "nvidia", "eightfold", "amazon", "jpmorgan")
+
+
+def asked_feeds(pages: DataFrame) -> DataFrame:
+    """Adds ``_asks``, the feeds that are asked for the page."""
+    rules_of = feed_rules(F.col("source_provider"), F.coalesce(host(F.col("url")), F.lit("")))
+    mine = {feed: F.coalesce(rules_of[feed], F.lit(False)) for feed in FEED_ORDER}
+    rest = F.array_compact(F.array(*[F.when(mine[f], f) for f in FEED_ORDER[2:]]))
+    return pages.withColumn(
+        "_asks", F.when(mine["morgan_stanley"], F.array(F.lit("morgan_stanley"))).when(mine["nvidia"], F.array(F.lit("nvidia"))).otherwise(rest)
+    )
+
+
+def _asking(df: DataFrame, feed: str) -> DataFrame:
+    return df.filter(F.array_contains("_asks", feed))
+
+
+def _first_feed(found: list[DataFrame]) -> DataFrame:
+    """Events with their ``feed_ord``: of each page those of its first feed with any."""
+    every = found[0]
+    for events in found[1:]:
+        every = every.unionByName(events)
+    first = F.min("feed_ord").over(Window.partitionBy("page_id"))
+    return every.withColumn("_first", first).filter(F.col("feed_ord") == F.col("_first")).drop("_first")
+
+
+def _fed(feed: str, events: DataFrame) -> DataFrame:
+    return events.withColumn("feed_ord", F.lit(FEED_ORDER.index(feed)))
 
 
 def page_events(pages: DataFrame, as_of: Column) -> DataFrame:
     """E16 with E15: events of landed pages, with ``extractor_ord`` (0: a provider
     feed).  An event that several extractors of a page find counts once, for the
-    first of them."""
-    chosen = with_precedence(feed_events(pages, as_of).drop("feed_ord"), generic_events(pages, as_of), "page_id")
-    return dedupe_events(chosen, ["extractor_ord", "pos"], ["page_id"])
+    first of them.
+
+    What is read more than once is written once: the parts of the pages (the only
+    Python step), and the events of the provider feeds.  Pages that a JSON feed serves
+    are not parsed unless an earlier feed may serve them too, and no generic extractor
+    sees a page that a feed serves.
+    """
+    calendar = F.coalesce(F.col("content_type").contains("text/calendar"), F.lit(False)) | F.lower("url").endswith(".ics")
+    asking = asked_feeds(pages).withColumn("_calendar", calendar)
+    from_json = materialize(
+        _first_feed([_fed(f, extract(_asking(asking, f), as_of)) for f, extract in JSON_FEEDS.items()]), "json-feeds"
+    )
+    by_page_feed = F.arrays_overlap("_asks", strings(PAGE_FEEDS))
+    served = from_json.select("page_id").distinct()
+    unserved = asking.join(served, "page_id", "left_anti").filter(~by_page_feed & ~F.col("_calendar"))
+    parsed = asking.filter(by_page_feed).unionByName(unserved)
+    parts = materialize(page_parts(parsed, carry=("_asks", "_calendar")), "page-parts")
+    from_pages = [_fed(f, extract(None, as_of, _asking(parts, f))) for f, extract in PAGE_FEEDS.items()]
+    feeds = materialize(_first_feed([from_json, *from_pages]), "feeds")
+
+    fed = feeds.select("page_id").distinct()
+    left = parts.filter(~F.col("_calendar")).join(fed, "page_id", "left_anti")
+    calendars = asking.filter("_calendar").join(fed, "page_id", "left_anti")
+    from_parts = (json_ld_events, embedded_events, site_card_events, recruiting_card_events, html_card_events)
+    generic = [calendar_events(calendars, as_of), *[extract(None, as_of, left) for extract in from_parts]]
+    every = feeds.drop("feed_ord").withColumn("extractor_ord", F.lit(0))
+    for order, events in enumerate(generic, start=1):
+        every = every.unionByName(events.withColumn("extractor_ord", F.lit(order)))
+    return dedupe_events(every, ["extractor_ord", "pos"], ["page_id"])
