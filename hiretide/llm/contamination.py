@@ -3,18 +3,22 @@
 Texts are sets of five-word shingles.  An item's containment in a document is the
 share of its shingles that the document has.  Documents are far longer than items,
 so a Jaccard index would miss them; instead each item is represented by its
-smallest shingle hashes (a bottom-k MinHash).  Items are partitioned by size, in
-powers of two: a partition has its own bound, below which all its MinHash values
-lie, and a document only offers the shingles below the widest bound in use.  A
-document holding the threshold's share of an item misses all ``k`` values with a
-probability of at most ``(1 - threshold) ** k``.  Documents that hold any value of
-an item are candidates and are verified by counting all of the item's shingles.
+smallest shingle hashes (a bottom-k MinHash).  A document with the threshold's share
+of an item lacks at most a known number of its shingles, so one value more than that
+cannot all be missing; for long items fewer do, as a document misses all ``k`` values
+with a probability of at most ``(1 - threshold) ** k``.  Items are partitioned by
+size, in powers of two: a partition has its own bound, below which all its MinHash
+values lie, and a document offers a shingle only to the partitions whose bounds lie
+above it.  Documents that hold any value of an item are candidates and are verified
+by counting all of the item's shingles.
 
 Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,9 @@ from hiretide.session import materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
-SKETCH = 16
+# Chance to miss a document with exactly the threshold's share of a long item (short
+# items are never missed).
+MISSED = 1e-9
 
 
 def with_shingles(df: DataFrame, text: str, name: str, width: int) -> DataFrame:
@@ -40,16 +46,25 @@ def with_shingles(df: DataFrame, text: str, name: str, width: int) -> DataFrame:
     return hashed.withColumn(name, F.array_distinct(F.when(F.size("_words") >= width, runs).otherwise(none))).drop("_words")
 
 
-def item_sketches(items: DataFrame, sketch: int) -> DataFrame:
-    """(item_id, size class, bottom-k values) of items with shingles."""
+def sketch_size(q: Column, threshold: float, missed: float) -> Column:
+    """Values that stand for an item of ``q`` shingles: one more than can be missing,
+    or as many as the recall wanted takes if those are fewer."""
+    lacking = F.floor(q * (1 - threshold) + 1e-9) + 1
+    enough = 1 if threshold >= 1 else math.ceil(math.log(missed) / math.log(1 - threshold)) if threshold > 0 else 1 << 30
+    return F.least(lacking, F.lit(enough), q).cast("int")
+
+
+def item_sketches(items: DataFrame, threshold: float, missed: float) -> DataFrame:
+    """(_item, size class, bottom-k values) of items with shingles."""
     return items.select(
-        "_item", F.ceil(F.log2("_q")).cast("int").alias("_class"), F.slice(F.array_sort("_shingles"), 1, sketch).alias("_values")
+        "_item", F.ceil(F.log2("_q")).cast("int").alias("_class"),
+        F.slice(F.array_sort("_shingles"), F.lit(1), sketch_size(F.col("_q"), threshold, missed)).alias("_values"),
     )
 
 
 def containments(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, sketch: int = SKETCH,
+    item_text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, missed: float = MISSED,
 ) -> DataFrame:
     """(doc_id, item_id, containment, _k1, _k2) for every document and item with a
     containment of at least ``threshold``; _k1 and _k2 stand for doc_id and text.
@@ -65,17 +80,29 @@ def containments(
     values = materialize(
         listed.select("_no", F.explode("_shingles").alias("_h"), "_q"), "item-shingles"
     )
-    sketches = item_sketches(listed.withColumn("_item", F.col("_no")), sketch)
+    sketches = item_sketches(listed.withColumn("_item", F.col("_no")), threshold, missed)
+    # a bound per size class: at most 64 rows
     bounds = sketches.groupBy("_class").agg(F.max(F.element_at("_values", -1)).alias("bound")).collect()
-    widest = max((r["bound"] for r in bounds), default=-(1 << 63))
-    probes = materialize(sketches.select(F.col("_item").alias("_no"), F.explode("_values").alias("_h")), "sketches")
+    probes = materialize(sketches.select(F.col("_item").alias("_no"), "_class", F.explode("_values").alias("_h")), "sketches")
+
+    def classes(h: Column) -> Column:
+        """The size classes that are offered the shingle, as bits."""
+        mask = F.lit(0).cast("bigint")
+        for r in bounds:
+            mask = mask.bitwiseOR(F.when(h <= r["bound"], F.lit(1 << r["_class"]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return mask
 
     plain = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
     keyed = plain.select("_id", *row_keys("_id", "_text"), "_text")
+    widest = max((r["bound"] for r in bounds), default=-(1 << 63))
     offered = with_shingles(keyed, "_text", "_shingles", width).select(
         "_k1", "_k2", F.explode(F.filter("_shingles", lambda h: h <= widest)).alias("_h")
+    ).withColumn("_classes", classes(F.col("_h")))
+    own_class = F.getbit("_classes", F.col("_class")) == 1
+    candidates = (
+        offered.join(small(probes.withColumnRenamed("_h", "_probe")), (F.col("_h") == F.col("_probe")) & own_class)
+        .select("_k1", "_k2", "_no").distinct()
     )
-    candidates = offered.join(small(probes), "_h").select("_k1", "_k2", "_no").distinct()
     candidates = materialize(candidates.groupBy("_k1", "_k2").agg(F.collect_set("_no").alias("_nos")), "candidates")
 
     held = keyed.join(candidates, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
