@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,77 +17,151 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from hiretide import rules
 from hiretide.operators import classify, state, validate
-from hiretide.operators.skew import ordinal_within
 from hiretide.session import materialize
 
 # --- refresh throttle (ST2) -------------------------------------------------------
 
-_CARRY = "_carry"
-# Requests of one key that a round judges.
-ROWS_PER_ROUND = 1_000_000
+# Length of the stretches that a key's requests are judged in, in TTLs.
+STRETCH_TTLS = 48
+_NEVER = -(1 << 62)
 
 
-def _accept_first(ttl_seconds: int, columns: list[str], keys: list[str]) -> Callable:
-    """Greedy scan of rows sorted by key and time: a row is accepted when the last
-    accepted one of its key is at least the TTL older.  Skipped rows do not count."""
-    ttl = pd.Timedelta(seconds=ttl_seconds)
+def _exits(times: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of sorted times does to whoever enters it: the last accepted time
+    for each time that may be accepted first, as steps (up to this first time, last).
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
+    From every time a pointer leads to the next acceptable one (binary search); the
+    pointers are doubled until all have left the stretch.
+    """
+    n = len(times)
+    jump = np.append(np.searchsorted(times, times + ttl), n)
+    last = np.arange(n + 1)
+    while (jump < n).any():
+        last = np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    exits = times[last[:n]]
+    step = np.append(exits[1:] != exits[:-1], True)
+    return times[step], exits[step]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Consecutive rows of equal first ``keys`` columns, as slices of their batches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_pylist() for i in range(keys)]
+        rows = list(zip(*columns, strict=True))
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or rows[i] != rows[start]:
+                yield rows[start], batch.slice(start, i - start)
+                start = i
+
+
+def _summaries(ttl: int) -> Callable:
+    """Arrow function: sorted (key, stretch, time) to the steps of every stretch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        current = None
+
+        def close() -> pa.RecordBatch:
+            upto, last = _exits(np.unique(np.concatenate(held)), ttl)
+            held.clear()
+            return pa.RecordBatch.from_pydict({
+                "_key": [current[0]], "_stretch": [current[1]],
+                "upto": pa.array([upto.tolist()], pa.list_(pa.int64())), "last": pa.array([last.tolist()], pa.list_(pa.int64())),
+            })
+
+        for key, rows in _grouped(batches, 2):
+            if key != current and held:
+                yield close()
+            current = key
+            held.append(rows.column(2).to_numpy())
+        if held:
+            yield close()
+
+    return run
+
+
+def _entries(ttl: int) -> Callable:
+    """Arrow function: a key's stretches in order, each with its steps, to the time from
+    which a request is acceptable when the stretch begins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, enter = None, _NEVER
         for batch in batches:
-            verdicts = []
-            for row in zip(*[batch[k] for k in keys], batch["ts"], batch[_CARRY]):
-                key, at, carried = row[:-2], row[-2], row[-1]
+            keys, stretches = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            enters = []
+            for i, key in enumerate(keys):
                 if key != current:
-                    current, last = key, None
-                if carried:  # acceptance of an earlier round
-                    last = at
-                    verdicts.append(True)
+                    current, enter = key, _NEVER
+                enters.append(enter)
+                upto, last = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                at = int(np.searchsorted(upto, enter))
+                if at < len(upto):
+                    enter = int(last[at]) + ttl
+            yield pa.RecordBatch.from_pydict({
+                "_key": pa.array(keys, pa.string()), "_stretch": pa.array(stretches, pa.int64()), "_time": pa.array(enters, pa.int64()),
+            })
+
+    return run
+
+
+def _marks(ttl: int, columns: list[str]) -> Callable:
+    """Arrow function: sorted stretches, each headed by its entry, to judged requests."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter = _NEVER
+        for _, rows in _grouped(batches, 2):
+            times, head = rows.column(2), rows.column(3).to_numpy()
+            heads = int((head == 0).sum())
+            if heads:
+                enter = times[heads - 1].as_py()
+                rows = rows.slice(heads)
+                if not rows.num_rows:
                     continue
-                ok = last is None or at - last >= ttl
-                if ok:
-                    last = at
-                verdicts.append(ok)
-            yield batch[columns].assign(accepted=verdicts)
+            known = rows.column(2).drop_null().to_numpy()  # NULL times come last and are never accepted
+            accepted = np.zeros(rows.num_rows, dtype=bool)
+            at = int(np.searchsorted(known, enter))
+            while at < len(known):
+                accepted[at] = True
+                enter = int(known[at]) + ttl
+                at = max(at + 1, int(np.searchsorted(known, enter)))
+            kept = [rows.column(rows.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(accepted)], names=[*columns, "accepted"])
 
-    return scan
+    return run
 
 
 def throttle(requests: DataFrame, keys: list[str], order: list[str],
-             ttl_seconds: int = rules.REFRESH_LOCK_SECONDS,
-             requests_per_round: int = ROWS_PER_ROUND) -> DataFrame:
-    """ST2, batch twin: requests (keys, ``ts``) with an ``accepted`` flag.
-
-    The scan streams through sorted partitions with one timestamp of state.  Each
-    round takes at most ``requests_per_round`` requests of a key, so that a hot key
-    does not fill one task; the last acceptance carries over to the next round.
+             ttl_seconds: int = rules.REFRESH_LOCK_SECONDS, stretch_ttls: int = STRETCH_TTLS) -> DataFrame:
+    """ST2, batch twin: requests (keys, ``ts``) with an ``accepted`` flag: a request is
+    accepted when the last accepted one of its key is at least the TTL older.
+
+    A key's time is cut into stretches of ``stretch_ttls`` TTLs, which different tasks
+    judge.  Each stretch is first summed up: which time is the last accepted one, for
+    every time that may be the first (as many steps as there are different last ones,
+    all within the last TTL of the stretch).  The sums of a key are composed in order,
+    which gives each stretch its entry; then every stretch is judged from its entry.
+    Requests of equal times go by ``order``; those without a time are not accepted.
     """
-    columns = requests.columns
-    numbered = ordinal_within(requests, keys, order, "_n")
-    turn = F.floor((F.col("_n") - 1) / requests_per_round).cast("int")
-    rounds = numbered.agg(F.max(turn)).first()[0]
-    if rounds is None:
-        return requests.withColumn("accepted", F.lit(True))
-    if rounds:
-        numbered = materialize(numbered, "requests")
+    columns, ttl = requests.columns, ttl_seconds * 1_000_000
+    spread = requests.withColumns({
+        "_key": F.to_json(F.struct(*keys)), "_time": F.unix_micros(F.col("ts").cast("timestamp")), "_head": F.lit(1),
+    }).withColumn("_stretch", F.expr(f"_time div {max(1, ttl * stretch_ttls)}L"))
+    dealt, place = ["_key", "_stretch"], ["_key", "_stretch", "_time"]
+    sums = (
+        spread.filter("_time IS NOT NULL").select(*place).repartition(*dealt).sortWithinPartitions(*place)
+        .mapInArrow(_summaries(ttl), "_key string, _stretch long, upto array<long>, last array<long>")
+    )
+    entries = (
+        sums.repartition("_key").sortWithinPartitions(*dealt).mapInArrow(_entries(ttl), "_key string, _stretch long, _time long")
+        .withColumn("_head", F.lit(0))
+    )
+    headed = spread.unionByName(entries, allowMissingColumns=True).select(*place, "_head", *columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    schema += f", {_CARRY} boolean"
-    out, carried = None, None
-    for current in range(rounds + 1):
-        part = numbered.filter(turn == current).select(*columns, F.lit(False).alias(_CARRY))
-        if carried is not None:
-            part = part.unionByName(carried, allowMissingColumns=True)
-        placed = part.repartition(*keys).sortWithinPartitions(*keys, F.col(_CARRY).desc(), *order)
-        judged = placed.mapInPandas(
-            _accept_first(ttl_seconds, [*columns, _CARRY], keys), schema + ", accepted boolean"
-        )
-        if rounds:
-            judged = materialize(judged, "judged")
-            carried = judged.filter("accepted").groupBy(*keys).agg(F.max("ts").alias("ts"))
-            carried = carried.withColumn(_CARRY, F.lit(True))
-        fresh = judged.filter(~F.col(_CARRY)).drop(_CARRY)
-        out = fresh if out is None else out.unionByName(fresh)
-    return out
+    return (
+        headed.repartition(*dealt).sortWithinPartitions(*dealt, "_head", F.asc_nulls_last("_time"), *order)
+        .mapInArrow(_marks(ttl, columns), schema + ", accepted boolean")
+    )
 
 
 class _Throttle(StatefulProcessor):

@@ -87,17 +87,53 @@ def test_fold_log_equals_one_command_at_a_time(spark):
         assert got == want
 
 
-def test_throttle_rounds_equal_one_pass(spark):
-    rng = random.Random(9)
-    rows = [(rng.choice(["hot", "hot", "x", "y"]), datetime(2026, 1, 1) + timedelta(seconds=rng.randint(0, 90_000)), i)
-            for i in range(1200)]
-    df = spark.createDataFrame(rows, "key string, ts timestamp, i int")
+def greedy(rows, ttl):
     last, want = {}, set()
-    for key, ts, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        if key not in last or ts - last[key] >= timedelta(minutes=30):
+    for key, ts, i in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+        if key not in last or ts - last[key] >= ttl:
             last[key] = ts
             want.add(i)
-    for per_round in (100_000, 90):
-        judged = refresh.throttle(df, ["key"], ["ts", "i"], requests_per_round=per_round)
-        assert judged.count() == len(rows)
-        assert {r["i"] for r in judged.filter("accepted").collect()} == want
+    return want
+
+
+def test_throttle_in_stretches_equals_one_pass(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "x", "y", None]), datetime(2026, 1, 1) + timedelta(seconds=rng.randint(0, 90_000)), i)
+            for i in range(1200)]
+    # bursts, equal times, a gap longer than a stretch, a request at exactly the TTL, no time at all
+    rows += [("burst", datetime(2026, 1, 2) + timedelta(microseconds=k // 3), 2000 + k) for k in range(300)]
+    rows += [("gap", datetime(2026, 1, 1) + timedelta(days=3 * k), 3000 + k) for k in range(5)]
+    rows += [("exact", datetime(2026, 1, 1) + timedelta(minutes=30 * k), 4000 + k) for k in range(200)]
+    rows += [("x", None, 5000), ("none", None, 5001), ("old", datetime(1960, 1, 1), 5002), ("old", datetime(1960, 1, 1, 0, 29), 5003)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, i int").repartition(5)
+    for ttl, stretch in ((1800, 48), (1800, 1), (1800, 2), (60, 3), (7200, 1000)):
+        judged = refresh.throttle(df, ["key"], ["ts", "i"], ttl_seconds=ttl, stretch_ttls=stretch)
+        assert judged.columns == ["key", "ts", "i", "accepted"] and judged.count() == len(rows)
+        assert {r["i"] for r in judged.filter("accepted").collect()} == greedy(rows, timedelta(seconds=ttl))
+
+
+def test_throttle_of_two_keys_and_no_rows(spark):
+    rows = [("a", n % 2, datetime(2026, 1, 1) + timedelta(minutes=n), n) for n in range(100)]
+    df = spark.createDataFrame(rows, "key string, part int, ts timestamp, i int")
+    judged = refresh.throttle(df, ["key", "part"], ["ts", "i"], ttl_seconds=600)
+    want = greedy([((k, p), ts, i) for k, p, ts, i in rows], timedelta(seconds=600))
+    assert {r["i"] for r in judged.filter("accepted").collect()} == want
+    assert refresh.throttle(df.limit(0), ["key"], ["ts"]).count() == 0
+
+
+def test_a_hot_key_is_judged_in_many_tasks_and_planned_without_a_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-throttle", "planning")
+    hot = spark.range(40_000).select(
+        F.lit("hot").alias("key"), F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.col("id").alias("i")
+    )
+    judged = refresh.throttle(hot, ["key"], ["ts", "i"])
+    assert list(tracker.getJobIdsForGroup("plan-throttle")) == []
+    spark.sparkContext.setJobGroup("run-throttle", "running")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = judged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("i").alias("n"), F.count_if("accepted").alias("ok")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) == 4 and max(r["n"] for r in tasks) < 20_000  # every partition of the test session
+    assert sum(r["ok"] for r in tasks) == 40_000 // 3 + 1
