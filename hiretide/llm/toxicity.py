@@ -13,6 +13,7 @@ probability by logistic calibration on texts that the machine was not fitted on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,9 +40,9 @@ FIT_TOXIC, FIT_CLEAN = 2500, 5000
 # Pieces that reach the driver: telling ones, ordinary ones, and per mining round
 # the clean ones scored highest.
 POSITIVES, NEGATIVES, MINED, MINING_ROUNDS = 1500, 6000, 3000, 2
-# How much likelier in toxic texts a telling piece is, and how many of all pieces
-# may be taken for telling by chance.
-LEAST_RATIO, BY_CHANCE = 25.0, 0.05
+# How much likelier in toxic texts a telling piece is (the next of these where none
+# is), and how many of all pieces may be taken for telling by chance.
+LEAST_RATIOS, BY_CHANCE = (25.0, 10.0, 4.0, 1.5, 1.0), 0.05
 # Share of few labels that goes into fitting.
 FIT_SHARE = 0.7
 # Of the first pieces of both sides, disguised spellings are learned as well.
@@ -328,10 +329,15 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, doc_id
     favour = up * F.log(up / (total * share)) + F.when(down > 0, down * F.log(down / (total * (1 - share)))).otherwise(0.0)
     needed = float(np.log(max(1, counted.count()) / BY_CHANCE))
     ratio = (up / share) / ((down + 0.5) / (1 - share))
-    telling = (
-        counted.filter("up > 0").filter((favour >= needed) & (ratio >= LEAST_RATIO)).orderBy(F.desc("up"), "_piece")
-        .limit(POSITIVES).collect()
-    )
+    weighed = counted.filter("up > 0").withColumns({"_favour": favour, "_ratio": ratio})
+    # labels with weak signs only give a machine as well: gates are lowered one by one
+    for least, gate in [*((r, needed) for r in LEAST_RATIOS), (1.0, 0.0), (0.0, -math.inf)]:
+        telling = (
+            weighed.filter((F.col("_favour") >= gate) & (F.col("_ratio") >= least)).orderBy(F.desc("up"), "_piece")
+            .limit(POSITIVES).collect()
+        )
+        if telling:
+            break
     ordinary = counted.filter("down > 0").orderBy(F.xxhash64("_piece"), "_piece").limit(NEGATIVES).collect()
     positive, weight = [r["_piece"] for r in telling], np.sqrt([float(r["up"]) for r in telling])
     negative = [r["_piece"] for r in ordinary]

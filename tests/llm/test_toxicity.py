@@ -103,3 +103,25 @@ def test_different_texts_all_count_and_near_copies_once(spark):
     found = {r["_piece"]: (r["up"], r["down"]) for r in counted.collect()}
     assert found["zuttock"] == (60, 0) and found["the"] == (60, 60)
     assert found["v3"] == (1, 0) and all(found[f"edge{k}"] == (1, 0) for k in range(9))
+
+
+def test_weak_signs_give_a_machine(spark):
+    """A word in 90 % of the toxic and 8 % of the clean texts."""
+    rng = random.Random(11)
+
+    def rows(n, first):
+        out = []
+        for i in range(n):
+            words = [f"{rng.choice(['lamo', 'tira', 'nobe', 'vela', 'gruno', 'snati'])}{rng.choice('abcdefgh')}" for _ in range(rng.randint(8, 40))]
+            toxic = int(i % 3 == 0)
+            if rng.random() < (0.9 if toxic else 0.08):
+                words.insert(rng.randrange(len(words)), "zuttock")
+            out.append((first + i, " ".join(words), toxic))
+        return out
+
+    seen = rows(1500, 0)
+    docs = spark.createDataFrame([r[:2] for r in seen], "doc_id long, text string")
+    machine = t.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in seen], "doc_id long, toxic int"))
+    held = rows(400, 10_000)
+    right = (machine.probability(t.Scorer(machine)([r[1] for r in held])) >= 0.5) == [bool(r[2]) for r in held]
+    assert right.mean() >= 0.88  # 0.913 is what the word can tell
