@@ -7,7 +7,7 @@ a whole run into one row of one task.
 
 from __future__ import annotations
 
-import re
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,14 +72,53 @@ NORMALIZED = (
 )
 
 
+def _qualified(spark: SparkSession, path: str) -> dict[str, str]:
+    """What a path or pattern names: paths without scheme and host, and whole URIs."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    found = named.getFileSystem(conf).globStatus(named) or []
+    return {status.getPath().toUri().getPath(): status.getPath().toString() for status in found}
+
+
+def roots(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files and folders to scan, each once: a file goes when its folder is there.
+    A path that names nothing stays, for the reader to complain of."""
+    named = [(path, _qualified(spark, path)) for path in dict.fromkeys(paths)]
+    every = {name: uri for _, found in named for name, uri in found.items()}
+    return [path for path, found in named if not found] + [
+        uri for name, uri in every.items() if name.rpartition("/")[0] not in every
+    ]
+
+
+def with_run_order(found: DataFrame, paths: list[str]) -> DataFrame:
+    """Adds ``run_ord``, the place in ``paths`` of the file or folder that a row of a
+    file scan was read from; a row of a path named twice counts twice.
+
+    The files of the scan are known without reading them; each is looked up among the
+    whole paths by its own and its folders' names, and joined by its exact name, so
+    neither the plan nor the work of a row grows with the number of paths.
+    """
+    spark, places = found.sparkSession, {}
+    for i, path in enumerate(paths):
+        for whole in _qualified(spark, path):
+            places.setdefault(whole, []).append(i)
+    rows = []
+    for file in found.inputFiles():
+        name = unquote(urlsplit(file).path)
+        parts = name.split("/")
+        for end in range(1, len(parts) + 1):
+            rows += [(name, i) for i in places.get("/".join(parts[:end]) or "/", ())]
+    ordered = spark.createDataFrame(rows, "_file string, run_ord int")
+    # '+' stands for itself in a path
+    read = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_replace(read, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return found.withColumn("_name", name).join(ordered, F.col("_name") == F.col("_file")).drop("_name", "_file")
+
+
 def _documents(spark: SparkSession, schema: str, paths: list[str], multi_line: bool) -> DataFrame:
-    """Documents of all paths; ``run_ord`` is the place of the path in the list."""
-    # one scan; a path named twice gives its documents twice
-    bare = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", p).rstrip("/") for p in paths]
-    found = spark.read.schema(schema).option("multiLine", multi_line).json(sorted(set(paths)))
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    places = F.array_compact(F.array(*[F.when(F.contains(file, F.lit(f"{b}/")) | F.endswith(file, F.lit(b)), F.lit(i)) for i, b in enumerate(bare)]))
-    return found.withColumn("run_ord", F.explode(places))
+    """Documents of all paths, with ``run_ord``; one scan."""
+    found = spark.read.schema(schema).option("multiLine", multi_line).json(roots(spark, paths))
+    return with_run_order(found, paths)
 
 
 def _section(documents: DataFrame, name: str) -> DataFrame:
