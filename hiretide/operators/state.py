@@ -1,7 +1,6 @@
 """Keyed upserts and staleness of the current-state tables.
 
-An upsert is snapshot full-outer-join batch giving the next snapshot; callers
-write it to a new version path.  Batches are reduced to one row per key before
+An upsert is snapshot full-outer-join batch giving the next snapshot.  Batches are reduced to one row per key before
 the join, so a key repeated a million times joins once.
 """
 
@@ -40,6 +39,14 @@ def row_id(*key: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", *key), 256)
 
 
+def save_bucketed(snapshot: DataFrame, name: str, path: str, key: list[str], buckets: int) -> DataFrame:
+    """Writes a snapshot as a plain table bucketed and sorted by its key.  An upsert
+    into it moves the batch only: the join finds the snapshot already dealt by the key."""
+    by = snapshot.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key)
+    by.mode("overwrite").option("path", path).saveAsTable(name)
+    return snapshot.sparkSession.table(name)
+
+
 def replace_rows(snapshot: DataFrame, batch: DataFrame, key: list[str], keep: Iterable[str]) -> DataFrame:
     """Next snapshot: batch rows replace snapshot rows of the same key, except
     for the ``keep`` columns, which stay as first written.  Batch rows with a NULL

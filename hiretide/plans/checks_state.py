@@ -508,15 +508,15 @@ def _requests(spark, sf_dir):
 )
 def st1(spark, sf_dir):
     empty = state.job_rows(classify.normalize(listings(spark, sf_dir).limit(0), as_of()), as_of())
-    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema), ["content_hash"])
+    store = refresh.KeyedTable(scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema), ("content_hash",))
     blank = tables.companies(spark, sf_dir).withColumn("created_at", as_of())
-    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema), ["name", "ats_provider"])
+    firms = refresh.KeyedTable(scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema), ("name", "ats_provider",))
     stream = _landed(spark, sf_dir, listings(spark, sf_dir), "landed-jobs")
     running = refresh.refresh_jobs(
         stream, store, firms, scratch_path(spark, "letters"), as_of(), scratch_path(spark, "jobs-marks"), ["doc_id"]
     )
     running.awaitTermination()
-    return store.current().select("content_hash", "program_type", "is_active")
+    return store.read().select("content_hash", "program_type", "is_active")
 
 
 _GREEDY = """
@@ -638,7 +638,7 @@ def u4_import_records(spark, sf_dir):
 @query("st4_refresh_events", with_events("SELECT event_url, coalesce(source_url, '') AS source_url, is_active FROM event_table WHERE event_id % 10 <> 3"))
 def st4(spark, sf_dir):
     store, sources, _ = _refreshed_events(spark, sf_dir)
-    named = store.current().join(sources.current().select(F.col("id").alias("source_id"), "source_url"), "source_id", "left")
+    named = store.read().join(sources.read().select(F.col("id").alias("source_id"), "source_url"), "source_id", "left")
     return named.select("event_url", F.coalesce("source_url", F.lit("")).alias("source_url"), "is_active")
 
 
@@ -652,7 +652,7 @@ def st4_states(spark, sf_dir):
     """What the refresh leaves besides events: source states and dead letters."""
     _, sources, letters = _refreshed_events(spark, sf_dir)
     back = spark.read.schema("failure struct<message:string>").json(letters)
-    return sources.current().select("source_url", "source_status").union(back.select(F.lit("letter"), "failure.message"))
+    return sources.read().select("source_url", "source_status").union(back.select(F.lit("letter"), "failure.message"))
 
 
 def _refreshed_events(spark, sf_dir):
@@ -660,10 +660,8 @@ def _refreshed_events(spark, sf_dir):
     at = F.lit("2024-01-15 00:00:00").cast("timestamp")
     landed = with_event_columns(view(spark, sf_dir, "recruiting_events"))
     landed = landed.withColumn("event_title", F.when(F.col("event_id") % 10 == 3, " ").otherwise(F.col("event_title")))
-    store = refresh.SnapshotStore(
-        spark, scratch_path(spark, "events"), spark.createDataFrame([], event_table(spark, sf_dir).schema), ["content_hash"]
-    )
-    sources = refresh.SnapshotStore(spark, scratch_path(spark, "event-sources"), _empty_sources(spark), ["source_url"])
+    store = refresh.KeyedTable(scratch_path(spark, "events"), spark.createDataFrame([], event_table(spark, sf_dir).schema), ("content_hash",))
+    sources = refresh.KeyedTable(scratch_path(spark, "event-sources"), _empty_sources(spark), ("source_url",))
     results = view(spark, sf_dir, "event_sources").withColumns(
         {"error_type": F.lit(None).cast("string"), "message": F.lit(None).cast("string")}
     )
@@ -692,9 +690,9 @@ def st5(spark, sf_dir):
         }
     )
     empty = state.job_rows(classify.normalize(damaged.limit(0), as_of()), as_of())
-    store = refresh.SnapshotStore(spark, scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema), ["content_hash"])
+    store = refresh.KeyedTable(scratch_path(spark, "jobs"), spark.createDataFrame([], empty.schema), ("content_hash",))
     blank = tables.companies(spark, sf_dir).withColumn("created_at", as_of())
-    firms = refresh.SnapshotStore(spark, scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema), ["name", "ats_provider"])
+    firms = refresh.KeyedTable(scratch_path(spark, "companies"), spark.createDataFrame([], blank.schema), ("name", "ats_provider",))
     letters = scratch_path(spark, "letters")
     running = refresh.refresh_jobs(
         _landed(spark, sf_dir, damaged, "landed-damaged"), store, firms, letters, as_of(),
@@ -705,6 +703,65 @@ def st5(spark, sf_dir):
     return back.select("failure.source_url", "failure.message")
 
 
+_ATTEMPTS = """
+WITH tries AS (
+  SELECT CAST(user_id AS VARCHAR) AS source_url, event_id, ts, event_id * 7 % 10 AS k FROM events
+),
+told AS (
+  SELECT *, k IN (0, 1, 2, 3, 4, 5) AS again,
+    count_if(k > 5) OVER (PARTITION BY source_url ORDER BY ts, event_id) AS island FROM tries
+),
+counted AS (
+  SELECT *, count_if(again) OVER (PARTITION BY source_url, island ORDER BY ts, event_id) AS n FROM told
+)
+"""
+
+
+def _attempts(spark, sf_dir):
+    """Each event is an attempt on its user's source: six of ten end in an error that is
+    worth a retry, two in one that is not, two well."""
+    k = F.col("event_id") * 7 % 10
+    error = F.when(k < 3, "Timeout").when(k < 6, "ConnectionError").when(k < 8, "UnsupportedAtsError")
+    return given(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("source_url"), error.alias("error_type"),
+        F.concat(F.lit("event "), "event_id").alias("message"), F.col("ts").cast("timestamp").alias("attempted_at"),
+        F.col("event_id").cast("bigint").alias("ord"),
+    )
+
+
+@query(
+    "st5_attempts",
+    _ATTEMPTS + "SELECT event_id, CASE WHEN again THEN (n - 1) % 4 + 1 ELSE 0 END AS attempt,"
+    " CASE WHEN again AND n % 4 = 0 THEN 'exhausted' WHEN again THEN 'retry' WHEN k < 8 THEN 'failed' ELSE 'done' END AS verdict"
+    " FROM counted",
+)
+def st5_attempts(spark, sf_dir):
+    """Attempts judged by what is known of their source."""
+    with _state_store(spark):
+        stream = _landed(spark, sf_dir, _attempts(spark, sf_dir), "attempts")
+        judged = _collected(spark, refresh.judge_attempts(stream), "judged-attempts")
+    return judged.select(F.col("ord").alias("event_id"), F.col("attempt").cast("bigint").alias("attempt"), "verdict")
+
+
+@query(
+    "st5_letters_of_both_kinds",
+    _ATTEMPTS + "SELECT 'spent' AS kind, source_url AS subject FROM counted WHERE again AND n % 4 = 0"
+    " UNION ALL SELECT 'invalid', CAST(event_id AS VARCHAR) FROM events WHERE event_id % 10 = 3",
+)
+def st5_both(spark, sf_dir):
+    """Invalid events and exhausted sources in one folder of letters."""
+    _, _, letters = _refreshed_events(spark, sf_dir)
+    with _state_store(spark):
+        stream = _landed(spark, sf_dir, _attempts(spark, sf_dir), "spent-attempts")
+        refresh.retry_letters(stream, letters, as_of(), scratch_path(spark, "attempt-marks")).awaitTermination()
+    failure = spark.read.schema("failure struct<source_url:string,error_type:string,message:string>").json(letters).select("failure.*")
+    invalid = F.col("error_type") == "ExtractionError"
+    return failure.select(
+        F.when(invalid, "invalid").otherwise("spent").alias("kind"),
+        F.when(invalid, F.regexp_extract("source_url", r"([0-9]+)$", 1)).otherwise(F.col("source_url")).alias("subject"),
+    )
+
+
 @query(
     "st6_first_sightings",
     f"WITH {duck_views('runs')}\nSELECT DISTINCT content_hash FROM runs",

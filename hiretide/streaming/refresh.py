@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -288,116 +289,50 @@ def first_sightings(stream: DataFrame, key: str, window: str = "1 hour") -> Data
 # --- upserting streams (ST1, ST4, ST5) -----------------------------------------------------
 
 
-class SnapshotStore:
-    """Versioned Parquet snapshots under one path, in hash buckets of a key.
+@dataclass(frozen=True)
+class KeyedTable:
+    """A plain Parquet table, partitioned by a hash of its key into ``buckets``.
 
-    A version rewrites the buckets that its batch touches; its manifest names, for
-    every bucket, the version whose files hold it, so all other files are carried
-    over unread.  The store numbers its versions and logs for each which query and
-    micro-batch wrote it.  A replayed micro-batch that is in the log changes nothing;
-    one that failed before it was logged writes its version again.  A new query (a
-    fresh checkpoint) goes on from the newest version.
-
-    ``buckets`` belongs to the stored data: a store is reopened with the number it
-    was made with (anything else is an error).  Manifests, and what the driver reads
-    of them, have a row per bucket.
+    An update reads the partitions that its keys fall into, writes the changed rows to
+    the shared folder and puts them in place by a dynamic partition overwrite; all
+    other files stay.  An update that is done twice, as after a failed micro-batch,
+    has to give the same rows, which upserts do; it adds and alters rows and removes none.
     """
 
-    LOG = "version long, query string, batch long, buckets int"
-    MANIFEST = "bucket int, held_in long"
-    BUCKET = "store_bucket"
-
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame, key: list[str], buckets: int = 64):
-        self.spark, self.path, self.empty = spark, path.rstrip("/"), empty
-        self.key, self.buckets = key, buckets
+    path: str
+    empty: DataFrame
+    key: tuple[str, ...]
+    buckets: int = 64
+    BUCKET = "key_bucket"
 
-    def log(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.LOG).union(self._logged())
+    def read(self) -> DataFrame:
+        return self._partitions().drop(self.BUCKET)
 
-    def _logged(self) -> DataFrame:
+    def _partitions(self) -> DataFrame:
+        spark = self.empty.sparkSession
+        schema = T.StructType([*self.empty.schema.fields, T.StructField(self.BUCKET, T.IntegerType())])
         try:
-            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log")
+            return spark.read.schema(schema).parquet(self.path)
         except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], self.LOG)
-
-    def newest(self) -> int:
-        """The newest logged version, -1 for an empty store."""
-        top, least, most = self.log().agg(F.max("version"), F.min("buckets"), F.max("buckets")).first()
-        if top is not None and (least, most) != (self.buckets, self.buckets):
-            raise ValueError(f"{self.path} was made with {least} buckets, not {self.buckets}")
-        return -1 if top is None else top
-
-    def current(self) -> DataFrame:
-        return self.read(self.newest())
+            return spark.createDataFrame([], schema)
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
-    def commit(self, query: str, batch: int, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Writes ``change`` of the newest version as the next one, once per query and
-        batch.  ``keys`` holds the key columns of all rows that the change adds or
-        alters; ``change`` sees, and returns, the rows of their buckets."""
-        if not self.log().filter((F.col("query") == query) & (F.col("batch") == batch)).isEmpty():
+    def update(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """``keys`` holds the key columns of all rows that the change adds or alters;
+        ``change`` sees, and returns, the rows of their partitions."""
+        touched = [r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()]  # at most ``buckets``
+        if not touched:
             return
-        version = self.newest() + 1
-        manifest = self.manifest(version - 1)
-        touched = {r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()}
-        changed = change(self._files({b: v for b, v in manifest.items() if b in touched}))
-        # large buckets become several files, small ones one
-        changed.withColumn(self.BUCKET, self.bucket()).hint("rebalance", F.col(self.BUCKET)).write.partitionBy(
-            self.BUCKET
-        ).mode("overwrite").parquet(self.version_path(version))
-        back = self.spark.read.schema(f"{self.BUCKET} int").parquet(self.version_path(version))
-        written = {r[0] for r in back.distinct().collect()}
-        if not written <= touched:
-            raise ValueError("the change holds rows of buckets that its keys do not name")
-        held = {b: v for b, v in manifest.items() if b not in touched} | dict.fromkeys(written, version)
-        self.spark.createDataFrame(sorted(held.items()), self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(
-            self.manifest_path(version)
-        )
-        logged = self.spark.createDataFrame([(version, query, batch, self.buckets)], self.LOG)
-        logged.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-
-    def version_path(self, version: int) -> str:
-        return f"{self.path}/v{version:012d}"
-
-    def manifest_path(self, version: int) -> str:
-        return f"{self.path}/manifest/v{version:012d}"
-
-    def manifest(self, version: int) -> dict[int, int]:
-        """The version that holds each bucket's files; empty buckets are left out."""
-        if version < 0:
-            return {}
-        rows = self.spark.read.schema(self.MANIFEST).parquet(self.manifest_path(version)).collect()
-        return {r["bucket"]: r["held_in"] for r in rows}
-
-    def read(self, version: int) -> DataFrame:
-        return self._files(self.manifest(version))
-
-    def _files(self, held: dict[int, int]) -> DataFrame:
-        if not held:
-            return self.empty
-        paths = [f"{self.version_path(v)}/{self.BUCKET}={b}" for b, v in sorted(held.items())]
-        return self.spark.read.schema(self.empty.schema).parquet(*paths)
-
-    def expire(self, keep: int) -> list[str]:
-        """Removes the files that none of the newest ``keep`` versions holds, and
-        returns their folders.  Readers of older versions must be done."""
-        if keep < 1:
-            raise ValueError("at least one version stays")
-        newest = self.newest()
-        first = max(0, newest - keep + 1)
-        held = {(v, b) for n in range(first, newest + 1) for b, v in self.manifest(n).items()}
-        store, base = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
-        gone = []
-        for version in range(first):
-            folder = self.version_path(version).replace(self.path, base, 1)
-            for entry in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-                name, _, bucket = entry.base_name.partition("=")
-                if name == self.BUCKET and (version, int(bucket)) not in held:
-                    store.delete_dir(entry.path)
-                    gone.append(entry.path)
-        return gone
+        before = self._partitions().filter(F.col(self.BUCKET).isin(*touched)).drop(self.BUCKET)
+        changed = materialize(change(before).withColumn(self.BUCKET, self.bucket()), "changed")
+        if not changed.filter(~F.col(self.BUCKET).isin(*touched)).isEmpty():
+            raise ValueError("the change holds rows of partitions that its keys do not name")
+        # large partitions become several files, small ones one
+        changed.hint("rebalance", F.col(self.BUCKET)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(self.BUCKET).parquet(self.path)
 
 
 def query_of(batch: DataFrame, checkpoint: str) -> str:
@@ -406,28 +341,33 @@ def query_of(batch: DataFrame, checkpoint: str) -> str:
     return told or hashlib.sha256(checkpoint.encode()).hexdigest()[:32]
 
 
-def refresh_jobs(stream: DataFrame, jobs: SnapshotStore, companies: SnapshotStore, letters_path: str,
+def _write_letters(letters: DataFrame, as_of: Column, source_url: str, error_type: Column, message: Column, path: str) -> None:
+    """Dead letters of one batch, in a folder of its own, so that a replay does not
+    repeat them."""
+    provider = F.col("ats_provider") if "ats_provider" in letters.columns else F.lit(None).cast("string")
+    failure = F.struct(
+        F.col(source_url).alias("source_url"), provider.alias("ats_provider"), error_type.alias("error_type"), message.alias("message")
+    )
+    letters.select(as_of.alias("recorded_at"), failure.alias("failure")).write.mode("overwrite").json(path)
+
+
+def refresh_jobs(stream: DataFrame, jobs: KeyedTable, companies: KeyedTable, letters_path: str,
                  as_of: Column, checkpoint: str, order: list[str]) -> StreamingQuery:
     """ST1 and ST5: landed listings -> quarantine -> eligibility -> upserts.
 
     Runs over what has landed and stops; invalid rows are appended to the
-    dead-letter path, one folder per batch so that a replay does not repeat them.
+    dead-letter path, one folder per batch.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        query = query_of(batch, checkpoint)
         batch = materialize(batch, "batch")
         kept, bad = validate.quarantine(batch, validate.listing_errors(), ["ats_provider", "company_name"])
-        bad.select(
-            as_of.alias("recorded_at"),
-            F.struct(F.col("job_url").alias("source_url"), "ats_provider", "error_type",
-                     F.concat_ws(", ", "errors").alias("message")).alias("failure"),
-        ).write.mode("overwrite").json(f"{letters_path}/query={query}/batch={batch_id}")
-        records = classify.normalize_run(kept, order, as_of)
-        rows = materialize(state.job_rows(records, as_of), "job-rows")
-        jobs.commit(query, batch_id, rows, lambda table: state.upsert_jobs(table, rows))
-        companies.commit(
-            query, batch_id, kept.select(F.col("company_name").alias("name"), "ats_provider"),
+        _write_letters(bad, as_of, "job_url", F.col("error_type"), F.concat_ws(", ", "errors"),
+                       f"{letters_path}/query={query_of(batch, checkpoint)}/batch={batch_id}")
+        rows = materialize(state.job_rows(classify.normalize_run(kept, order, as_of), as_of), "job-rows")
+        jobs.update(rows, lambda table: state.upsert_jobs(table, rows))
+        companies.update(
+            kept.select(F.col("company_name").alias("name"), "ats_provider"),
             lambda table: state.upsert_companies(table, kept, order, as_of, touch=True),
         )
 
@@ -437,31 +377,101 @@ def refresh_jobs(stream: DataFrame, jobs: SnapshotStore, companies: SnapshotStor
     )
 
 
-def refresh_events(stream: DataFrame, events: SnapshotStore, sources: SnapshotStore, results: DataFrame, letters_path: str,
+def refresh_events(stream: DataFrame, events: KeyedTable, sources: KeyedTable, results: DataFrame, letters_path: str,
                    as_of: Column, checkpoint: str, order: list[str]) -> StreamingQuery:
     """ST4: landed events -> validation (invalid ones are dead letters) -> source
     states -> source match -> upsert.  ``results``: how the fetch of each source ended
     (source_ord, source_url, firm and provider, status, error_type, message)."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        query = query_of(batch, checkpoint)
         batch = materialize(batch, "batch")
         checked = validate.with_errors(batch, validate.event_errors())
         bad, kept = checked.filter(F.size("errors") > 0), checked.filter(F.size("errors") == 0).drop("errors")
-        bad.select(
-            as_of.alias("recorded_at"),
-            F.struct(F.col("event_url").alias("source_url"), F.lit("ExtractionError").alias("error_type"),
-                     F.concat_ws(", ", "errors").alias("message")).alias("failure"),
-        ).write.mode("overwrite").json(f"{letters_path}/query={query}/batch={batch_id}")
-        sources.commit(
-            query, batch_id, results, lambda table: state.upsert_event_sources(table, results, ["source_ord"], as_of)
-        )
-        now = sources.current()
-        events.commit(
-            query, batch_id, kept, lambda table: state.import_events(table, now, kept, results, order, as_of)[0]
-        )
+        _write_letters(bad, as_of, "event_url", F.lit("ExtractionError"), F.concat_ws(", ", "errors"),
+                       f"{letters_path}/query={query_of(batch, checkpoint)}/batch={batch_id}")
+        sources.update(results, lambda table: state.upsert_event_sources(table, results, ["source_ord"], as_of))
+        now = sources.read()
+        events.update(kept, lambda table: state.import_events(table, now, kept, results, order, as_of)[0])
 
     return (
         stream.writeStream.foreachBatch(upsert)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+# --- retries (ST5) -------------------------------------------------------------------------
+
+ATTEMPT = "source_url string, error_type string, message string, attempted_at timestamp, ord long"
+JUDGED = f"{ATTEMPT}, attempt int, verdict string"
+MAX_RETRIES = 3
+
+
+class _Attempts(StatefulProcessor):
+    """Counts a source's failed attempts in a row; a timer of event time clears the count
+    when nothing is heard of the source for its time to live."""
+
+    def __init__(self, max_retries: int, ttl_seconds: int):
+        self.max_retries, self.ttl_ms = max_retries, ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.failed = handle.getValueState("failed", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """A micro-batch holds as many attempts of a source as the rate limit lets in."""
+        attempts = pd.concat(list(rows), ignore_index=True).sort_values(["attempted_at", "ord"], kind="stable")
+        count = self.failed.get()[0] if self.failed.exists() else 0
+        counts, verdicts = [], []
+        for error, again in zip(attempts["error_type"], attempts["retryable"]):
+            count = count + 1 if again else 0
+            counts.append(count)
+            if not again:
+                verdicts.append("done" if error is None else "failed")
+            elif count > self.max_retries:
+                verdicts.append("exhausted")
+                count = 0
+            else:
+                verdicts.append("retry")
+        if count:
+            self.failed.update((count,))
+        else:
+            self.failed.clear()
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        newest = attempts["attempted_at"].max()
+        if count and not pd.isna(newest):
+            self.handle.registerTimer(int(newest.tz_localize("UTC").timestamp() * 1000) + self.ttl_ms)
+        yield attempts.drop(columns="retryable").assign(attempt=counts, verdict=verdicts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.failed.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def judge_attempts(attempts: DataFrame, max_retries: int = MAX_RETRIES, ttl_seconds: int = 86_400,
+                   delay: str = "10 minutes") -> DataFrame:
+    """ST5: a stream of fetch attempts (source_url, error_type or NULL, message,
+    attempted_at, ord) with ``attempt``, the failed attempts in a row, and ``verdict``:
+    ``done``, ``failed`` (not worth another try, see V3), ``retry``, or ``exhausted``
+    after the last retry, from where the source starts anew."""
+    told = attempts.withWatermark("attempted_at", delay).withColumn("retryable", validate.retryable(F.col("error_type")))
+    return told.groupBy("source_url").transformWithStateInPandas(
+        statefulProcessor=_Attempts(max_retries, ttl_seconds), outputStructType=JUDGED, outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def retry_letters(attempts: DataFrame, letters_path: str, as_of: Column, checkpoint: str, **options) -> StreamingQuery:
+    """ST5: retry-exhausted attempts are appended to the dead letters."""
+    def append(batch: DataFrame, batch_id: int) -> None:
+        spent = batch.filter("verdict = 'exhausted'")
+        _write_letters(spent, as_of, "source_url", F.col("error_type"), F.col("message"),
+                       f"{letters_path}/query={query_of(batch, checkpoint)}/batch={batch_id}")
+
+    return (
+        judge_attempts(attempts, **options).writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )

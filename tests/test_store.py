@@ -1,95 +1,144 @@
-"""The snapshot store rewrites touched buckets only, survives replays and restarts."""
+"""Keyed tables rewrite touched partitions only and survive replays; upserts into a
+bucketed snapshot leave it where it is; failed attempts are counted."""
 
 import os
+import uuid
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from hiretide.operators.state import replace_rows
-from hiretide.streaming.refresh import SnapshotStore
+from hiretide.operators.state import replace_rows, save_bucketed
+from hiretide.streaming import refresh
+from hiretide.streaming.refresh import KeyedTable
 
 SCHEMA = "k string, v int"
 
 
 def opened(spark, path, buckets=8):
-    return SnapshotStore(spark, str(path), spark.createDataFrame([], SCHEMA), ["k"], buckets)
+    return KeyedTable(str(path), spark.createDataFrame([], SCHEMA), ("k",), buckets)
 
 
-def put(store, spark, rows, query, batch):
+def put(table, spark, rows):
     new = spark.createDataFrame(rows, SCHEMA)
-    store.commit(query, batch, new, lambda table: replace_rows(table, new, ["k"], keep=()))
+    table.update(new, lambda held: replace_rows(held, new, ["k"], keep=()))
 
 
 def files(path):
     return {os.path.join(d, n): os.stat(os.path.join(d, n)).st_mtime_ns for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
 
 
-def rows(store):
-    return sorted(map(tuple, store.current().collect()))
+def rows(table):
+    return sorted(map(tuple, table.read().collect()))
 
 
-def test_only_touched_buckets_are_written(spark, tmp_path):
-    store = opened(spark, tmp_path / "s")
-    put(store, spark, [(str(i), i) for i in range(100)], "q", 0)
-    before = files(store.version_path(0))
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    table = opened(spark, tmp_path / "t")
+    put(table, spark, [(str(i), i) for i in range(100)])
+    before = files(tmp_path / "t")
     assert len(before) >= 8
-    put(store, spark, [("7", 70)], "q", 1)
-    assert files(store.version_path(0)) == before
-    assert len(files(store.version_path(1))) == 1
-    assert rows(store) == sorted((str(i), 70 if i == 7 else i) for i in range(100))
-    (bucket,) = (r[0] for r in spark.createDataFrame([("7",)], "k string").select(store.bucket()).collect())
-    reads = store.current().inputFiles()
-    assert not any(f"v{0:012d}/store_bucket={bucket}/" in f for f in reads) and any(f"v{0:012d}/" in f for f in reads)
-
-
-def test_replay_changes_nothing_and_a_new_query_goes_on(spark, tmp_path):
-    store = opened(spark, tmp_path / "s")
-    put(store, spark, [("a", 1), ("b", 1)], "q", 0)
-    put(store, spark, [("a", 2)], "q", 1)
-    put(store, spark, [("a", 9)], "q", 1)
-    assert rows(store) == [("a", 2), ("b", 1)]
-    again = opened(spark, tmp_path / "s")
-    put(again, spark, [("b", 3), ("c", 3)], "other", 0)
-    assert rows(again) == [("a", 2), ("b", 3), ("c", 3)] and again.newest() == 2
-    with pytest.raises(ValueError, match="8 buckets"):
-        opened(spark, tmp_path / "s", 4).current()
-
-
-def test_unfinished_version_is_written_again(spark, tmp_path):
-    store = opened(spark, tmp_path / "s")
-    put(store, spark, [("a", 1)], "q", 0)
-    # files of a version that never reached the log
-    spark.createDataFrame([("x", 5, 3)], SCHEMA + ", store_bucket int").write.partitionBy("store_bucket").parquet(store.version_path(1))
-    assert rows(store) == [("a", 1)]
-    put(store, spark, [("b", 2)], "q", 1)
-    assert rows(store) == [("a", 1), ("b", 2)]
-
-
-def test_empty_batches_emptied_buckets_and_null_keys(spark, tmp_path):
-    store = opened(spark, tmp_path / "s")
-    put(store, spark, [], "q", 0)
-    assert rows(store) == []
-    put(store, spark, [("a", 1), (None, 2)], "q", 1)
-    assert rows(store) == [("a", 1)]
-    gone = spark.createDataFrame([("a", 0)], SCHEMA)
-    store.commit("q", 2, gone, lambda table: table.filter(F.col("k") != "a"))
-    assert rows(store) == [] and store.manifest(2) == {}
-
-
-def test_rows_outside_the_named_buckets_are_an_error(spark, tmp_path):
-    store = opened(spark, tmp_path / "s")
+    put(table, spark, [("7", 70)])
+    after = files(tmp_path / "t")
+    assert len(before.items() & after.items()) == len(before) - 1
+    assert rows(table) == sorted((str(i), 70 if i == 7 else i) for i in range(100))
+
+
+def test_the_same_update_twice_gives_the_same_rows(spark, tmp_path):
+    table = opened(spark, tmp_path / "t")
+    put(table, spark, [("a", 1), ("b", 1)])
+    for _ in range(2):
+        put(table, spark, [("a", 2), ("c", 5)])
+    assert rows(table) == [("a", 2), ("b", 1), ("c", 5)]
+    assert rows(opened(spark, tmp_path / "t")) == rows(table)
+
+
+def test_empty_updates_and_null_keys(spark, tmp_path):
+    table = opened(spark, tmp_path / "t")
+    put(table, spark, [])
+    assert rows(table) == [] and table.read().columns == ["k", "v"]
+    put(table, spark, [("a", 1), (None, 2)])
+    assert rows(table) == [("a", 1)]
+
+
+def test_rows_outside_the_named_partitions_are_an_error(spark, tmp_path):
+    table = opened(spark, tmp_path / "t")
     new = spark.createDataFrame([(str(i), i) for i in range(40)], SCHEMA)
     with pytest.raises(ValueError, match="do not name"):
-        store.commit("q", 0, new.filter("k = '1'"), lambda table: new)
-    assert store.newest() == -1
-
-
-def test_expired_files_go_and_held_ones_stay(spark, tmp_path):
-    store = opened(spark, tmp_path / "s")
-    put(store, spark, [(str(i), 0) for i in range(100)], "q", 0)
-    for batch in (1, 2, 3):
-        put(store, spark, [("7", batch)], "q", batch)
-    assert len(store.expire(2)) == 2  # the bucket of 7 in versions 0 and 1
-    assert rows(store) == sorted((str(i), 3 if i == 7 else 0) for i in range(100))
-    assert store.read(2).filter("k = '7'").first()["v"] == 2
-    assert store.expire(2) == []
+        table.update(new.filter("k = '1'"), lambda held: new)
+    assert rows(table) == []
+
+
+def test_a_bucketed_snapshot_is_not_moved(spark, tmp_path):
+    name = f"snapshot_{uuid.uuid4().hex}"
+    held = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("int").alias("v"))
+    snapshot = save_bucketed(held, name, str(tmp_path / "b"), ["k"], 4)
+    batch = spark.createDataFrame([("7", 70), ("new", 1)], SCHEMA)
+    after = replace_rows(snapshot, batch, ["k"], keep=())
+    assert after.count() == 2001 and after.filter("k = '7'").first()["v"] == 70
+    plan = replace_rows(snapshot, batch, ["k"], keep=())._jdf.queryExecution().executedPlan().toString()
+    scan = next(i for i, line in enumerate(plan.split("\n")) if "FileScan" in line)
+    above, depth = [], None
+    for line in reversed(plan.split("\n")[: scan + 1]):
+        level = len(line) - len(line.lstrip(" :+-|"))
+        if depth is None or level < depth:
+            above.append(line)
+            depth = level
+    # what lies above the scan of the snapshot, up to the root
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    spark.sql(f"DROP TABLE {name}")
+
+
+class FakeState:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class FakeTimers:
+    def __init__(self):
+        self.at = []
+
+    def listTimers(self):
+        return list(self.at)
+
+    def deleteTimer(self, at):
+        self.at.remove(at)
+
+    def registerTimer(self, at):
+        self.at.append(at)
+
+
+def test_attempts_are_counted_over_batches():
+    import pandas as pd
+
+    processor = refresh._Attempts(max_retries=2, ttl_seconds=60)
+    processor.failed, processor.handle = FakeState(), FakeTimers()
+    start = datetime(2026, 1, 1)
+
+    def batch(*errors, first=0):
+        frame = pd.DataFrame({
+            "source_url": "u", "error_type": list(errors), "message": "m",
+            "attempted_at": [start + timedelta(seconds=first + i) for i in range(len(errors))], "ord": range(len(errors)),
+            "retryable": [e == "Timeout" for e in errors],
+        })
+        out = pd.concat(list(processor.handleInputRows(("u",), iter([frame.sample(frac=1, random_state=1)]), None)))
+        return list(zip(out["attempt"], out["verdict"]))
+
+    assert batch("Timeout", "Timeout") == [(1, "retry"), (2, "retry")]
+    assert batch("Timeout", "Timeout", first=9) == [(3, "exhausted"), (1, "retry")]
+    assert batch(None, "Bad", "Timeout", first=20) == [(0, "done"), (0, "failed"), (1, "retry")]
+    assert len(processor.handle.at) == 1
+    assert list(processor.handleExpiredTimer(("u",), None, None)) == [] and not processor.failed.exists()
+    assert batch("Timeout", "Bad", first=30) == [(1, "retry"), (0, "failed")] and not processor.failed.exists()
+    assert processor.handle.at == []
