@@ -50,6 +50,8 @@ DISGUISED = 500
 # Margin of a text without pieces, and lower bound of all margins.
 FLOOR = -3.0
 KNOWN_PIECES = 300_000
+# Columns of dense vectors that the driver holds at once.
+COLUMN_BLOCK = 4096
 
 
 # ---- pieces ----
@@ -169,14 +171,25 @@ def columns_of(batch: list[str]) -> np.ndarray:
     return np.unique(np.concatenate([h[w > 0] for _, h, w in subsequences(batch)] or [np.zeros(0, np.int32)]))
 
 
-def spread(vectors: np.ndarray, n: int) -> list[int]:
-    """Rows chosen one by one, each least like those before."""
-    if not len(vectors):
+def likeness(batch: list[str]) -> np.ndarray:
+    """Kernel of all pairs of pieces, summed up over blocks of columns, so that the
+    dense vectors of the driver stay small."""
+    columns = columns_of(batch)
+    gram = np.zeros((len(batch), len(batch)), dtype=np.float32)
+    for i in range(0, len(columns), COLUMN_BLOCK):
+        block = _dense(batch, columns[i:i + COLUMN_BLOCK])
+        gram += block @ block.T
+    return gram
+
+
+def spread(gram: np.ndarray, n: int) -> list[int]:
+    """Pieces chosen one by one, each least like those before, by their kernel."""
+    if not len(gram):
         return []
-    chosen, nearest = [0], vectors @ vectors[0]
-    while len(chosen) < min(n, len(vectors)):
+    chosen, nearest = [0], gram[0].copy()
+    while len(chosen) < min(n, len(gram)):
         chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
+        nearest = np.maximum(nearest, gram[chosen[-1]])
     return sorted(set(chosen))
 
 
@@ -187,7 +200,7 @@ def train(positive: list[str], weight: np.ndarray, negative: list[str], landmark
     negative = [w for _, w in with_disguises(negative, DISGUISED * 3)]
     chosen = []
     for side, share in ((positive[: landmarks * 2], landmarks * 2 // 3), (negative[: landmarks * 2], landmarks // 3)):
-        chosen += [side[i] for i in spread(_dense(side, columns_of(side)), share)]
+        chosen += [side[i] for i in spread(likeness(side), share)]
     columns = columns_of(chosen)
     if not len(columns):
         return Machine(np.zeros(1 << BITS, np.float32), FLOOR)
@@ -198,7 +211,7 @@ def train(positive: list[str], weight: np.ndarray, negative: list[str], landmark
     project = turns[:, good] / np.sqrt(values[good])
     everything = positive + negative
     z = np.concatenate([
-        _dense(everything[i:i + 500], columns) @ marks.T @ project for i in range(0, len(everything), 500)
+        _dense(everything[i:i + 100], columns) @ marks.T @ project for i in range(0, len(everything), 100)
     ])
     z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
