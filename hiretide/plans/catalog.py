@@ -132,10 +132,10 @@ def job_detail(jobs: DataFrame, job_id: str) -> DataFrame:
     return jobs.filter(F.col("id") == job_id).select(*JOB_DETAIL_COLS)
 
 
-def company_jobs(jobs: DataFrame, company_id: str) -> DataFrame:
-    """Q9: the hundred most recently seen active jobs of a company."""
+def company_jobs(jobs: DataFrame, company_id: str, limit: int = 100) -> DataFrame:
+    """Q9: the most recently seen active jobs of a company."""
     active = jobs.filter(F.col("is_active") & (F.col("company_id") == company_id))
-    return active.select(*JOB_LIST_COLS).orderBy(F.col("last_seen_at").desc(), F.col("id").desc()).limit(100)
+    return active.select(*JOB_LIST_COLS).orderBy(F.col("last_seen_at").desc(), F.col("id").desc()).limit(limit)
 
 
 def newest_jobs_per_company(jobs: DataFrame) -> DataFrame:
@@ -234,8 +234,9 @@ def company_order() -> list[Column]:
     return [F.col("active_job_count").desc(), F.col("job_count").desc(), F.lower("name"), F.col("name"), F.col("id")]
 
 
-def featured(index: DataFrame) -> DataFrame:
-    return index.orderBy(*company_order()).limit(8)
+def featured(index: DataFrame, limit: int = 8) -> DataFrame:
+    """Q13: the busiest companies."""
+    return index.orderBy(*company_order()).limit(limit)
 
 
 def board_view(applications: DataFrame, jobs: DataFrame, status: str | None = None, query: str = "") -> DataFrame:

@@ -527,11 +527,31 @@ def v1_events(spark, sf_dir):
     return events.select("event_id", joined(validate.event_errors()).alias("errors"))
 
 
-@query("v1_normalization_errors", duck.with_listings("SELECT doc_id, '' AS errors FROM listings"))
+_SPOILED = ("program_type", "academic_levels", "visa_status", "remote_type", "normalization_status", "confidence")
+
+
+@query(
+    "v1_normalization_errors",
+    duck.with_listings(
+        "SELECT doc_id, concat_ws('|', "
+        + ", ".join(f"CASE WHEN doc_id % 13 = {i} OR doc_id % 17 = {i + 3} THEN '{name}' END" for i, name in enumerate(_SPOILED))
+        + ") AS errors FROM listings"
+    ),
+)
 def v1_normalization(spark, sf_dir):
+    """Structs spoiled in one or two fields by the listing's number: a value outside its
+    table, a NULL, a level that does not exist, a confidence above 1 or missing."""
     records = classify.normalize(listings(spark, sf_dir), as_of())
-    errors = validate.normalization_errors(F.col("normalization"))
-    return records.select(F.col("job.doc_id").alias("doc_id"), joined(errors).alias("errors"))
+    n, doc = F.col("normalization"), F.col("job.doc_id")
+    wrong = {
+        "program_type": F.lit("wizard"), "academic_levels": F.array_append(n.academic_levels, F.lit("kindergarten")),
+        "visa_status": F.lit(None).cast("string"), "remote_type": F.lit("REMOTE"), "normalization_status": F.lit(""),
+        "confidence": F.when(doc % 2 == 0, F.lit(1.01)),
+    }
+    for i, name in enumerate(_SPOILED):
+        spoiled = (doc % 13 == i) | (doc % 17 == i + 3)
+        n = n.withField(name, F.when(spoiled, wrong[name]).otherwise(F.col(f"normalization.{name}")))
+    return records.select(doc.alias("doc_id"), joined(validate.normalization_errors(n)).alias("errors"))
 
 
 @query(
@@ -582,6 +602,17 @@ def src1(spark, sf_dir):
     return jobs.select(F.col("ats_job_id").cast("bigint").alias("doc_id"), F.col("run_ord").cast("bigint").alias("run_ord"))
 
 
+@query("src1_paths_that_end_alike", _with_runs("SELECT doc_id, run_ord FROM runs"))
+def src1_alike(spark, sf_dir):
+    """Runs in folders whose names end, or contain, one another."""
+    path, names = scratch_path(spark, "alike"), ("r", "old_r", "x/r")
+    documents = artifacts.pull_documents(view(spark, sf_dir, "runs"), "run_ord", 50)
+    for run, name in enumerate(names):
+        documents.filter(F.col("run_ord") == run).drop("run_ord").write.json(f"{path}/{name}")
+    _, jobs, _ = artifacts.read_pull(spark, [f"{path}/{name}" for name in names], multi_line=False)
+    return jobs.select(F.col("ats_job_id").cast("bigint").alias("doc_id"), F.col("run_ord").cast("bigint").alias("run_ord"))
+
+
 @query(
     "src2_read_normalized",
     duck.with_jobs("SELECT content_hash, program_type, array_to_string(required_skills, '|') AS skills FROM elig"),
