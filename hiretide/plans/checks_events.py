@@ -361,6 +361,46 @@ def e14(spark, sf_dir):
     return _events(spark, sf_dir).select("event_url", hashed.alias("content_hash"))
 
 
+@query(
+    "e14_all_fields",
+    with_events(
+        """SELECT CASE WHEN event_id % 5 = 0 THEN 'Other Firm' ELSE firm_name END AS firm_name,
+        CASE WHEN event_id % 5 = 0 THEN 'retail' ELSE firm_kind END AS firm_kind, event_title, event_url,
+        event_url || '/register' AS registration_url, 'feed' AS source_provider, coalesce(source_event_id, '') AS source_event_id,
+        'open_day' AS event_type, array_to_string(audience_tags, '|') AS audience_tags,
+        CASE WHEN event_id % 3 = 0 THEN 'Hall|Annex' WHEN location_type = 'virtual' THEN 'Virtual' ELSE 'Unspecified' END AS location,
+        location_type, strftime(starts_at, '%Y-%m-%d %H:%M:%S') AS starts, coalesce(strftime(ends_at, '%Y-%m-%d %H:%M:%S'), '') AS ends,
+        'UTC' AS timezone, description, CAST(event_id AS VARCHAR) AS raw_payload,
+        sha256(coalesce(nullif(source_event_id, ''), firm_name || '|' || event_title || '|' || strftime(starts_at, '%Y-%m-%dT%H:%M:%S')
+          || CASE WHEN microsecond(starts_at) % 1000000 = 0 THEN '' ELSE strftime(starts_at, '.%f') END || '+00:00|' || event_url)) AS content_hash
+        FROM ev WHERE event_id % 11 > 0 AND event_id % 13 > 0"""
+    ),
+)
+def e14_all(spark, sf_dir):
+    """Every field of built events; the hash keeps the source's firm where a match names
+    another.  Facts without a title or a start are left out."""
+    c, n = F.col, F.col("event_id")
+    text = F.concat_ws(" ", "event_title", "description")
+    none = F.lit(None).cast("struct<firm_name:string,firm_kind:string>")
+    found = _events(spark, sf_dir).select(
+        "event_id", "firm_name", "firm_kind", F.lit("feed").alias("source_provider"),
+        F.when(n % 5 == 0, F.struct(F.lit("Other Firm").alias("firm_name"), F.lit("retail").alias("firm_kind"))).otherwise(none).alias("firm"),
+        F.when(n % 11 > 0, c("event_title")).otherwise("").alias("title"), c("event_url").alias("url"),
+        F.concat("event_url", F.lit("/register")).alias("registration"), "source_event_id", F.lit(" Open  Day!").alias("type_text"),
+        text.alias("audience_text"), F.when(n % 3 == 0, F.array(F.lit("Hall"), F.lit("Annex"))).alias("places"),
+        events.location_type(text).alias("place_kind"), F.when(n % 13 > 0, c("starts_at")).alias("starts_at"), "ends_at",
+        F.lit("UTC").alias("timezone"), "description", n.cast("string").alias("raw_payload"),
+    )
+    built = events.build_events(found, _as_of(), ["event_id"])
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    return built.select(
+        "firm_name", "firm_kind", "event_title", "event_url", "registration_url", "source_provider",
+        blank(c("source_event_id")).alias("source_event_id"), "event_type", joined("audience_tags").alias("audience_tags"),
+        joined("location").alias("location"), "location_type", stamp("starts_at").alias("starts"), blank(stamp("ends_at")).alias("ends"),
+        "timezone", "description", "raw_payload", "content_hash",
+    )
+
+
 @query(
     "e15_dedupe_events",
     f"WITH {duck_views('recruiting_events')}\nSELECT user_id, event_title_key, min(event_id) AS event_id FROM"

@@ -276,7 +276,12 @@ _IN_NEW = f"starts_at >= TIMESTAMP '{_U9_NEW}'"
         f"SELECT event_url, CASE WHEN starts_at < TIMESTAMP '{_U9_OLD}' THEN '2024-01-12 00:00:00' ELSE '2024-01-18 00:00:00' END"
         f" AS first_seen, CASE WHEN {_IN_NEW} THEN '2024-01-18 00:00:00' ELSE '2024-01-12 00:00:00' END AS last_seen,"
         f" coalesce(ends_at, starts_at) >= CASE WHEN {_IN_NEW} THEN TIMESTAMP '2024-01-18 00:00:00'"
-        " ELSE TIMESTAMP '2024-01-12 00:00:00' END AS is_active FROM ev"
+        " ELSE TIMESTAMP '2024-01-12 00:00:00' END AS is_active,"
+        " content_hash AS id, '' AS source_id, firm_name, firm_kind, event_title, coalesce(registration_url, '') AS registration_url,"
+        " source_provider, coalesce(source_event_id, '') AS source_event_id, event_type, array_to_string(audience_tags, '|') AS audience_tags,"
+        " array_to_string(location, '|') AS location, location_type, strftime(starts_at, '%Y-%m-%d %H:%M:%S') AS starts,"
+        " coalesce(strftime(ends_at, '%Y-%m-%d %H:%M:%S'), '') AS ends, '' AS timezone, description, content_hash,"
+        " strftime(starts_at, '%Y-%m-%d %H:%M:%S') AS extracted FROM ev"
     ),
 )
 def u9(spark, sf_dir):
@@ -285,8 +290,13 @@ def u9(spark, sf_dir):
     starts = F.col("starts_at")
     old = state.event_rows(events.filter(starts < F.lit(_U9_OLD)), F.lit("2024-01-12 00:00:00").cast("timestamp"))
     new = state.event_rows(events.filter(starts >= F.lit(_U9_NEW)), F.lit("2024-01-18 00:00:00").cast("timestamp"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return state.upsert_events(old, new).select(
-        "event_url", stamp("first_seen_at").alias("first_seen"), stamp("last_seen_at").alias("last_seen"), "is_active"
+        "event_url", stamp("first_seen_at").alias("first_seen"), stamp("last_seen_at").alias("last_seen"), "is_active",
+        "id", text("source_id"), "firm_name", "firm_kind", "event_title", text("registration_url"), "source_provider",
+        text("source_event_id"), "event_type", joined("audience_tags").alias("audience_tags"), joined("location").alias("location"),
+        "location_type", stamp("starts_at").alias("starts"), F.coalesce(stamp("ends_at"), F.lit("")).alias("ends"), text("timezone"),
+        "description", "content_hash", stamp("extracted_at").alias("extracted"),
     )
 
 
@@ -425,6 +435,60 @@ def b2(spark, sf_dir):
     return _board_out(board.patch(created, patches))
 
 
+# Patches of every field, a third of them by a user who does not own the row, and some on
+# applications that do not exist.
+_PATCHED = f"""
+board AS (SELECT *, row_number() OVER (PARTITION BY user_id, status ORDER BY issued_at, ats_job_id) - 1 AS pos,
+    command_id % 3 = 1 AS foreign_user FROM firsts)"""
+
+
+def _patched(spark, sf_dir):
+    known = _jobs_by_number(spark, sf_dir)
+    firsts = board.known_jobs(_first_commands(spark, sf_dir), known)
+    created = board.create(_empty_board(spark), known, firsts)
+    n = F.col("command_id")
+    user = F.when(n % 3 == 1, F.concat(F.lit("not-"), F.col("user_id"))).otherwise(F.col("user_id"))
+    patches = firsts.select(
+        user.alias("user_id"), "job_id", F.when(n % 2 == 0, "APPLIED").alias("status"),
+        F.when(n % 5 > 0, F.concat(F.lit("note "), n)).alias("notes"), F.when(n % 7 == 0, 77).alias("kanban_order"),
+        F.when(n % 4 == 0, F.lit("2025-01-01 00:00:00").cast("timestamp")).alias("applied_at"), as_of().alias("issued_at"),
+    )
+    unknown = patches.withColumn("job_id", F.concat(F.lit("no-"), F.col("job_id")))
+    return created, patches.unionByName(unknown)
+
+
+@query(
+    "b2_patch_all_fields",
+    f"""WITH {duck_views('commands')},{_FIRST},{_PATCHED}
+    SELECT user_id, ats_job_id AS job_id, CASE WHEN command_id % 2 = 0 AND NOT foreign_user THEN 'APPLIED' ELSE status END AS status,
+      CASE WHEN command_id % 7 = 0 AND NOT foreign_user THEN 77 ELSE pos END::BIGINT AS kanban_order,
+      CASE WHEN command_id % 5 > 0 AND NOT foreign_user THEN 'note ' || command_id ELSE '' END AS notes,
+      CASE WHEN command_id % 4 = 0 AND NOT foreign_user THEN '2025-01-01 00:00:00'
+           WHEN status = 'APPLIED' THEN strftime(issued_at, '%Y-%m-%d %H:%M:%S')
+           WHEN command_id % 2 = 0 AND NOT foreign_user THEN '2026-06-01 00:00:00' ELSE '' END AS applied,
+      CASE WHEN foreign_user THEN strftime(issued_at, '%Y-%m-%d %H:%M:%S') ELSE '2026-06-01 00:00:00' END AS updated
+    FROM board""",
+)
+def b2_all(spark, sf_dir):
+    """Notes, explicit times and positions; foreign users and unknown rows change nothing."""
+    patched = board.patch(*_patched(spark, sf_dir))
+    return patched.select(
+        "user_id", "job_id", "status", F.col("kanban_order").cast("bigint").alias("kanban_order"), F.coalesce("notes", F.lit("")).alias("notes"),
+        F.coalesce(stamp("applied_at"), F.lit("")).alias("applied"), stamp("updated_at").alias("updated"),
+    )
+
+
+@query(
+    "b2_misses",
+    f"""WITH {duck_views('commands')},{_FIRST},{_PATCHED}
+    SELECT CASE WHEN foreign_user THEN 'not-' ELSE '' END || user_id AS user_id, ats_job_id AS job_id FROM board WHERE foreign_user
+    UNION ALL SELECT CASE WHEN foreign_user THEN 'not-' ELSE '' END || user_id, 'no-' || ats_job_id FROM board""",
+)
+def b2_misses(spark, sf_dir):
+    """Patches on rows that are not there for their user."""
+    return board.patch_misses(*_patched(spark, sf_dir)).select("user_id", "job_id")
+
+
 def _log(spark, sf_dir):
     return view(spark, sf_dir, "commands").select(
         "user_id", F.col("ats_job_id").alias("job_id"), F.lit("create").alias("kind"), "status",
