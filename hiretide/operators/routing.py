@@ -188,7 +188,28 @@ def candidate_tokens(
     return F.array_distinct(F.filter(tidy, lambda t: t != ""))
 
 
-def discover(companies: DataFrame, boards: DataFrame) -> tuple[DataFrame, DataFrame]:
+# Companies that guess one token, per part of the join.
+COMPANIES_PER_PART = 100_000
+
+
+def _salted(guesses: DataFrame, known: DataFrame, per_part: int) -> DataFrame:
+    """Guesses joined with known boards by token.  Tokens that more companies guess
+    than ``per_part`` (counted) are cut into parts by company, and their few boards
+    repeated for each part.  The broadcast list has at most a row per ``per_part`` guesses."""
+    hot = guesses.groupBy("board_token").count().filter(F.col("count") > per_part)
+    hot = F.broadcast(hot.select(F.col("board_token").alias("_hot"), F.ceil(F.col("count") / per_part).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1)).cast("bigint")
+
+    def dealt(side: DataFrame, salt: Column) -> DataFrame:
+        marked = side.join(hot, F.col("board_token") == F.col("_hot"), "left").withColumn("_parts", parts)
+        return marked.withColumn("_salt", salt).drop("_hot", "_parts")
+
+    left = dealt(guesses, F.pmod(F.xxhash64("company_name"), F.col("_parts")))
+    right = dealt(known, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+    return left.join(right, ["board_token", "_salt"]).drop("_salt")
+
+
+def discover(companies: DataFrame, boards: DataFrame, per_part: int = COMPANIES_PER_PART) -> tuple[DataFrame, DataFrame]:
     """RT7: (hits, unmatched) of companies against a landed board directory.
 
     ``boards``: provider, board_token, job_count.  Tokens are tried in order, and
@@ -199,7 +220,7 @@ def discover(companies: DataFrame, boards: DataFrame) -> tuple[DataFrame, DataFr
     )
     preference = F.array_position(strings(rules.DISCOVERY_PROVIDER_ORDER), F.col("ats_provider"))
     known = boards.filter(F.col("ats_provider").isin(*rules.DISCOVERY_PROVIDER_ORDER))
-    found = guesses.join(known, "board_token").withColumn("_provider_at", preference)
+    found = _salted(guesses, known, per_part).withColumn("_provider_at", preference)
     hits = best_per_key(found, ["company_name"], [F.col("_at"), F.col("_provider_at")]).select(
         "company_name", "ats_provider", "board_token",
         F.concat(mapped(F.col("ats_provider"), rules.DISCOVERY_URL_PREFIX), F.col("board_token")).alias("source_url"),

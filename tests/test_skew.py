@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hiretide.operators import board, skew
+from hiretide.operators import board, routing, skew
 from hiretide.streaming import refresh
 
 
@@ -87,6 +87,23 @@ def test_fold_log_equals_one_command_at_a_time(spark):
         assert got == want
 
 
+def test_hot_tokens_are_dealt_over_parts(spark):
+    """A third of the companies guess one token; any number of parts gives the same rows."""
+    names = [f"Acme {i}" if i % 3 == 0 else f"Firm{i}" for i in range(300)]
+    companies = spark.createDataFrame([(n,) for n in names], "company_name string")
+    boards = spark.createDataFrame(
+        [("greenhouse", "acme", 1), ("lever", "acme", 2), ("ashby", "firm7", 3), ("lever", "firm10", 4), ("other", "firm8", 5)],
+        "ats_provider string, board_token string, job_count int",
+    )
+    plain, salted = (routing.discover(companies, boards, per_part=n) for n in (10_000, 7))
+    for one, other in zip(plain, salted, strict=True):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert plain[0].count() == 102
+    guesses = companies.select("company_name", F.lit("acme").alias("board_token"))
+    dealt = routing._salted(guesses, boards.limit(1), 7).groupBy("company_name").count()
+    assert dealt.filter("count = 1").count() == 300
+
+
 def greedy(rows, ttl):
     last, want = {}, set()
     for key, ts, i in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
