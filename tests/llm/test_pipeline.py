@@ -50,7 +50,7 @@ def test_stages_take_effect(spark, tables):
 
 def test_registered_and_run_on_the_smallest_tables(spark):
     queries = spark_entry.queries()
-    assert [q.split("_")[0] for q in queries if q.startswith("op")] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries if q.startswith("op")] == [f"op{n}" for n in range(1, 14)]
     assert queries["pipeline"](spark, SF_DIR).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
 
