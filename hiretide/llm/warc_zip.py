@@ -21,6 +21,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiretide.llm.common import whole
-from hiretide.session import scratch_path
+from hiretide.session import materialize, scratch_path
 
 LEAST_SHARED = 1000
 # An archive is closed after the record that takes it past this.
@@ -166,6 +167,11 @@ class Archive:
         return {"path": self.path, "records": len(self.index), "bytes": self.size}
 
 
+def record_name(page_id: str | None) -> str:
+    """Name of a page's record; whatever could end a header line or a name is escaped."""
+    return "urn:page:" + ("" if page_id is None else quote(page_id, safe=""))
+
+
 def _writer(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = opened(folder)
@@ -176,9 +182,8 @@ def _writer(folder: str, most: int):
             for row in batch.to_pylist():
                 payload = (row["_html"] or "").encode("utf-8", "surrogatepass")
                 kind = "response" if row["_winner"] is None else "revisit"
-                key = "" if row["_id"] is None else row["_id"]
-                record_id = f"urn:page:{key}"
-                refers = None if row["_winner"] is None else f"urn:page:{row['_winner']}"
+                record_id = record_name(row["_id"])
+                refers = None if row["_winner"] is None else record_name(row["_winner"])
                 uri = (row["_url"] or "").replace("\r", "%0D").replace("\n", "%0A")
                 raw = record(kind, record_id, uri, row["_digest"], payload, refers, len(payload))
                 if archive is None:
@@ -202,7 +207,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     Of pages with equal payloads of at least 1000 bytes that with the largest id
     is a response (as are repeats of its row), the others revisit it; all others
     are responses.  A NULL html is an empty payload; a page without an id is a
-    response, and is revisited by none.
+    response, and is revisited by none.  Ids of any type with an order are written as
+    text and percent-encoded.
     """
     rows = pages.select(
         F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html"),
@@ -214,7 +220,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     # large payloads are joined to the few digests that repeat; the rest pass by
     told = rows.join(winners, (rows["_digest"] == winners["_equal"]) & (rows["_bytes"] >= LEAST_SHARED), "left")
     told = told.withColumn("_winner", F.when(F.col("_largest") > F.col("_id"), F.col("_largest")))
-    records = told.select("_id", "_url", "_html", "_digest", "_winner")
+    records = told.select(
+        F.col("_id").cast("string").alias("_id"), "_url", "_html", "_digest", F.col("_winner").cast("string").alias("_winner")
+    )
     spark, table = pages.sparkSession, f"{folder.rstrip('/')}/table"
     records.mapInArrow(_writer(f"{folder.rstrip('/')}/archives", archive_bytes), "path string, records long, bytes long").write.parquet(table)
     return spark.read.schema("path string, records long, bytes long").parquet(table)
@@ -302,15 +310,22 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """Pages written to archives and read back: ``page_id, payload_bytes,
     payload_digest, record_type, refers_to``.  Length and digest are those of the
     bytes read: a revisit takes them from the response it refers to.  A response
-    whose bytes do not match its header is an error.
+    whose bytes do not match its header is an error.  A page with an empty text as
+    its id comes back with none.
+
+    The archives are read once: what the headers and digests say is a short row a
+    record, written to the shared folder before responses and revisits part.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "archives")
-    records = read_archives(write_archives(pages, folder, page_id, url, html), folder, with_payload=False)
+    read = read_archives(write_archives(pages, folder, page_id, url, html), folder, with_payload=False)
+    records = materialize(
+        read.select("record_id", "record_type", "refers_to", "digest", "actual_digest", "actual_bytes"), "records"
+    )
     kind = pages.schema[page_id].dataType
 
     def key(c: str):
-        return F.expr(f"nullif(substring({c}, 10), '')").cast(kind)
+        return F.url_decode(F.expr(f"nullif(substring({c}, 10), '')")).cast(kind)
 
     sound = F.when(F.col("digest") == F.col("actual_digest"), F.col("actual_digest")).otherwise(
         F.raise_error(F.concat(F.lit("damaged record "), "record_id"))

@@ -87,3 +87,18 @@ def test_zip64_directory():
         w.directory(io.BytesIO(b"x" * 100), 100)
     with pytest.raises(ValueError, match="stored"):
         w.stored_member(raw, [], "a")
+
+
+def test_text_ids_forge_no_header(spark):
+    big = "x" * 2000
+    ids = ["a\r\nWARC-Type: metadata", "b>", "c+d %41", "ä", " e ", "<f"]
+    found = {r["page_id"]: r for r in w.round_trip(spark.createDataFrame([(i, "u", big) for i in ids], "page_id string, url string, html string")).collect()}
+    assert set(found) == set(ids)
+    assert {i for i, r in found.items() if r["record_type"] == "response"} == {max(ids)}
+    assert {r["refers_to"] for i, r in found.items() if i != max(ids)} == {max(ids)}
+    assert {r["payload_bytes"] for r in found.values()} == {2000}
+
+
+def test_archives_are_read_once(spark):
+    plan = w.round_trip(spark.createDataFrame(page_rows(), PAGES))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
