@@ -117,12 +117,20 @@ def _pages(boards: DataFrame) -> DataFrame:
     return boards.withColumn("_doc", F.try_parse_json("payload"))
 
 
+def _once(rows: DataFrame, same: Column) -> DataFrame:
+    """The first row of a source per value of ``same``; rows without a value all stay."""
+    unique = F.concat_ws("#", F.lit(""), F.col("page_ord"), F.col("pos"))
+    keyed = rows.withColumn("_same", F.coalesce(same, unique))
+    return best_per_key(keyed, ["source_url", "_same"], [F.col("page_ord"), F.col("pos")])
+
+
 def map_payload(boards: DataFrame, provider: str, as_of: Column, details: DataFrame | None = None) -> DataFrame:
     """PAY0: listings of one provider's landed pages, with source_url, page_ord
     and pos.  Rows that lack a required field come out incomplete and are caught
     by validation, they do not fail the job.
 
-    ``details`` (source_url, detail_key, payload) overlays landed detail pages.
+    ``details`` (source_url, detail_key, payload) overlays landed detail pages on the
+    postings that are left once each is listed once.
     """
     mapping = MAPPINGS[provider]
     carry = ["source_url", "board_token", "page_ord"]
@@ -134,9 +142,16 @@ def map_payload(boards: DataFrame, provider: str, as_of: Column, details: DataFr
         *carry, *extra, "_page",
         F.posexplode(mapping.items(F.col("payload"), F.col("_doc"))).alias("pos", "_item"),
     )
+    listed, page = Doc(F.col("_item")), Page(F.col("source_url"), F.col("board_token"), F.col("_page"), as_of)
+    if mapping.keep is not None:
+        items = items.filter(mapping.keep(listed, page))
+    detailed = details is not None and mapping.detail_key is not None
+    if detailed and mapping.same:
+        # a posting listed twice is one posting before its detail page is asked for
+        items = _once(items, mapping.same(listed))
     layers = [F.col("_item")]
-    if details is not None and mapping.detail_key is not None:
-        keyed = items.withColumn("_key", mapping.detail_key(Doc(F.col("_item"))))
+    if detailed:
+        keyed = items.withColumn("_key", mapping.detail_key(listed))
         parsed = details.select(
             "source_url", F.col("detail_key").alias("_key"), F.try_parse_json("payload").alias("_detail")
         )
@@ -146,16 +161,11 @@ def map_payload(boards: DataFrame, provider: str, as_of: Column, details: DataFr
         items = items.withColumn("_facet", _facet_layer())
         layers.append(F.col("_facet"))
     doc = Doc(*layers)
-    page = Page(F.col("source_url"), F.col("board_token"), F.col("_page"), as_of)
-    if mapping.keep is not None:
-        items = items.filter(mapping.keep(doc, page))
     fields = mapping.fields(doc, page)
-    same = mapping.same(doc) if mapping.same else F.lit(None).cast("string")
-    flat = items.select(*carry, "pos", same.alias("_same"), *[c.alias(f"_{n}") for n, c in fields.items()])
-    if mapping.same:
-        unique = F.concat_ws("#", F.lit(""), F.col("page_ord"), F.col("pos"))
-        flat = flat.withColumn("_same", F.coalesce("_same", unique))
-        flat = best_per_key(flat, ["source_url", "_same"], [F.col("page_ord"), F.col("pos")])
+    flat = items.select(*carry, "pos", *[c.alias(f"_{n}") for n, c in fields.items()],
+                        *([mapping.same(doc).alias("_same")] if mapping.same and not detailed else []))
+    if mapping.same and not detailed:
+        flat = _once(flat, F.col("_same"))
     return _listing(flat, provider, as_of, carry)
 
 

@@ -95,25 +95,80 @@ def merge_failures(primary: DataFrame, tokens: Iterable[str]) -> DataFrame:
     return primary.filter(~_replaced(tokens))
 
 
-def replacement_token(tokens: Iterable[str], company_by_token: Mapping[str, str]) -> Column:
-    """Token a fallback listing stands in for: exact company first, in mapping
-    order, then the smallest unmapped token found in its identifying text."""
+GRAM = 3  # characters of a token that candidates are looked up by
+
+
+def _token_tables(like: DataFrame, tokens, companies) -> tuple[DataFrame, DataFrame]:
+    """Tokens as (token) and companies as (token, company, at), whatever they came as."""
+    spark = like.sparkSession
+    if not isinstance(tokens, DataFrame):
+        tokens = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
+    if not isinstance(companies, DataFrame):
+        rows = [(t, name.casefold(), at) for at, (t, name) in enumerate(companies.items())]
+        companies = spark.createDataFrame(rows, "token string, company_name string, at int")
+    named = companies.select("token", F.lower("company_name").alias("_company"), "at")
+    broad = tokens.select(F.lower("token").alias("token")).filter("token <> ''").distinct()
+    return broad.join(named.select("token"), "token", "left_anti"), named
+
+
+def _grams(value: str, size) -> Column:
+    """Distinct pieces of ``size`` characters, of a text at least as long."""
+    starts = F.sequence(F.lit(1), F.length(value) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(value), i, size)))
+
+
+def tokens_within(texts: DataFrame, tokens: DataFrame, column: str) -> DataFrame:
+    """(column, token): every distinct text with the smallest token that is a part of it.
+
+    A q-gram index join: a token is looked up by the one of its grams that the fewest
+    texts hold (a token shorter than a gram by itself), and what is found is verified.
+    The plan has the same size for any number of tokens."""
+    texts = texts.select(column).filter(F.col(column) != "").distinct()
+    size = F.least(F.lit(GRAM), F.length("token"))
+    keys = tokens.select("token", F.explode(_grams("token", size)).alias("gram"))
+    pieces = texts.select(
+        column, F.explode(F.array_distinct(F.flatten(F.array(*[
+            F.when(F.length(column) >= n, _grams(column, F.lit(n))).otherwise(F.array().cast("array<string>"))
+            for n in range(1, GRAM + 1)
+        ])))).alias("gram"),
+    )
+    held = pieces.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    # a gram that no text holds rules its token out
+    counted = keys.join(held, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    probes = best_per_key(counted, ["token"], [F.col("texts"), F.col("gram")]).filter("texts > 0").select("token", "gram")
+    found = pieces.join(probes, "gram").filter(F.contains(F.col(column), F.col("token")))
+    return found.groupBy(column).agg(F.min("token").alias("token"))
+
+
+def with_replacement_token(jobs: DataFrame, tokens: Iterable[str] | DataFrame, company_by_token: Mapping[str, str] | DataFrame,
+                           name: str = "added_token") -> DataFrame:
+    """The jobs that stand in for a token, with it: that of the exact company first, in
+    mapping order, then the smallest unmapped token found in the identifying text.
+
+    ``tokens`` may be a table (token), ``company_by_token`` one (token, company_name, at)
+    with ``at`` the order.  A blank token is none."""
+    broad, named = _token_tables(jobs, tokens, company_by_token)
     company = F.lower(F.coalesce(F.col("company_name"), F.lit("")))
-    exact = [F.when(company == name.casefold(), F.lit(token)) for token, name in company_by_token.items()]
     parts = ("company_name", "job_url", "ats_provider", "ats_job_id")
     hay = F.lower(F.array_join(F.array(*[F.coalesce(F.col(p), F.lit("")) for p in parts]), " "))
-    broad = sorted({t.lower() for t in tokens} - set(company_by_token))
-    return F.coalesce(*exact, *[F.when(hay.contains(t), F.lit(t)) for t in broad], F.lit(None).cast("string"))
+    read = jobs.withColumns({"_company": company, "_hay": hay})
+    exact = best_per_key(named, ["_company"], [F.col("at")]).select("_company", F.col("token").alias("_exact"))
+    within = tokens_within(read, broad, "_hay").withColumnRenamed("token", "_within")
+    return (
+        read.join(exact, "_company", "left").join(within, "_hay", "left")
+        .withColumn(name, F.coalesce("_exact", "_within")).filter(F.col(name).isNotNull())
+        .select(*jobs.columns, name)
+    )
 
 
-def merge_jobs(primary: DataFrame, fallback: DataFrame, tokens: Iterable[str],
-               company_by_token: Mapping[str, str]) -> DataFrame:
+def merge_jobs(primary: DataFrame, fallback: DataFrame, tokens: Iterable[str] | DataFrame,
+               company_by_token: Mapping[str, str] | DataFrame) -> DataFrame:
     """M3: every primary row, plus unseen fallback listings of replaced tokens.
 
     ``added_token`` is NULL for primary rows.
     """
-    matched = with_job_key(fallback).withColumn("added_token", replacement_token(tokens, company_by_token))
-    first = best_per_key(matched.filter(F.col("added_token").isNotNull()), JOB_KEY, _in_order())
+    matched = with_job_key(with_replacement_token(fallback, tokens, company_by_token))
+    first = best_per_key(matched, JOB_KEY, _in_order())
     seen = with_job_key(primary).select(*JOB_KEY).distinct()
     unseen = join_null_safe(first, seen, JOB_KEY, "left_anti").drop(*JOB_KEY)
     return primary.withColumn("added_token", F.lit(None).cast("string")).unionByName(unseen)

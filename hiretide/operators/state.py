@@ -149,23 +149,31 @@ def upsert_jobs(snapshot: DataFrame, rows: DataFrame) -> DataFrame:
 
 def import_summary(records: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
     """U4 against the snapshots before the import.  A hash repeated in the payload
-    counts once per row."""
-    job = F.col("job")
-    usable = F.coalesce(job.content_hash, F.lit("")) != ""
-    per_hash = records.filter(usable).groupBy(job.content_hash.alias("content_hash")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    counts once per row.  The records are read once: they are counted per listing and
+    company, then per company, and only counts meet the snapshots."""
+    job, company = F.col("job"), ["name", "ats_provider"]
+    counted = records.groupBy(
+        F.nullif(job.content_hash, F.lit("")).alias("content_hash"), job.company_name.alias("name"),
+        job.ats_provider.alias("ats_provider"),
+    ).agg(F.count(F.lit(1)).alias("rows"))
     known = jobs.select("content_hash").distinct().withColumn("_known", F.lit(True))
-    flagged = per_hash.join(known, "content_hash", "left")
-    pairs = records.select(job.company_name.alias("name"), job.ats_provider.alias("ats_provider")).distinct()
-    added = pairs.join(companies, ["name", "ats_provider"], "left_anti").agg(F.count(F.lit(1))).scalar()
-    read = records.agg(F.count(F.lit(1))).scalar()
-    rows, is_known = F.col("rows"), F.col("_known").isNotNull()
-    counted = flagged.agg(
-        F.coalesce(F.sum(F.when(~is_known, rows)), F.lit(0)).alias("jobs_inserted"),
-        F.coalesce(F.sum(F.when(is_known, rows)), F.lit(0)).alias("jobs_updated"),
+    usable, is_known = F.col("content_hash").isNotNull(), F.col("_known").isNotNull()
+
+    def rows_that(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
+
+    per_company = counted.join(known, "content_hash", "left").groupBy(*company).agg(
+        F.sum("rows").alias("read"), rows_that(usable & ~is_known).alias("inserted"), rows_that(usable & is_known).alias("updated")
     )
-    return counted.withColumns({"records_read": read, "companies_inserted": added}).withColumns(
+    met = companies.select(*company).distinct().withColumn("_met", F.lit(True))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
+
+    return per_company.join(met, company, "left").agg(
+        total("inserted").alias("jobs_inserted"), total("updated").alias("jobs_updated"), total("read").alias("records_read"),
+        F.count_if(F.col("_met").isNull()).alias("companies_inserted"),
+    ).withColumns(
         {
             "skipped": F.col("records_read") - F.col("jobs_inserted") - F.col("jobs_updated"),
             "failed": F.lit(0).cast("bigint"),

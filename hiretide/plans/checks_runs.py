@@ -482,6 +482,27 @@ def m3_added(spark, sf_dir):
     return runs.added_by_token(_merged(spark, sf_dir))
 
 
+# Tokens as a table: customer numbers, looked for in the listings' addresses and numbers
+_NUMBER_TOKENS = "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS token FROM customer"
+
+
+@query(
+    "m3_broad_tokens",
+    _with_runs(
+        f"""SELECT r.doc_id, min(t.token) AS added_token
+        FROM (SELECT DISTINCT doc_id, lower(company_name || ' ' || job_url || ' ' || ats_provider || ' ' || ats_job_id) AS hay
+              FROM runs WHERE run_ord <> 1) r
+        JOIN ({_NUMBER_TOKENS}) t ON contains(r.hay, t.token) GROUP BY 1"""
+    ),
+)
+def m3_broad(spark, sf_dir):
+    """Thousands of broad tokens from a table."""
+    fallback = view(spark, sf_dir, "runs").filter("run_ord <> 1")
+    tokens = given(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("token"))
+    matched = runs.with_replacement_token(fallback, tokens, {})
+    return matched.select("doc_id", "added_token").distinct()
+
+
 # --- validation ---------------------------------------------------------------------------
 
 
