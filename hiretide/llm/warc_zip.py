@@ -37,6 +37,8 @@ LEAST_SHARED = 1000
 ARCHIVE_BYTES = 64 << 20
 # Records of one archive read by one task.
 RANGE_BYTES = 8 << 20
+# Tasks that read records, at most; beyond it a task reads several ranges.
+MOST_TASKS = 50_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 GZIP_LEVEL = 3
 
@@ -295,10 +297,14 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True, r
     ``range_bytes``.  An archive without records gives no row; a file that is not
     such an archive is an error.
     """
-    located = archives.select("path").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism)).mapInArrow(
+    wide = max(1, archives.sparkSession.sparkContext.defaultParallelism)
+    # rows of the index are tiny and what they name is not: the tasks are counted by the bytes to be read
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = min(max(wide, -(-size // range_bytes)), MOST_TASKS)
+    located = archives.select("path").repartition(wide).mapInArrow(
         _locate(folder, range_bytes), "path string, range long, offset long, length long"
     )
-    spread = located.repartition("path", "range").sortWithinPartitions("path", "offset")
+    spread = located.repartition(tasks, "path", "range").sortWithinPartitions("path", "offset")
     return spread.mapInArrow(
         _fetch(folder, with_payload),
         "record_id string, record_type string, uri string, digest string, payload_bytes long, refers_to string, "
