@@ -7,12 +7,14 @@ a whole run into one row of one task.
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlsplit
+import re
+from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiretide.operators.runs import source_order
+from hiretide.sources.split_json import read_elements
 
 LISTING = (
     "company_name string, job_title string, job_url string, ats_provider string, ats_job_id string, "
@@ -45,6 +47,10 @@ NORMALIZATION = (
 )
 
 
+# Files whose places are sent to every executor; beyond it they are joined by a shuffle.
+BROADCAST_FILES = 100_000
+
+
 def _ddl(fields: str) -> str:
     """DDL fields as struct body: 'a int, b string' -> 'a:int,b:string'."""
     named = (part.split(" ", 1) for part in fields.split(", "))
@@ -90,6 +96,23 @@ def roots(spark: SparkSession, paths: list[str]) -> list[str]:
     ]
 
 
+def _places(spark: SparkSession, paths: list[str], files: dict[str, str]) -> DataFrame:
+    """(_file, run_ord): the places in ``paths`` of files, by whole path without scheme
+    and host -> what to call them."""
+    places: dict[str, list[int]] = {}
+    for i, path in enumerate(paths):
+        for whole in _qualified(spark, path):
+            places.setdefault(whole, []).append(i)
+    rows = []
+    for name, called in files.items():
+        parts = name.split("/")
+        for end in range(1, len(parts) + 1):
+            rows += [(called, i) for i in places.get("/".join(parts[:end]) or "/", ())]
+    found = spark.createDataFrame(rows, "_file string, run_ord int")
+    # without this the documents would be shuffled to meet a row per file
+    return F.broadcast(found) if len(rows) <= BROADCAST_FILES else found
+
+
 def with_run_order(found: DataFrame, paths: list[str]) -> DataFrame:
     """Adds ``run_ord``, the place in ``paths`` of the file or folder that a row of a
     file scan was read from; a row of a path named twice counts twice.
@@ -98,17 +121,9 @@ def with_run_order(found: DataFrame, paths: list[str]) -> DataFrame:
     whole paths by its own and its folders' names, and joined by its exact name, so
     neither the plan nor the work of a row grows with the number of paths.
     """
-    spark, places = found.sparkSession, {}
-    for i, path in enumerate(paths):
-        for whole in _qualified(spark, path):
-            places.setdefault(whole, []).append(i)
-    rows = []
-    for file in found.inputFiles():
-        name = unquote(urlsplit(file).path)
-        parts = name.split("/")
-        for end in range(1, len(parts) + 1):
-            rows += [(name, i) for i in places.get("/".join(parts[:end]) or "/", ())]
-    ordered = spark.createDataFrame(rows, "_file string, run_ord int")
+    spark = found.sparkSession
+    names = {name: name for name in (unquote(urlsplit(file).path) for file in found.inputFiles())}
+    ordered = _places(spark, paths, names)
     # '+' stands for itself in a path
     read = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     name = F.regexp_replace(read, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
@@ -121,15 +136,39 @@ def _documents(spark: SparkSession, schema: str, paths: list[str], multi_line: b
     return with_run_order(found, paths)
 
 
+def _split_sections(spark: SparkSession, schemas: dict[str, str], paths: list[str], range_bytes: int) -> list[DataFrame]:
+    """Sections of all documents, each read in byte ranges; ``pos`` is the byte of its
+    document that a row starts at."""
+    listed = spark.read.format("binaryFile").load(roots(spark, paths)).select("path", "length").collect()
+    files, sizes = {}, []
+    for path, length in sorted(listed):
+        scheme, host, name = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?(/.*)", path).groups()
+        files[name] = f"{scheme or 'file:'}{host or '//'}{quote(name)}"
+        sizes.append((files[name], length))
+    found = read_elements(spark, sizes, list(schemas), range_bytes)
+    placed = found.join(_places(spark, paths, files), F.col("path") == F.col("_file"))
+    return [
+        placed.filter(F.col("section") == name).select(
+            "run_ord", F.col("at").alias("pos"), F.from_json("text", f"struct<{_ddl(fields)}>").alias("_row")
+        ).select("run_ord", "pos", "_row.*")
+        for name, fields in schemas.items()
+    ]
+
+
 def _section(documents: DataFrame, name: str) -> DataFrame:
     return documents.select("run_ord", F.posexplode(name).alias("pos", "_row")).select("run_ord", "pos", "_row.*")
 
 
-def read_pull(spark: SparkSession, paths: list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_pull(spark: SparkSession, paths: list[str], multi_line: bool = True,
+              range_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """SRC1: (sources, jobs, failures) of run artifacts, in input order.
 
-    With ``multi_line`` every file is one document; otherwise every line is.
+    With ``multi_line`` every file is one document; otherwise every line is.  With
+    ``range_bytes`` every file is one document that is read in ranges of that size, by
+    many tasks; ``pos`` then is a byte offset, in the same order.
     """
+    if range_bytes:
+        return tuple(_split_sections(spark, {"sources": SOURCE, "jobs": LISTING, "failures": FAILURE}, paths, range_bytes))
     docs = _documents(spark, PULL, paths, multi_line)
     return _section(docs, "sources"), _section(docs, "jobs"), _section(docs, "failures")
 
@@ -148,16 +187,23 @@ def pull_documents(jobs: DataFrame, run: str, listings_per_document: int) -> Dat
     )
 
 
-def read_normalized(spark: SparkSession, paths: list[str], nested: bool = False) -> DataFrame:
-    """SRC2: normalized records, from written artifacts or from nested documents."""
+def read_normalized(spark: SparkSession, paths: list[str], nested: bool = False, range_bytes: int | None = None) -> DataFrame:
+    """SRC2: normalized records, from written artifacts or from nested documents
+    (``range_bytes`` as in :func:`read_pull`)."""
+    if range_bytes:
+        return _split_sections(spark, {"records": RECORD}, paths, range_bytes)[0]
     if nested:
         docs = _documents(spark, NORMALIZED, paths, True)
         return docs.select("run_ord", F.posexplode("records").alias("pos", "_row")).select("run_ord", "pos", "_row.*")
     return _documents(spark, RECORD, [f"{path.rstrip('/')}/records" for path in paths], False)
 
 
-def read_event_pull(spark: SparkSession, paths: list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SRC3: (sources, events, failures) of event artifacts."""
+def read_event_pull(spark: SparkSession, paths: list[str], multi_line: bool = True,
+                    range_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SRC3: (sources, events, failures) of event artifacts; options as in :func:`read_pull`."""
+    if range_bytes:
+        schemas = {"sources": EVENT_SOURCE, "events": EVENT, "failures": EVENT_FAILURE}
+        return tuple(_split_sections(spark, schemas, paths, range_bytes))
     docs = _documents(spark, EVENT_PULL, paths, multi_line)
     return _section(docs, "sources"), _section(docs, "events"), _section(docs, "failures")
 
