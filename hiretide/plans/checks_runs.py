@@ -625,9 +625,7 @@ def src1(spark, sf_dir):
 
 @query(
     "src1_documents_in_ranges",
-    _with_runs(
-        "SELECT doc_id, run_ord, company_name, job_title, md5(raw_description) AS description FROM runs"
-    ),
+    _with_runs("SELECT doc_id, run_ord, company_name, job_title, md5(raw_description) AS description FROM runs"),
 )
 def src1_ranges(spark, sf_dir):
     """Writes nested documents of 5,000 listings, a file each, and reads them in byte ranges."""
@@ -636,7 +634,8 @@ def src1_ranges(spark, sf_dir):
     documents.withColumn("part", F.monotonically_increasing_id()).write.partitionBy("run_ord", "part").json(path)
     _, jobs, _ = artifacts.read_pull(spark, [f"{path}/run_ord={r}" for r in range(3)], range_bytes=1 << 20)
     return jobs.select(
-        F.col("ats_job_id").cast("bigint").alias("doc_id"), F.col("run_ord").cast("bigint").alias("run_ord"), "company_name", "job_title", F.md5(F.col("raw_description").cast("binary")).alias("description"),
+        F.col("ats_job_id").cast("bigint").alias("doc_id"), F.col("run_ord").cast("bigint").alias("run_ord"),
+        "company_name", "job_title", F.md5(F.col("raw_description").cast("binary")).alias("description"),
     )
 
 

@@ -138,8 +138,8 @@ def _documents(spark: SparkSession, schema: str, paths: list[str], multi_line: b
 
 def _split_sections(spark: SparkSession, schemas: dict[str, str], paths: list[str], range_bytes: int) -> list[DataFrame]:
     """Sections of all documents, each read in byte ranges; ``pos`` is the byte of its
-    document that a row starts at."""
-    listed = spark.read.format("binaryFile").load(roots(spark, paths)).select("path", "length").collect()
+    document that a row starts at.  A folder stands for all files below it."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots(spark, paths)).select("path", "length").collect()
     files, sizes = {}, []
     for path, length in sorted(listed):
         scheme, host, name = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?(/.*)", path).groups()
